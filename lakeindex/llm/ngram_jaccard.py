@@ -6,7 +6,8 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. The join
    order of tokens. Any fixed order gives the same links; this one keeps shared passages from gathering documents.
 2. A second pass gives each document its set's size, a 128-bit fingerprint and its prefix: of n tokens, the first
    n - ceil(t * n) + 1. Two sets that reach the similarity t share a token of their prefixes. Equal sets become one class.
-3. A token's classes stand in order of size; only those with a neighbour whose size allows the similarity go on, with hashed
+3. A token's classes stand in order of size; only those with a neighbour whose size and place of the
+   token allow the similarity go on, with hashed
    bitmaps. Bits that differ bound the overlap from above, and pairs within the bound make candidate families.
 4. Each family is cut into size bands and blocks of about BLOCK classes; every tile (a pair of blocks of equal or
    neighbouring bands) tests its pairs by the bitmaps' bound and then by intersecting the sorted arrays. A tile emits, for
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +94,8 @@ def _sets(n: int, num: int, den: int, heavy: np.ndarray, rank: np.ndarray):
 
 
 def bits_of(size: int) -> int:
-    """The width of a set's signature: the power of 2 from twice its size, within bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size - 1).bit_length()))
+    """The width of a set's signature: the power of 2 from its size, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (size - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -206,20 +208,17 @@ def _edges(seen: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["u", "v"])
 
 
-def _members(n: int, filtered: bytes):
-    """Of the documents whose id passes the filter: id, signature and sorted array."""
+def _members(n: int, filtered: bytes, signatures: bool):
+    """Of the documents whose id passes the filter: id, set size, and the signature or else the sorted array."""
     bits = np.frombuffer(filtered, np.uint8)
 
     def run(batches):
         for batch in batches:
             at = batch.column(2).to_numpy()
-            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            ids, texts = batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))
-            signatures, arrays = [], []
-            for s in shingle_sets(texts, n):
-                signatures.append(bitmap(s, bits_of(len(s))).tobytes())
-                arrays.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(signatures, pa.binary()), pa.array(arrays, pa.binary())], ["id", "bits", "tokens"])
+            keep = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            sets = list(shingle_sets(batch.column(1).filter(keep), n))
+            data = [(bitmap(s, bits_of(len(s))) if signatures else s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], ["id", "n", "data"])
 
     return run
 
@@ -311,27 +310,29 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     sets = materialize(rows.mapInArrow(_sets(words, num, den, tokens[order], rank[order]), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
     classes = materialize(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
 
+    # Of two linked classes the smaller has a shared token among its first n - ceil(2t / (1 + t) * n) + 1.
     w = Window.partitionBy("token")
-    before, after = F.lag("n").over(w.orderBy("n", "id")), F.lead("n").over(w.orderBy("n", "id"))
+    run = w.orderBy("n", "id")
+    early = F.expr(f"pos <= n - (2 * {num} * n + {num + den} - 1) div {num + den}")
+    smaller, larger = F.max(F.when(F.col("early"), F.col("n"))).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lead("n").over(run)
     shared = materialize(
-        classes.where("id is not null").select("id", "n", F.explode("prefix").alias("token"))
-        .select("token", "n", "id", F.ceil(F.count("*").over(w) / GROUP).cast("int").alias("blocks"), ((before * den >= F.col("n") * num) | (after * num <= F.col("n") * den)).alias("near"))
+        classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "id", early.alias("early"))
+        .select("token", "n", "id", F.ceil(F.count("*").over(w) / GROUP).cast("int").alias("blocks"), ((smaller * den >= F.col("n") * num) | (F.col("early") & (larger * num <= F.col("n") * den))).alias("near"))
         .where("near").drop("near")
     )
 
-    wanted = shared.select(F.col("id").alias("doc_id")).distinct()
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = _filter(wanted.select(at.alias("p")))
-    members = materialize(
-        rows.where("doc_id is not null").select("doc_id", "text", at.alias("p")).mapInArrow(_members(words, bits), "id long, bits binary, tokens binary").join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id", "bits", "tokens"])
-    ).join(classes.select("id", "n", "copies"), "id").where("length(tokens) = 8 * n")
+    def of(ids: DataFrame, signatures: bool) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+        read = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", at.alias("p"))
+        return read.mapInArrow(_members(words, _filter(ids.select(at.alias("p"))), signatures), "id long, n long, data binary").dropDuplicates()
 
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, block) * F.col("blocks") + F.greatest(k, block))
     dealt = shared.select("token", "n", "id", F.explode(pairs).alias("tile"))
-    grouped = dealt.join(members.select("id", "bits"), "id").select("token", "tile", "n", "id", "bits").repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "id")
-    families = components(grouped.mapInArrow(_families(num, den), "u long, v long")).select(F.col("u").alias("id"), F.col("component").alias("family"))
-    dealt = _tiles(members.join(families, "id").select("family", "id", "n", "copies", "tokens"), num, den)
+    grouped = dealt.join(of(shared, True), ["id", "n"]).select("token", "tile", "n", "id", F.col("data").alias("bits")).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "id")
+    families = materialize(components(grouped.mapInArrow(_families(num, den), "u long, v long")).select(F.col("u").alias("id"), F.col("component").alias("family")))
+    members = families.join(classes.select("id", "n", "copies"), "id").join(of(families, False), ["id", "n"])
+    dealt = _tiles(members.select("family", "id", "n", "copies", F.col("data").alias("tokens")), num, den)
     found = materialize(dealt.groupBy("family", "band", "a", "b").applyInArrow(_tile(num, den), "u long, v long, links long"))
     links = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("linked"))
     named = links.join(components(found.where("v is not null").select("u", "v")).withColumnRenamed("u", "id"), "id", "left")
@@ -348,3 +349,31 @@ def _filter(positions: DataFrame) -> bytes:
     for r in rows:
         out[r.k * width // 8 : (r.k + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Of each group of linked documents the row of the smallest id; rows without links, shingles or id all stay.
+
+    Rows that repeat the smallest id of a group count as one: one of them stays. All columns stay as they are.
+    """
+    groups = jaccard_groups(docs, words, similarity, id_column, text_column)
+    # An id is dropped when it is linked and not its component's; a kept id that is linked may stand on repeated rows.
+    linked = groups.where("n_links > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("times"))
+    marked = materialize(linked.where("not stays or times > 1").select(F.col("doc_id").alias("id"), "stays", "times"))
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = np.frombuffer(_filter(marked.select(at.alias("p"))), np.uint8)
+
+    @F.pandas_udf("boolean")
+    def perhaps(p: pd.Series) -> pd.Series:
+        return pd.Series((bits[p.to_numpy() >> 3] >> (p.to_numpy() & 7).astype(np.uint8)) & 1 == 1)
+
+    # Only rows whose id passes the filter of marked ids, of fixed size, are shuffled to be sure; the others stay as they are.
+    rows = docs.select(F.struct("*").alias("d"), F.col(id_column).cast("long").alias("id"))
+    rows = rows.withColumn("perhaps", F.col("id").isNotNull() & perhaps(F.coalesce(at, F.lit(0))))
+    out = rows.where("not perhaps").select("d.*")
+    joined = rows.where("perhaps").join(marked, "id", "left").where("stays is null or stays")
+    out = out.unionByName(joined.where("times is null or times = 1").select("d.*"))
+    if marked.where("stays and times > 1").limit(1).count():
+        k = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("d")))
+        out = out.unionByName(joined.where("times > 1").withColumn("k", k).where("k = 1").select("d.*"))
+    return out
