@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeindex.llm.common import LOWER, UPPER, load
+from lakeindex.llm.common import LOWER, UPPER, load, shared_dir
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,65 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(load(spark, sf_dir, "documents"), words=4, similarity=(85, 100))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.langid import identify
+
+    return identify(load(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.pii import digest_spans, find_spans
+
+    return digest_spans(find_spans(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.bpe import digest_documents
+
+    return digest_documents(load(spark, sf_dir, "documents"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.topk import top_k
+
+    vectors = load(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.quality import quality_rules
+
+    return quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.mixing import mix_sources, word_count
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix_sources(docs, size=F.col("size"), keep=["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.toxicity import score_documents
+
+    return score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.token_counts import section_tokens
+
+    return section_tokens(load(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeindex.llm.warc import archived_pages, read_warc, write_pages
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_pages(load(spark, sf_dir, "pages"), path)
+    archive = read_warc(spark, path, payload=False, verify=True)
+    return archived_pages(archive.where(F.col("record_type").isin("response", "revisit")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
