@@ -179,7 +179,7 @@ def _predict(model: Codes):
                 for i in range(rows):
                     known = _has_letter(texts[first + i] or "")
                     langs.append(model.languages[best[i]] if known else UNKNOWN)
-                    scores.append(float(share[i]) if known else 0.0)
+                    scores.append(round(float(share[i]), 6) if known else 0.0)
                     flags.append(bool(close[i]) if known else True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 

@@ -92,23 +92,45 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: in
     doc = F.struct(*[F.col(c) for c in (keep or docs.columns)])
     held = docs.select(
         doc.alias("doc"), F.col("source").cast("string").alias("source"), (word_count(F.col("text")) if size is None else size.cast("long")).alias("size"), F.coalesce(F.lit(1.0) if prior is None else prior.cast("double"), F.lit(1.0)).alias("prior"),
-        F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), (F.crc32(F.col("doc_id").cast("string")) if "doc_id" in docs.columns else F.lit(0)).alias("c"),
+        F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), F.crc32(F.col("doc_id").cast("string")).alias("c"),
     )
-    kind = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
-    sums = materialize(held.groupBy("source", "prior", kind.alias("kind")).agg(F.sum("size").alias("mass"), F.count("*").alias("rows")))
-    source = targets(sums.groupBy("source").agg(F.sum("mass").alias("size")), weights, float(cap)).select("source", F.col("size").alias("source_size"), "target")
-    mass = sums.groupBy("source", "prior").agg(F.sum("mass").cast("double").alias("mass")).alias("a").join(source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.target")
-    tilt = tilts(mass, float(cap))
-    level = source.alias("a").join(tilt.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", F.coalesce(F.exp("b.tilt"), F.lit(0.0)).alias("factor"))
-    strata = sums.groupBy("source", "prior", "kind").agg(F.sum("rows").alias("rows")).alias("a").join(level.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", F.round(F.least(F.lit(float(cap)), F.col("a.prior") * F.col("b.factor")) * TICKS).cast("long").alias("ticks"), F.ceil(F.col("a.rows") / STRATUM).alias("salts"))
-    joined = held.withColumn("kind", kind).alias("d").join(materialize(strata).alias("s"), reduce(lambda x, y: x & y, [F.col("d.source").eqNullSafe(F.col("s.source")), F.col("d.kind") == F.col("s.kind"), F.col("d.prior") == F.col("s.prior")]))
-    rows = joined.select("d.doc", "d.size", "d.source", "d.kind", "d.prior", "d.h", "d.c", "s.source_size", "s.target", "s.ticks", F.pmod("d.h", "s.salts").alias("salt"))
+    held = held.withColumn("kind", F.floor(F.log2(F.col("size") + 1) * 4).cast("int"))
+    slim = materialize(held if keep else held.drop("doc"))
+    by_kind = materialize(slim.groupBy("source", "prior", "kind").agg(F.sum("size").alias("mass"), F.count("*").alias("rows")))
+    source = targets(by_kind.groupBy("source").agg(F.sum("mass").alias("size")), weights, float(cap)).select("source", F.col("size").alias("source_size"), "target")
+    mass = _by_source(by_kind.groupBy("source", "prior").agg(F.sum("mass").cast("double").alias("mass")), source.select("source", "target"))
+    level = _by_source(source, tilts(mass, float(cap)), "left")
+    rate = F.least(F.lit(float(cap)), F.col("prior") * F.coalesce(F.exp("tilt"), F.lit(0.0)))
+    strata = materialize(_by_source(by_kind, level).select("source", "prior", "kind", "mass", "source_size", "target", rate.alias("rate"), F.ceil(F.col("rows") / STRATUM).alias("salts")))
+    first = _rounded(slim.drop("doc"), strata.withColumn("ticks", F.round(F.col("rate") * TICKS).cast("long")))
+    # What rounding left over is made up for by the smallest documents that suffice, which are rounded again.
+    gap = first.groupBy("source", "target").agg((F.col("target") - F.sum("taken")).alias("gap")).drop("target")
+    kinds = _by_source(strata, gap).groupBy("source", "kind", "gap").agg(F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.least(F.col("rate"), cap - F.col("rate"))).alias("room"))
+    up = Window.partitionBy("source").orderBy("kind")
+    kinds = kinds.withColumn("before", F.coalesce(F.sum("room").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).where(F.col("before") < 2 * F.abs("gap"))
+    change = kinds.groupBy("source").agg((F.first("gap") / F.greatest(F.sum("mass"), F.lit(1))).alias("change"), F.max("kind").alias("upto"))
+    moved = F.when(F.col("kind") <= F.col("upto"), F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.col("rate") + F.col("change")))).otherwise(F.col("rate"))
+    final = _by_source(strata, change, "left").withColumn("ticks", F.round(moved * TICKS).cast("long"))
+    return _rounded(slim if keep else held, materialize(final)).select("doc", "size", "source_size", "target", "copies", "taken")
+
+
+def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins on source, null equal to null."""
+    return left.alias("a").join(right.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), how).select("a.*", *[f"b.{c}" for c in right.columns if c != "source"])
+
+
+def _rounded(rows: DataFrame, strata: DataFrame) -> DataFrame:
+    """Adds copies and taken: within each stratum, in order of size, the i-th row gets what the running sum of rates gains.
+
+    A stratum holds about STRATUM rows of one source, prior and kind (quarter octave of size), dealt by the hash of their id.
+    """
+    same = reduce(lambda x, y: x & y, [F.col("d.source").eqNullSafe(F.col("s.source")), F.col("d.kind") == F.col("s.kind"), F.col("d.prior") == F.col("s.prior")])
+    rows = rows.alias("d").join(strata.select("source", "prior", "kind", "source_size", "target", "ticks", "salts").alias("s"), same).select("d.*", "s.source_size", "s.target", "s.ticks", F.pmod("d.h", "s.salts").alias("salt"))
     stratum = ["source", "prior", "kind", "salt"]
-    place = F.row_number().over(Window.partitionBy(*stratum).orderBy("size", "h", "c")).cast("long")
-    start = F.pmod(F.xxhash64(*stratum, F.lit(11)), F.lit(TICKS))
-    rows = rows.withColumn("i", place).withColumn("u", start)
-    copies = F.expr(f"(ticks * i + u) div {TICKS} - (ticks * (i - 1) + u) div {TICKS}")
-    return rows.select("doc", "size", "source_size", "target", copies.cast("int").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*stratum).orderBy("size", "h", "c")).cast("long"))
+    rows = rows.withColumn("u", F.pmod(F.xxhash64(*stratum, F.lit(11)), F.lit(TICKS)))
+    copies = F.expr(f"(ticks * i + u) div {TICKS} - (ticks * (i - 1) + u) div {TICKS}").cast("int")
+    return rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("i", "u", "ticks", "salt")
 
 
 def repeat_documents(mixed: DataFrame) -> DataFrame:

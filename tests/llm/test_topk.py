@@ -1,8 +1,9 @@
 import random
 
-from lakeindex.llm.topk import top_k
 import numpy as np
 
+from lakeindex.llm.topk import top_k
+
 
 def brute(rows, queries, k):
     import math
@@ -19,10 +20,10 @@ def brute(rows, queries, k):
     return out
 
 
-def check(spark, rows, k=5, **blocks):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
+def check(spark, data, k=5, **blocks):
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, rank string")
     got = sorted(map(tuple, top_k(df, df.where("vec_id % 5 = 0"), k, **blocks).collect()))
-    assert got == brute([r[:2] for r in rows], {r[0] for r in rows if r[0] is not None and r[0] % 5 == 0}, k)
+    assert got == brute([r[:2] for r in data], {r[0] for r in data if r[0] is not None and r[0] % 5 == 0}, k)
 
 
 def test_agrees_with_brute_force(spark):
