@@ -1,0 +1,24 @@
+"""Rule maintenance: opt-outs, skipped hosts and folders, exposure, quality; in this order, each on what is left."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lakeindex.operators import quality as Q
+
+
+def clean_rows(entries: DataFrame, opted_out: Column, t: Q.Thresholds) -> DataFrame:
+    """The report (action, host, n) of cleaning entries (host, name, size, is_dir, level, trusted).
+
+    Strong names drop their host, weak ones an untrusted host, else only themselves; then what is left is judged.
+    """
+    entries = entries.withColumn("out", opted_out)
+    host = entries.groupBy("host").agg(F.max("out").alias("out"), F.max((F.col("level") == 2) | ((F.col("level") == 1) & ~F.col("trusted"))).alias("exposed"))
+    rows = entries.drop("out").join(host, "host")
+    gone = host.select(F.when(F.col("out"), "opted_out").when(F.col("exposed"), "sensitive").alias("action"), "host", F.lit(0).cast("long").alias("n")).where("action is not null")
+    left = rows.where("not out and not exposed")
+    omitted = left.where("level = 1").agg(F.count("*").alias("n")).select(F.lit("omitted").alias("action"), F.lit("").alias("host"), "n")
+    kept = left.where("level = 0 and not trusted")
+    low = Q.host_counts(kept).where(Q.judge_final(t).isNotNull()).select(F.lit("low_value").alias("action"), "host", F.lit(0).cast("long").alias("n"))
+    return gone.union(omitted).union(low)
