@@ -6,6 +6,8 @@ classifier did on rows kept from its training, takes the nearest codeword and fl
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lakeindex.llm.common import bounded_sample, byte_runs, prepare, remainder
 
-BITS = 13  # of a hashed n-gram
-SAMPLE = 6000  # documents that classifiers train on, at most
+BITS = 12  # of a hashed n-gram
+SAMPLE = 2500  # documents that classifiers train on, at most
 AMBIGUOUS = 0.2  # share of the loss between the two nearest codewords below which a text is flagged
 ORDERS = (1, 2, 3)  # bytes of an n-gram
 UNKNOWN = "und"
@@ -109,7 +111,7 @@ class Codes:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 60) -> Codes:
-    """Of rows (language, n-gram numbers, counts): logistic classifiers by gradient steps on rooted shares; each tenth row weighs the bits."""
+    """Of rows (language, n-gram numbers, counts): logistic classifiers by gradient steps on rooted shares; the last tenth weighs the bits."""
     languages = sorted({r[0] for r in rows})
     codes = codewords(len(languages))
     width = len(ORDERS) << BITS
@@ -123,17 +125,17 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 60) -> C
     x *= 30
     number = {name: i for i, name in enumerate(languages)}
     y = codes[[number[r[0]] for r in rows]].astype(np.float32)
-    held = np.arange(len(rows)) % 10 == 9
+    kept = max(1, len(rows) - len(rows) // 10)
     w, b = np.zeros((width, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     scale = np.zeros_like(w)
-    a, t = (x[~held], y[~held]) if (~held).any() else (x, y)
+    a, t = x[:kept], y[:kept]
     for _ in range(epochs):
         g = -t / (1 + np.exp(np.clip(t * (a @ w + b), -30, 30))) / len(a)
         step = a.T @ g + 1e-5 * w
         scale += step * step
         w -= 0.5 * step / np.sqrt(scale + 1e-12)
         b -= 2 * g.sum(0)
-    check, truth = (x[held], y[held]) if held.any() else (x, y)
+    check, truth = (x[kept:], y[kept:]) if kept < len(rows) else (x, y)
     right = (np.sign(check @ w + b) == truth).mean(0)
     trust = np.clip(np.log(np.clip(right, 0.51, 0.999) / np.clip(1 - right, 0.001, 0.49)), 0.05, None)
     return Codes(languages, codes, w * 30, b, trust / trust.sum() * len(trust))
@@ -148,8 +150,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
     # At most `sample` ids, so their broadcast is bounded by a parameter.
     ids = F.broadcast(bounded_sample(known.select("doc_id"), "doc_id", sample).distinct())
     rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(_sparse, "doc_id long, lang string, k array<int>, n array<float>")
-    got = sorted(rows.orderBy("doc_id", "lang").limit(sample).toLocalIterator(), key=lambda r: (r.doc_id, r.lang))
-    return train([(r.lang, np.array(r.k, np.int64), np.array(r.n, np.float32)) for r in got])
+    got = [(r.doc_id, r.lang, np.array(r.k, np.int32), np.array(r.n, np.float32)) for r in rows.toLocalIterator()]
+    return train([r[1:] for r in sorted(got, key=lambda r: (crc32(str(r[0]).encode()), r[0], r[1]))])
 
 
 def _predict(model: Codes):
