@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lakeindex.llm.common import prepare, texts
 
-#: Pieces whose encodings a worker keeps; it starts anew beyond, so its memory is bounded.
-REMEMBERED = 400_000
+#: Pieces whose encodings, and prefixes whose last tokens, a worker keeps; it starts anew beyond, so its memory is bounded.
+REMEMBERED, PREFIXES = 400_000, 600_000
 #: Pieces of more bytes are encoded but not kept.
 KEPT_BYTES = 64
 
@@ -135,18 +136,51 @@ class Encoder(dict):
 
         super().__init__()
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        #: Tokens that are the encoding of their own bytes; only they stand in encodings.
+        self.whole = {t: i for t, i in vocabulary.ranks.items() if vocabulary.parts(i) is not None}
+        self.lengths = [len(t) for t in vocabulary.tokens]
+        #: The last token of each known prefix, shared by all pieces that begin with it.
+        self.last: dict[bytes, int] = {}
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
         whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else Prefixes(self.vocabulary, data).ids()
-        packed = np.array(ids, "<u4").tobytes()
+        ids = [whole] if whole is not None else self._ids(data) if len(data) <= KEPT_BYTES else Prefixes(self.vocabulary, data).ids()
+        packed = pack(f"<{len(ids)}I", *ids)
         if len(data) <= KEPT_BYTES:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = packed
         return packed
 
+    def _ids(self, data: bytes) -> list[int]:
+        """As Prefixes does, but from the longest prefix on that an earlier piece has left behind."""
+        if len(self.last) >= PREFIXES:
+            self.last.clear()
+        last, get, met, longest = self.last, self.whole.get, self.vocabulary.met, self.vocabulary.longest
+        done = len(data)
+        while done and data[:done] not in last:
+            done -= 1
+        for end in range(done + 1, len(data) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(data[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    break
+                left = last[data[:start]]
+                fits = met.get((left, token))
+                if self.vocabulary.adjacent(left, token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte of this text")
+            last[data[:end]] = token
+        at, out = len(data), []
+        while at:
+            out.append(last[data[:at]])
+            at -= self.lengths[out[-1]]
+        return out[::-1]
+
     def packed(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
