@@ -6,9 +6,11 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lakeindex.ship import ship
 
@@ -54,6 +56,35 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
+FILTER_BITS = 1 << 25  # of a filter of ids, 4 MB
+
+
+def filter_at(column: str) -> Column:
+    """The bit of an id; null has one too."""
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def filter_bits(positions: DataFrame) -> bytes:
+    """A fixed number of bits, set at the positions p: built by aggregation, so 4 MB reach the driver whatever the input."""
+    width = 32768  # bits that bitmap_construct_agg holds
+    rows = positions.groupBy((F.col("p") / width).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % width).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        out[r.k * width // 8 : (r.k + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def passes(bits: bytes):
+    """A function of positions: false means that the id is certainly not in the filter."""
+    table = np.frombuffer(bits, np.uint8)
+
+    @F.pandas_udf(BooleanType())
+    def test(p: pd.Series) -> pd.Series:
+        return pd.Series((table[p.to_numpy() >> 3] >> (p.to_numpy() & 7).astype(np.uint8)) & 1 == 1)
+
+    return test
+
+
 def texts(column: pa.Array) -> list[str]:
     """The column's texts, null as empty."""
     return [x or "" for x in column.to_pylist()]

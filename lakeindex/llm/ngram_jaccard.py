@@ -20,12 +20,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import materialize, prepare
+from lakeindex.llm.common import filter_at, filter_bits, materialize, passes, prepare
 from lakeindex.llm.components import components
 from lakeindex.llm.hashing import mix, shingle_sets
 
@@ -34,7 +33,6 @@ RUN = 1 << 21  # n-grams counted at once in a task
 OFTEN = 4  # times in such a run that make an n-gram frequent
 BLOCK, TOKENS = 128, 1 << 21  # classes in a block of a tile, and their tokens
 GROUP = 512  # classes in a block of those that share a token
-FILTER_BITS = 1 << 25  # of the filter of class ids, 4 MB
 LEAST_BITS, MOST_BITS = 64, 8192  # of a signature
 
 
@@ -322,9 +320,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     )
 
     def of(ids: DataFrame, signatures: bool) -> DataFrame:
-        at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+        at = filter_at("id")
         read = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", at.alias("p"))
-        return read.mapInArrow(_members(words, _filter(ids.select(at.alias("p"))), signatures), "id long, n long, data binary").dropDuplicates()
+        return read.mapInArrow(_members(words, filter_bits(ids.select(at.alias("p"))), signatures), "id long, n long, data binary").dropDuplicates()
 
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, block) * F.col("blocks") + F.greatest(k, block))
@@ -341,16 +339,6 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"), F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
 
 
-def _filter(positions: DataFrame) -> bytes:
-    """A fixed number of bits, set at these positions: built by aggregation, so 4 MB reach the driver whatever the input."""
-    width = 32768  # bits that bitmap_construct_agg holds
-    rows = positions.groupBy((F.col("p") / width).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % width).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        out[r.k * width // 8 : (r.k + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
-    return out.tobytes()
-
-
 def keep_first(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Of each group of linked documents the row of the smallest id; rows without links, shingles or id all stay.
 
@@ -360,16 +348,12 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     # An id is dropped when it is linked and not its component's; a kept id that is linked may stand on repeated rows.
     linked = groups.where("n_links > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("times"))
     marked = materialize(linked.where("not stays or times > 1").select(F.col("doc_id").alias("id"), "stays", "times"))
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = np.frombuffer(_filter(marked.select(at.alias("p"))), np.uint8)
-
-    @F.pandas_udf("boolean")
-    def perhaps(p: pd.Series) -> pd.Series:
-        return pd.Series((bits[p.to_numpy() >> 3] >> (p.to_numpy() & 7).astype(np.uint8)) & 1 == 1)
+    at = filter_at("id")
+    perhaps = passes(filter_bits(marked.select(at.alias("p"))))
 
     # Only rows whose id passes the filter of marked ids, of fixed size, are shuffled to be sure; the others stay as they are.
     rows = docs.select(F.struct("*").alias("d"), F.col(id_column).cast("long").alias("id"))
-    rows = rows.withColumn("perhaps", F.col("id").isNotNull() & perhaps(F.coalesce(at, F.lit(0))))
+    rows = rows.withColumn("perhaps", F.col("id").isNotNull() & perhaps(at))
     out = rows.where("not perhaps").select("d.*")
     joined = rows.where("perhaps").join(marked, "id", "left").where("stays is null or stays")
     out = out.unionByName(joined.where("times is null or times = 1").select("d.*"))

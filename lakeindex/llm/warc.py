@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from lakeindex.llm.common import prepare
+from lakeindex.llm.common import filter_at, filter_bits, materialize, passes, prepare
 
 END = "\r\n"
 #: Columns that come from headers, in the order of the schema.
@@ -56,16 +56,19 @@ def write_pages(pages: DataFrame, path: str, least: int = 1000, compression: str
     revisits of it without a block; smaller payloads are all responses. Null html is the empty payload; a null url is left
     out of the header. Rows that repeat the largest page_id are all responses. Rows with a null page_id are never referred to.
     """
+    prepare(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("length", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # Only digests are shuffled. Groups of copies are summed before the shuffle, and only they come back to the pages.
+    # Only digests are shuffled, groups of copies summed before; pages that surely are no revisit are written as they are read.
     keys = p.where(F.col("length") >= least).select("page_id", "digest", "length")
     groups = keys.groupBy("digest", "length").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    revisits = keys.join(groups, ["digest", "length"]).where("page_id is null or page_id <> first").select(F.col("page_id").alias("of"), "digest", "first").distinct()
-    marked = p.alias("p").join(revisits.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.of")) & (F.col("p.digest") == F.col("r.digest")), "left")
+    revisits = materialize(keys.join(materialize(groups), ["digest", "length"]).where("page_id is null or page_id <> first").select(F.col("page_id").alias("of"), "digest", "first").distinct())
+    p = p.withColumn("perhaps", passes(filter_bits(revisits.select(filter_at("of").alias("p"))))(filter_at("page_id")))
+    rest = p.where("perhaps").alias("p").join(revisits.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.of")) & (F.col("p.digest") == F.col("r.digest")), "left").select("p.*", "r.first")
+    marked = p.where("not perhaps").withColumn("first", F.lit(None).cast("long")).unionByName(rest)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
-    again = F.col("r.first").isNotNull()
-    write_records(marked.select(record(F.when(again, "revisit").otherwise("response"), name("p.page_id"), F.col("p.url"), F.col("p.digest"), F.col("p.length"), name("r.first"), F.when(~again, F.col("p.html"))).alias("value")), path, compression)
+    again = F.col("first").isNotNull()
+    write_records(marked.select(record(F.when(again, "revisit").otherwise("response"), name("page_id"), F.col("url"), F.col("digest"), F.col("length"), name("first"), F.when(~again, F.col("html"))).alias("value")), path, compression)
 
 
 @dataclass
