@@ -104,12 +104,12 @@ def url_depth(url: Column) -> Column:
 
 def folder_of(url: Column) -> Column:
     """A URL up to and with the slash before its last part."""
-    return F.regexp_extract(url, r"(?s)\A(.*/)[^/]*/?\z", 1)
+    return F.regexp_extract(url, r"(?s)\A(.*?)[^/]*/?\z", 1)
 
 
 def leaf_of(url: Column) -> Column:
     """The last part of a URL, without a trailing slash."""
-    return F.regexp_extract(url, r"(?s)\A.*/([^/]*)/?\z", 1)
+    return F.regexp_extract(url, r"([^/]*)/?\z", 1)
 
 
 def entry_url(dir_url: Column, href: Column, name: Column, is_dir: Column) -> Column:
@@ -257,7 +257,7 @@ def human_bytes(n: Column) -> Column:
     for i, unit in enumerate(units):
         scaled = n / F.lit(float(1024 ** (i + 1)))
         last = i + 1 == len(units)
-        made = made.when(F.lit(True) if last else n < 1024 ** (i + 2), F.concat(F.format_number(scaled, "0.0"), F.lit(f" {unit}")))
+        made = made.when(F.lit(True) if last else n < 1024 ** (i + 2), F.format_string(f"%.1f {unit}", F.bround(scaled, 1)))
     return made
 
 
@@ -292,9 +292,9 @@ def create_sql_functions(spark) -> None:
     log = esc(rf"(?s)\A(?:.*[._-])?log(?:[._-][0-9]+)*\.(?:{'|'.join(COMPRESSED)})\z")
     bodies = {
         "is_useful(name STRING, size BIGINT) RETURNS BOOLEAN": f"coalesce(octet_length({ext}) <= 10 AND ({ext} IN ({text(USEFUL)}) OR {ext} IN ({text(USEFUL_IF_BIG)}) AND size >= {TEXT_FILE_MIN}) AND NOT lower(name) RLIKE '{log}', false)",
-        "url_depth(url STRING) RETURNS INT": "size(filter(split(regexp_extract(url, '^(?:[^/?#]*://)?[^/?#]*([^?#]*)', 1), '/'), s -> s <> ''))",
+        "url_depth(url STRING) RETURNS INT": "size(regexp_extract_all(regexp_extract(url, '^(?:[^/?#]*://)?[^/?#]*([^?#]*)', 1), '[^/]+', 0))",
         "sensitivity(name STRING) RETURNS INT": f"CASE WHEN rtrim('/', name) RLIKE '{joined(STRONG)}' THEN 2 WHEN rtrim('/', name) RLIKE '{joined(WEAK)}' THEN 1 ELSE 0 END",
-        "ext_in(name STRING, list STRING) RETURNS BOOLEAN": "exists(filter(transform(split(list, '[, ]+'), e -> ltrim('.', lower(e))), e -> e <> ''), e -> endswith(lower(name), concat('.', e)))",
+        "ext_in(name STRING, list STRING) RETURNS BOOLEAN": "lower(name) RLIKE concat('\\\\.(?:\\\\Q', array_join(regexp_extract_all(lower(list), '[^, .][^, ]*', 0), '\\\\E|\\\\Q'), '\\\\E)\\\\z')",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

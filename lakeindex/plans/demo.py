@@ -149,7 +149,7 @@ def url_depth(spark, sf):
     return table(spark, sf, "pages").select("page_id", R.url_depth(F.col("url")).alias("depth"))
 
 
-@query("SELECT page_id, regexp_extract(u, '^(.*/)[^/]*/?$', 1) AS folder, regexp_extract(u, '^.*/([^/]*)/?$', 1) AS leaf FROM (SELECT page_id, regexp_extract(url, '^[^?#]*') AS u FROM pages)")
+@query("SELECT page_id, regexp_extract(u, '^(.*?)[^/]*/?$', 1) AS folder, regexp_extract(u, '([^/]*)/?$', 1) AS leaf FROM (SELECT page_id, regexp_extract(url, '^[^?#]*') AS u FROM pages)")
 def url_split(spark, sf):
     u = F.regexp_extract("url", r"\A[^?#]*", 0)
     return table(spark, sf, "pages").select("page_id", R.folder_of(u).alias("folder"), R.leaf_of(u).alias("leaf"))
@@ -284,7 +284,8 @@ def useful_file(spark, sf):
 def sql_functions(spark, sf):
     """The same scalars as SQL functions that users call in spark.sql."""
     R.create_sql_functions(spark)
-    return _names(spark, sf).selectExpr("id", "is_useful(name, size) AS useful", "sensitivity(name) AS level", "ext_in(name, '.tar.gz, ISO') AS wanted")
+    rows = _names(spark, sf).selectExpr("*", "is_useful(name, size) AS useful").selectExpr("*", "sensitivity(name) AS level")
+    return rows.selectExpr("id", "useful", "level", "ext_in(name, '.tar.gz, ISO') AS wanted")
 
 
 @query(f"SELECT id, name FROM {_N} WHERE (ends_with(lower(name), '.iso') OR ends_with(lower(name), '.log.gz')) AND size >= 150000 ")
@@ -305,7 +306,7 @@ def hidden_results(spark, sf):
 _FORMATS = [("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"), ("dd-MMM-yyyy HH:mm", "%d-%b-%Y %H:%M"), ("d MMMM yyyy, HH:mm", "%-d %B %Y, %H:%M"), ("yyyy-MMM-dd HH:mm:ss", "%Y-%b-%d %H:%M:%S"), ("M/d/yyyy  h:mm a", "%-m/%-d/%Y  %-I:%M %p"), ("dd.MM.yyyy HH:mm", "%d.%m.%Y %H:%M"), ("EEEE, MMMM d, yyyy h:mm a", "%A, %B %-d, %Y %-I:%M %p")]
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, CASE WHEN o_orderkey % 7 = 3 THEN '%Y-%m-%d %H:%M:%S' ELSE '%Y-%m-%d %H:%M' END) AS mtime FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS mtime FROM orders")
 def date_normalise(spark, sf):
     """Order dates written in the seven ways of servers, and read back."""
     o = table(spark, sf, "orders")
@@ -367,7 +368,7 @@ def truncate_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R.truncate(F.col("text"), 40).alias("short"))
 
 
-@query("SELECT event_id, strftime(make_timestamp(epoch(ts)::BIGINT * 1000000), '%Y-%m-%d %H:%M UTC') AS minute FROM events")
+@query("SELECT event_id, strftime(make_timestamp((epoch_us(ts) // 1000000) * 1000000), '%Y-%m-%d %H:%M UTC') AS minute FROM events")
 def epoch_utc(spark, sf):
     seconds = F.expr("cast(floor(unix_micros(cast(ts as timestamp)) / 1000000) as bigint)")
     e = table(spark, sf, "events")

@@ -123,7 +123,7 @@ def strikes(spark, sf):
 _STATUS = ["done", "paused", "sensitive", "low_value", "not_listing"]
 _HOSTS = """(SELECT c_name AS host, (['done', 'paused', 'sensitive', 'low_value', 'not_listing'])[(c_custkey % 5 + 1)::INT] AS status, c_custkey % 7 AS dirs, c_custkey % 13 AS files, (c_acctbal * 100)::BIGINT AS bytes, c_custkey * 37 % 1009 AS crawled_at, c_custkey FROM customer)"""
 _SOURCES = ["seed", "moved", "resume", "link", "index:2026"]
-_CANDIDATES = """(SELECT 'http://' || c_name || '/' || repeat('d/', (o_orderkey % 3)::INT) || o_orderkey || '/' AS url, c_name AS host, (['seed', 'moved', 'resume', 'link', 'index:2026'])[(o_orderkey % 5 + 1)::INT] AS source, o_orderkey % 1000 AS found_at, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 1)"""
+_CANDIDATES = """(SELECT 'http://' || replace(c_name, '#', '-') || '/' || repeat('d/', (o_orderkey % 3)::INT) || o_orderkey || '/' AS url, c_name AS host, (['seed', 'moved', 'resume', 'link', 'index:2026'])[(o_orderkey % 5 + 1)::INT] AS source, o_orderkey % 1000 AS found_at, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 1)"""
 
 
 def _pick(names, number):
@@ -138,7 +138,7 @@ def _hosts(spark, sf):
 def _candidates(spark, sf):
     k = F.col("o_orderkey")
     rows = table(spark, sf, "orders").where(k % 3 != 1).join(table(spark, sf, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(F.concat(F.lit("http://"), "c_name", F.lit("/"), F.repeat(F.lit("d/"), (k % 3).cast("int")), k, F.lit("/")).alias("url"), F.col("c_name").alias("host"), _pick(_SOURCES, k).alias("source"), (k % 1000).alias("found_at"), k.alias("seq"))
+    return rows.select(F.concat(F.lit("http://"), F.replace("c_name", F.lit("#"), F.lit("-")), F.lit("/"), F.repeat(F.lit("d/"), (k % 3).cast("int")), k, F.lit("/")).alias("url"), F.col("c_name").alias("host"), _pick(_SOURCES, k).alias("source"), (k % 1000).alias("found_at"), k.alias("seq"))
 
 
 @query(f"""SELECT host, min(CASE WHEN source IN ('seed', 'moved') THEN 0 WHEN source = 'resume' THEN 1 WHEN source = 'link' THEN 2 ELSE 3 END)::INT AS priority, min(found_at) AS found_at FROM {_CANDIDATES} c
