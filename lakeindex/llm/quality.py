@@ -2,7 +2,7 @@
 
 The forest isolates rows by random splits of random statistics; the shorter a row's mean path, the stranger the row. Its trees
 grow on a bounded sample of all documents (an isolation forest needs no more), the threshold comes from labelled rows: the score
-that most rows of good quality stay below. What the base rule rejects stays rejected.
+of the least cost that nearly all rows of good quality stay below. What the base rule rejects stays rejected.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from lakeindex.llm.common import WORD, bounded_sample, prepare
 TREES, LEAF_SAMPLE = 120, 256  # trees, and rows that each grows on
 SAMPLE = 6000  # documents that trees draw from, at most
 LABELLED = 6000  # labelled rows that set the threshold, at most
-GOOD_KEPT = 0.995  # share of good rows that stay below the threshold
+GOOD_KEPT = 0.99  # least share of good rows that stay below the threshold
+COST = 10.0  # of a good row dropped, in bad rows kept
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATIOS = ["mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "letter_ratio", "upper_ratio", "digit_ratio", "distinct_ratio"]
+RATIOS = ["mean_word", "symbol_ratio", "repeat_ratio", "upper_ratio"]
 _WORDS, _SYMBOL, _HAS_WORD = re.compile(WORD), str.maketrans("", "", "#*$%&|<>"), re.compile(WORD)
+_LETTER, _UPPER = re.compile(r"[^A-Za-z]+"), re.compile(r"[^A-Z]+")
 
 
 def statistics(text: str) -> tuple[list[int], list[float]]:
@@ -46,12 +48,8 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
         covered = np.zeros(n, bool)
         covered[twice] = covered[twice + 1] = covered[twice + 2] = True
         repeated = int(covered.sum())
-    flat = "".join(words)
-    points = np.frombuffer(flat.encode("utf-32-le", "replace"), "<u4")
-    upper = ((points >= 65) & (points <= 90)).sum()
-    letters = upper + ((points >= 97) & (points <= 122)).sum() + (points >= 0xC0).sum()
-    digits = ((points >= 48) & (points <= 57)).sum()
-    ratios = [chars / n, symbols / n, dup / max(1, len(lines)), repeated / n, letters / chars, upper / max(1, letters), digits / chars, len(number) / n**0.9]
+    cased = len(_LETTER.sub("", text))
+    ratios = [chars / n, symbols / n, repeated / n, len(_UPPER.sub("", text)) / max(1, cased)]
     return [n, chars, symbols, dup, repeated], [float(x) for x in ratios]
 
 
@@ -62,9 +60,11 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 class IsolationForest:
     """Random trees as arrays: feature, threshold, children, and the path length of a leaf."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7):
+    def __init__(self, rows: np.ndarray, weights: np.ndarray | None = None, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7):
+        """weights: how often a split takes each statistic, all alike by default."""
         rng = np.random.default_rng(seed)
         self.sample = min(sample, len(rows))
+        self.weights = np.ones(rows.shape[1]) if weights is None else weights
         self.trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], rng) for _ in range(trees)] if len(rows) else []
 
     @staticmethod
@@ -82,7 +82,7 @@ class IsolationForest:
             low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(0), np.zeros(0))
             spread = np.flatnonzero(high > low)
             if len(part) > 1 and depth < np.ceil(np.log2(self.sample)) + 2 and len(spread):
-                f = int(rng.choice(spread))
+                f = int(rng.choice(spread, p=self.weights[spread] / self.weights[spread].sum()))
                 at = rng.uniform(low[f], high[f])
                 below = part[:, f] <= at
                 feature[k], cut[k] = f, at
@@ -129,24 +129,46 @@ def _judge(forest: IsolationForest, threshold: float):
     return run
 
 
+def telling(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """For each statistic how well it tells labelled rows apart: the fourth power of 2 |AUC - 1/2|, with a floor; 1 without both kinds."""
+    if not len(good) or not len(bad):
+        return np.ones(good.shape[1])
+    out = []
+    for a, b in zip(good.T, bad.T):
+        a = np.sort(a)
+        auc = (np.searchsorted(a, b) + np.searchsorted(a, b, side="right")).mean() / 2 / len(a)
+        out.append((2 * auc - 1) ** 4)
+    return np.maximum(np.array(out), 0.01)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED) -> tuple[IsolationForest, float]:
-    """The forest, grown on at most `sample` documents, and the threshold from at most `labelled` rows of quality 1.
+    """The forest, grown on at most `sample` documents, and the threshold from at most `labelled` labelled rows.
 
-    Both samples are the rows of smallest hashed ids, so a rerun finds the same. Without good rows that pass the base rule
-    the threshold is 1, which keeps all.
+    Both samples are the rows of smallest hashed ids, so a rerun finds the same. Labels say how often splits take each
+    statistic, and which score is the threshold. Without good rows that pass the base
+    rule the threshold is 1, which keeps all.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = bounded_sample(ids.select("doc_id").where("doc_id is not null"), "doc_id", sample).withColumn("good", F.lit(False)).union(bounded_sample(good, "doc_id", labelled).withColumn("good", F.lit(True)))
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    chosen = bounded_sample(ids.select("doc_id").where("doc_id is not null"), "doc_id", sample).withColumn("quality", F.lit(None).cast("int")).union(bounded_sample(known, "doc_id", labelled))
     # Both samples are bounded by parameters, so is what is broadcast: at most sample + labelled ids.
-    chosen = chosen.groupBy("doc_id").agg(F.max("good").alias("good"))
+    chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = ids.join(F.broadcast(chosen), "doc_id")
     measured = rows.select("doc_id", "text").mapInArrow(_measure, "doc_id long, stats array<long>, ratios array<double>").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample + labelled).collect()
     ratios = np.array([r.ratios for r in measured], float).reshape(-1, len(RATIOS))
     passed = np.array([not base_failed(r.stats[0], r.stats[4]) for r in measured], bool)
-    forest = IsolationForest(ratios[passed])
-    scores = forest.scores(ratios[passed & np.array([r.good for r in measured], bool)])
-    return forest, float(np.quantile(scores, GOOD_KEPT)) if len(scores) else 1.0
+    good, bad = (passed & np.array([r.quality == q for r in measured], bool) for q in (1, 0))
+    forest = IsolationForest(ratios[passed], telling(ratios[good], ratios[bad]))
+    return forest, calibrated(forest.scores(ratios[good]), forest.scores(ratios[bad]))
+
+
+def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
+    """The score beyond which rows go: of those that GOOD_KEPT of the good rows stay below, the one of the least cost."""
+    if not len(good):
+        return 1.0
+    levels = np.quantile(good, np.linspace(GOOD_KEPT, 1, 21))
+    costs = [COST * (good > t).mean() + (bad <= t).mean() if len(bad) else -t for t in levels]
+    return float(levels[int(np.argmin(costs))])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED) -> DataFrame:
