@@ -21,6 +21,9 @@ SAMPLE = 12_000  # labelled rows to learn from, at most
 VOTERS = 3000  # words and beginnings that vote, at most
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
+ONE_STEM = 12  # features of one word and its beginnings, at most
+SURE = 0.95  # share of a sure voter's rows that the label model holds for toxic
+TIED = 0.3  # correlation given the truth from which voters share their evidence
 _WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("upper", "exclaiming", "elongated", "symbols")
 _LONG = re.compile(r"(.)\1{3,}")
@@ -92,14 +95,14 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.n
             spread = np.sqrt((rest**2).mean(0)) + 1e-6
             tied = (rest.T @ rest) / n / np.outer(spread, spread)
             np.fill_diagonal(tied, 0)
-            share = 1 / (1 + np.clip(tied, 0, 1)[:, :].sum(1)) if m else np.zeros(0)
+            share = 1 / (1 + np.where(tied > TIED, tied, 0).sum(1))
         llr1, llr0 = np.log(hit1 / hit0) * share, np.log((1 - hit1) / (1 - hit0)) * share
         z = np.log(one / zero) + votes @ llr1 + (1 - votes) @ llr0 + np.where(labels > 0, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return p
 
 
-def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 200) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.001, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and bias that fit the posterior labels: Adagrad on the ridge-penalised log loss."""
     w, b = np.zeros(x.shape[1]), 0.0
     scale, scale_b = np.full(x.shape[1], 1e-8), 1e-8
@@ -114,15 +117,15 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 20
 
 
 class Scorer:
-    """A linear score over voters. Merged voters count once, whichever of them fire."""
+    """A linear score over voters, over whether a sure one fires, and over patterns. Merged voters count once."""
 
-    def __init__(self, voters: dict[str, int], weights: np.ndarray, bias: float):
-        self.voters, self.weights, self.bias = voters, weights, bias
+    def __init__(self, voters: dict[str, int], weights: np.ndarray, bias: float, sure: frozenset | set = frozenset()):
+        self.voters, self.weights, self.bias, self.sure = voters, weights, bias, sure
 
     def score(self, text: str) -> float:
         m = len(self.weights) - len(PATTERNS) - 1
         fired = {self.voters[f] for f in self.voters.keys() & features(text)} if text else set()
-        z = self.bias + sum(self.weights[i] for i in fired) + (self.weights[m] if fired else 0.0)
+        z = self.bias + sum(self.weights[i] for i in fired) + (self.weights[m] if fired & self.sure else 0.0)
         if text:
             z += sum(w for w, f in zip(self.weights[m + 1 :], patterns(text)) if f)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -137,6 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     # At most `sample` ids and labels, so their broadcast is bounded by a parameter.
     chosen = F.broadcast(bounded_sample(named, "doc_id", sample))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # Copies of one text are one piece of evidence.
+    rows = rows.groupBy(F.sha2("text", 256).alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     counts = rows.select("text", "toxic").mapInArrow(_count, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     size = rows.agg(F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("yes"), F.count("*").alias("n")).first()
     base = min(0.5, max(1e-6, size.yes / max(1, size.n)))
@@ -153,14 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     for i, r in enumerate(got):
         fired[i, r.fired] = 1
     group = merge_voters(fired) if number else np.zeros(0, int)
+    # Many features that fire on the same rows are the words of near copies of one text; they say nothing of other texts.
+    number = {f: i for f, i in number.items() if (group == group[i]).sum() <= ONE_STEM}
+    fired = fired[:, list(number.values())]
+    group = np.unique(group[list(number.values())], return_inverse=True)[1]
     m = int(group.max()) + 1 if len(group) else 0
     votes = np.zeros((len(got), m), np.float32)
     for j, g in enumerate(group):
         votes[:, g] = np.maximum(votes[:, g], fired[:, j])
     more = np.array([r.patterns for r in got], np.float32).reshape(len(got), len(PATTERNS))
     p = label_model(np.concatenate([votes, more], axis=1).astype(float), np.array([r.toxic for r in got], float))
-    weights, bias = logistic(np.concatenate([votes, votes.max(1, keepdims=True) if m else np.zeros((len(got), 1)), more], axis=1).astype(float), p)
-    return Scorer({f: int(group[i]) for f, i in number.items()}, weights, bias)
+    sure = (p @ votes + 0.05) / (votes.sum(0) + 0.1) >= SURE
+    one = votes[:, sure].max(1, keepdims=True) if sure.any() else np.zeros((len(got), 1))
+    weights, bias = logistic(np.concatenate([votes, one, more], axis=1).astype(float), p)
+    return Scorer({f: int(g) for f, g in zip(number, group)}, weights, bias, set(np.flatnonzero(sure).tolist()))
 
 
 def _score(scorer: Scorer):
