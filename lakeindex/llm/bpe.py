@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import prepare, texts
+from lakeindex.llm.common import prepare, texts, tidy
 
-#: Pieces whose encodings, and prefixes whose last tokens, a worker keeps; it starts anew beyond, so its memory is bounded.
-REMEMBERED, PREFIXES = 400_000, 600_000
+#: Pieces' encodings, prefixes' last tokens and verdicts on pairs that a worker keeps; it starts anew beyond, so its memory is bounded.
+REMEMBERED, PREFIXES, PAIRS = 250_000, 300_000, 200_000
 #: Pieces of more bytes are encoded but not kept.
 KEPT_BYTES = 64
 
@@ -86,7 +86,7 @@ class Vocabulary:
                 until, left = left, self.parts(left)[1]
             else:
                 until, right = right + 1, self.parts(right)[0]
-        if len(self.met) >= 4 * REMEMBERED:
+        if len(self.met) >= PAIRS:
             self.met.clear()
         self.met[key] = found
         return found
@@ -181,6 +181,11 @@ class Encoder(dict):
             at -= self.lengths[out[-1]]
         return out[::-1]
 
+    def forget(self) -> None:
+        """Between partitions only the verdicts on pairs stay."""
+        self.clear()
+        self.last.clear()
+
     def packed(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
@@ -258,6 +263,7 @@ def _encode(path, pattern, digests):
                 ends = np.cumsum([0, *counts]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
+        e.forget()
 
     return run
 
@@ -269,13 +275,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     has no ids. Ids of documents pass through, null and repeated ones too; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_encode(path, pattern, False), "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(_encode(path, pattern, False)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """As encode_documents, then decodes; rows (doc_id, n_tokens, ids_sha256, decoded_sha256) leave the ids in the worker."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(path, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_encode(path, pattern, True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _decode(path, pattern):
@@ -290,4 +296,4 @@ def _decode(path, pattern):
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Rows (doc_id, bytes) of rows (doc_id, ids); null ids count as none."""
     prepare(encoded.sparkSession)
-    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path, pattern), "doc_id long, bytes binary")
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(tidy(_decode(path, pattern)), "doc_id long, bytes binary")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import bounded_sample, byte_runs, prepare, remainder
+from lakeindex.llm.common import bounded_sample, byte_runs, prepare, remainder, tidy
 
 BITS = 12  # of a hashed n-gram
 SAMPLE = 2500  # documents that classifiers train on, at most
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     # At most `sample` ids, so their broadcast is bounded by a parameter.
     ids = F.broadcast(bounded_sample(known.select("doc_id"), "doc_id", sample).distinct())
-    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(_sparse, "doc_id long, lang string, k array<int>, n array<float>")
+    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(tidy(_sparse), "doc_id long, lang string, k array<int>, n array<float>")
     got = [(r.doc_id, r.lang, np.array(r.k, np.int32), np.array(r.n, np.float32)) for r in rows.toLocalIterator()]
     return train([r[1:] for r in sorted(got, key=lambda r: (crc32(str(r[0]).encode()), r[0], r[1]))])
 
@@ -197,4 +197,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (remainder("doc_id", 4) == 2).alias("held_out"))
     model = fit(rows.where("not held_out").drop("held_out"), sample)
-    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(tidy(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

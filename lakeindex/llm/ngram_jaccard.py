@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import filter_at, filter_bits, materialize, passes, prepare
+from lakeindex.llm.common import filter_at, filter_bits, materialize, passes, prepare, tidy
 from lakeindex.llm.components import components
 from lakeindex.llm.hashing import mix, shingle_sets
 
@@ -301,11 +301,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
         raise ValueError("similarity must be above 0 and at most 1")
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    heavy = rows.select("text").mapInArrow(_heavy_rows(words), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).collect()
+    heavy = rows.select("text").mapInArrow(tidy(_heavy_rows(words)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).collect()
     tokens = np.array([r.token for r in heavy], np.int64).view(np.uint64)
     order, rank = np.argsort(tokens), np.arange(len(tokens), 0, -1)  # the rarest first
 
-    sets = materialize(rows.mapInArrow(_sets(words, num, den, tokens[order], rank[order]), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
+    sets = materialize(rows.mapInArrow(tidy(_sets(words, num, den, tokens[order], rank[order])), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
     classes = materialize(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
 
     # Of two linked classes the smaller has a shared token among its first n - ceil(2t / (1 + t) * n) + 1.
@@ -322,13 +322,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     def of(ids: DataFrame, signatures: bool) -> DataFrame:
         at = filter_at("id")
         read = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", at.alias("p"))
-        return read.mapInArrow(_members(words, filter_bits(ids.select(at.alias("p"))), signatures), "id long, n long, data binary").dropDuplicates()
+        return read.mapInArrow(tidy(_members(words, filter_bits(ids.select(at.alias("p"))), signatures)), "id long, n long, data binary").dropDuplicates()
 
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, block) * F.col("blocks") + F.greatest(k, block))
     dealt = shared.select("token", "n", "id", F.explode(pairs).alias("tile"))
     grouped = dealt.join(of(shared, True), ["id", "n"]).select("token", "tile", "n", "id", F.col("data").alias("bits")).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "id")
-    families = materialize(components(grouped.mapInArrow(_families(num, den), "u long, v long")).select(F.col("u").alias("id"), F.col("component").alias("family")))
+    families = materialize(components(grouped.mapInArrow(tidy(_families(num, den)), "u long, v long")).select(F.col("u").alias("id"), F.col("component").alias("family")))
     members = families.join(classes.select("id", "n", "copies"), "id").join(of(families, False), ["id", "n"])
     dealt = _tiles(members.select("family", "id", "n", "copies", F.col("data").alias("tokens")), num, den)
     found = materialize(dealt.groupBy("family", "band", "a", "b").applyInArrow(_tile(num, den), "u long, v long, links long"))

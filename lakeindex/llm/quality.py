@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import WORD, bounded_sample, prepare
+from lakeindex.llm.common import bounded_sample, prepare, tidy, WORD
 
 TREES, LEAF_SAMPLE = 120, 256  # trees, and rows that each grows on
 SAMPLE = 6000  # documents that trees draw from, at most
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, labelled: int
     # Both samples are bounded by parameters, so is what is broadcast: at most sample + labelled ids.
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = ids.join(F.broadcast(chosen), "doc_id")
-    measured = rows.select("doc_id", "text").mapInArrow(_measure, "doc_id long, stats array<long>, ratios array<double>").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample + labelled).collect()
+    measured = rows.select("doc_id", "text").mapInArrow(tidy(_measure), "doc_id long, stats array<long>, ratios array<double>").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample + labelled).collect()
     ratios = np.array([r.ratios for r in measured], float).reshape(-1, len(RATIOS))
     passed = np.array([not base_failed(r.stats[0], r.stats[4]) for r in measured], bool)
     good, bad = (passed & np.array([r.quality == q for r in measured], bool) for q in (1, 0))
@@ -180,4 +180,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, labe
     prepare(docs.sparkSession)
     forest, threshold = fit(docs, labels, sample, labelled)
     out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, anomaly double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge(forest, threshold), out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_judge(forest, threshold)), out)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeindex.llm.bpe import encoder
-from lakeindex.llm.common import prepare
+from lakeindex.llm.common import prepare, tidy
 
 RULES = ("majority", "start", "end")
 
@@ -89,6 +89,7 @@ def _count(path, pattern, rule, spans):
                 for k, v in (("n_tokens", len(ids)), ("section_tokens", counts.tolist()), ("unattributed", none), ("crossing", crossing)):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["section_tokens"], pa.list_(pa.int64())), pa.array(out["unattributed"], pa.int64()), pa.array(out["crossing"], pa.int64())], ["doc_id", *out])
+        e.forget()
 
     return run
 
@@ -110,7 +111,7 @@ def section_tokens(docs: DataFrame, spans_column: str | None = None, rule: str =
     columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")]
     if spans_column:
         columns.append(F.transform(spans_column, lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))).alias("spans"))
-    return docs.select(*columns).mapInArrow(_count(path, pattern, rule, bool(spans_column)), OUT)
+    return docs.select(*columns).mapInArrow(tidy(_count(path, pattern, rule, bool(spans_column))), OUT)
 
 
 def field_tokens(rows: DataFrame, fields: list[str], separator: str = "\n", rule: str = "majority", id_column: str = "doc_id", **options) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import bounded_sample, prepare, remainder
+from lakeindex.llm.common import bounded_sample, prepare, remainder, tidy
 
 SAMPLE = 12_000  # labelled rows to learn from, at most
 VOTERS = 3000  # words and beginnings that vote, at most
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
     # Copies of one text are one piece of evidence.
     rows = rows.groupBy(F.sha2("text", 256).alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    counts = rows.select("text", "toxic").mapInArrow(_count, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counts = rows.select("text", "toxic").mapInArrow(tidy(_count), "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     size = rows.agg(F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("yes"), F.count("*").alias("n")).first()
     base = min(0.5, max(1e-6, size.yes / max(1, size.n)))
     if not size.yes or size.yes == size.n:
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     tests = counts.count()
     best = counts.where((F.col("yes") >= 4) & (q > max(0.5, 3 * base))).withColumn("gain", gain).where(F.col("gain") > float(np.log(max(2, tests)) + 2)).orderBy(F.desc("gain"), "feature").limit(VOTERS).collect()
     number = {r.feature: i for i, r in enumerate(best)}
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(_fire(number), "doc_id long, toxic boolean, fired array<int>, patterns array<boolean>").orderBy("doc_id", "fired").limit(sample).collect()
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(tidy(_fire(number)), "doc_id long, toxic boolean, fired array<int>, patterns array<boolean>").orderBy("doc_id", "fired").limit(sample).collect()
     fired = np.zeros((len(got), len(number)), np.float32)
     for i, r in enumerate(got):
         fired[i, r.fired] = 1
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     prepare(docs.sparkSession)
     scorer = learn(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (remainder("doc_id", 3) == 1).alias("held_out"))
-    return rows.mapInArrow(_score(scorer), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(_score(scorer)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -210,4 +210,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t or "") < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
