@@ -150,7 +150,7 @@ class Lake:
         m = messages.select(*[F.col(c) if c in messages.columns else F.lit(None).alias(c) for c in _names(MESSAGES)])
         m = self.spark.createDataFrame([], MESSAGES).unionByName(m)
         bad = F.when(~F.col("kind").isin(*KINDS) | F.col("kind").isNull(), "unknown kind").when(F.col("kind").isin("entries", "host_done", "paused") & F.col("host").isNull(), "no host").when((F.col("kind") == "host_done") & ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown status").when((F.col("kind") == "cc_file_done") & F.col("path").isNull(), "no path")
-        m = m.withColumn("why", bad)
+        m = self._hold(m.withColumn("why", bad))  # read several times below, and made by walks
         good = m.where("why is null")
         letters = self.table("dead_letters").unionByName(m.where("why is not null").select("seq", "kind", "host", "why"))
 
@@ -168,7 +168,7 @@ class Lake:
         mine = {t: df.join(touched, "host", "left_semi") for t, df in (("hosts", hosts), ("dirs", dirs), ("entries", entries), ("candidates", candidates))}
         state = _state(mine)
         folded = log.groupBy("host").cogroup(state.groupBy("host")).applyInPandas(lambda log, state: _fold(log, state, base), FOLDED)
-        folded = folded.checkpoint() if self.spark.sparkContext.getCheckpointDir() else folded.persist()
+        folded = self._hold(folded)
 
         kept = folded.where("kind = 'dir'").select("host", F.col("url").alias("dir_url"), "src")
         old_entries = entries.join(touched, "host", "left_anti").unionByName(mine["entries"].join(kept.where("src is null").drop("src"), ["host", "dir_url"], "left_semi"))
@@ -187,6 +187,7 @@ class Lake:
             return self.commit(**out)
         finally:
             folded.unpersist()
+            m.unpersist()
 
     def send(self, *messages: dict, now: int | None = None) -> int:
         """Applies messages given as dicts, numbered in order."""

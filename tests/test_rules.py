@@ -104,3 +104,18 @@ def test_listings(spark):
 @pytest.mark.parametrize("body, server", [("<title>Index of /</title><address>Apache", "apache"), ('<a href="?C=M;O=D">', "apache"), ('<table id="list"><a href="?C=N&amp;O=A">', "nginx"), ("<h1>Directory listing for /</h1>", "python-http"), ("<p>", None)])
 def test_servers(spark, body, server):
     assert L.detect_server(body.lower()) == server and spark.range(1).select(L.server_column(F.lit(body)).alias("x")).first().x == server
+
+
+def test_lists_and_robots(tmp_path):
+    from lakeindex.sources.lists import read_list, read_seeds
+    from lakeindex.sources.robots import Robots, retry_after
+
+    (tmp_path / "a.TXT").write_bytes("﻿http://b.org/ # note\r\n\r\n# all\nhttp://a.org\n".encode("utf-16-le"))
+    (tmp_path / "b.txt").write_text("http://b.org/\nnot a url\nftp://c.org/\n")
+    (tmp_path / "c.md").write_text("http://no.org/")
+    assert read_list(f"{tmp_path}/a.TXT") == ["http://b.org/", "http://a.org"] and read_list(f"{tmp_path}/none") == []
+    assert read_seeds(str(tmp_path), ["http://t.org/x"]) == ["http://t.org/x", "http://b.org/", "http://a.org/"]
+    r = Robots("User-agent: lake\nDisallow: /a\nAllow: /a/b\nDisallow: /*.tmp$\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /", "lakeindex")
+    assert [r.allows(p) for p in ("/a/x", "/a/b/c", "/x.tmp", "/x.tmpx", "/")] == [False, True, False, True, True] and r.delay == 2
+    assert not Robots("User-agent: *\nCrawl-delay: 100", "x").allows("/") and Robots("", "x").allows("/")
+    assert [retry_after(x) for x in ("5", "9999", "soon", None)] == [5, 300, None, None]
