@@ -74,9 +74,9 @@ def search_bm25_topk(spark, sf):
     return search.top(_ranked(docs, "The er"), docs.select(F.col("doc_id").alias("doc")), 20).select(F.col("doc").alias("doc_id"), "rank")
 
 
-@query(_bm25_sql("documents", "doc_id", ["oncl", "thn"], None))
+@query(_bm25_sql("documents", "doc_id", ["onti", "thnt"], None))
 def search_prefix_and(spark, sf):
-    return _ranked(table(spark, sf, "documents"), "onçl, thn!").select(F.col("doc").alias("doc_id"), "rank")
+    return _ranked(table(spark, sf, "documents"), "ontï, Thnt!").select(F.col("doc").alias("doc_id"), "rank")
 
 
 @query(_bm25_sql("documents", "doc_id", ["cion"], 25, ", source, n_chars", "AND n_chars >= 1000 AND source NOT IN ('src0', 'src7')"))
@@ -288,10 +288,10 @@ def sql_functions(spark, sf):
     return rows.selectExpr("id", "useful", "level", "ext_in(name, '.tar.gz, ISO') AS wanted")
 
 
-@query(f"SELECT id, name FROM {_N} WHERE (ends_with(lower(name), '.iso') OR ends_with(lower(name), '.log.gz')) AND size >= 150000 ")
+@query(f"SELECT id, name FROM {_N} WHERE (ends_with(lower(name), '.iso') OR ends_with(lower(name), '.log.gz')) AND size >= 140000")
 def extension_and_size_filter(spark, sf):
     rows, name = _names(spark, sf), F.col("name")
-    return rows.where(R.ext_in(name, F.lit(False), R.parse_extensions(".iso, LOG.gz")) & R.min_size(F.col("size"), 150000)).select("id", "name")
+    return rows.where(R.ext_in(name, F.lit(False), R.parse_extensions(".iso, LOG.gz")) & R.min_size(F.col("size"), 140000)).select("id", "name")
 
 
 @query(f"""SELECT id, name, (starts_with('http://h.org/' || name, 'http://h.org/a') OR id % 7 = 3 OR {duck_any('name', _re2(R.INFRINGING))}) AS hidden FROM {_N}""")
