@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lakeindex.llm.common import prepare, texts, tidy
 
 #: Pieces' encodings, prefixes' last tokens and verdicts on pairs that a worker keeps; it starts anew beyond, so its memory is bounded.
-REMEMBERED, PREFIXES, PAIRS = 250_000, 300_000, 200_000
+REMEMBERED, PREFIXES, PAIRS = 150_000, 200_000, 150_000
 #: Pieces of more bytes are encoded but not kept.
 KEPT_BYTES = 64
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lakeindex.llm.common import bounded_sample, prepare, remainder, tidy
 
 SAMPLE = 12_000  # labelled rows to learn from, at most
-VOTERS = 3000  # words and beginnings that vote, at most
+VOTERS = 1500  # words and beginnings that vote, at most
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 ONE_STEM = 12  # features of one word and its beginnings, at most
@@ -85,29 +85,29 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.n
     than the truth explains.
     """
     n, m = votes.shape
-    p = np.clip(labels.astype(float), 0.05, 0.95)
+    p = np.clip(labels, 0.05, 0.95).astype(votes.dtype)
     for turn in range(rounds):
         one, zero = p.sum() + 1, (1 - p).sum() + 1
         hit1, hit0 = (p @ votes + 0.5) / (one + 1), ((1 - p) @ votes + 0.05) / (zero + 1)
         right1, right0 = np.clip((p @ labels + 1) / (one + 1), 0.55, 0.999), np.clip(((1 - p) @ (1 - labels) + 1) / (zero + 1), 0.55, 0.999)
         if turn % 10 == 0:
-            rest = votes - np.outer(p, hit1) - np.outer(1 - p, hit0)
+            rest = votes - (np.outer(p, hit1 - hit0) + hit0).astype(votes.dtype)
             spread = np.sqrt((rest**2).mean(0)) + 1e-6
             tied = (rest.T @ rest) / n / np.outer(spread, spread)
             np.fill_diagonal(tied, 0)
             share = 1 / (1 + np.where(tied > TIED, tied, 0).sum(1))
-        llr1, llr0 = np.log(hit1 / hit0) * share, np.log((1 - hit1) / (1 - hit0)) * share
-        z = np.log(one / zero) + votes @ llr1 + (1 - votes) @ llr0 + np.where(labels > 0, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        llr1, llr0 = ((np.log(a) * share).astype(votes.dtype) for a in (hit1 / hit0, (1 - hit1) / (1 - hit0)))
+        z = np.log(one / zero) + votes @ (llr1 - llr0) + llr0.sum() + np.where(labels > 0, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
+        p = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(votes.dtype)
     return p
 
 
 def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.001, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and bias that fit the posterior labels: Adagrad on the ridge-penalised log loss."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b, p = np.zeros(x.shape[1]), 0.0, p.astype(x.dtype)
     scale, scale_b = np.full(x.shape[1], 1e-8), 1e-8
     for _ in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - p
+        g = (1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -30, 30))) - p).astype(x.dtype)
         step, step_b = x.T @ g + ridge * w, g.sum()
         scale += step * step
         scale_b += step_b * step_b
@@ -167,10 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     for j, g in enumerate(group):
         votes[:, g] = np.maximum(votes[:, g], fired[:, j])
     more = np.array([r.patterns for r in got], np.float32).reshape(len(got), len(PATTERNS))
-    p = label_model(np.concatenate([votes, more], axis=1).astype(float), np.array([r.toxic for r in got], float))
+    p = label_model(np.concatenate([votes, more], axis=1), np.array([r.toxic for r in got], np.float32))
     sure = (p @ votes + 0.05) / (votes.sum(0) + 0.1) >= SURE
     one = votes[:, sure].max(1, keepdims=True) if sure.any() else np.zeros((len(got), 1))
-    weights, bias = logistic(np.concatenate([votes, one, more], axis=1).astype(float), p)
+    weights, bias = logistic(np.concatenate([votes, one, more], axis=1, dtype=np.float32), p)
     return Scorer({f: int(g) for f, g in zip(number, group)}, weights, bias, set(np.flatnonzero(sure).tolist()))
 
 
