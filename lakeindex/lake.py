@@ -29,6 +29,8 @@ SCHEMAS = {
     "candidates": "url string, host string, source string, found_at long, seq long",
     "cc_files": "path string, candidates long, done_at long",
     "dead_letters": "seq long, kind string, host string, why string",
+    "postings": "token string, doc string, tf_name long, tf_path long",
+    "lengths": "doc string, length long",
 }
 ENTRY = "struct<url:string,name:string,is_dir:boolean,size:bigint,mtime:string>"
 MESSAGES = (
@@ -91,17 +93,20 @@ class Lake:
         df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/tables/{name}/{at}")
         return df.na.fill({"leaf": False}) if name == "dirs" else df
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Writes new versions of these tables and makes them all visible at once. Frames may read the current ones."""
+    def commit(self, notes: dict[str, str] | None = None, **tables: DataFrame) -> int:
+        """Writes new versions of these tables and makes them all visible at once. Frames may read the current ones.
+
+        notes are kept in the manifest beside the tables' versions.
+        """
         number, made = self.version(), uuid4().hex[:12]
-        sort = {"entries": ["dir_url", "name"], "dirs": ["url"], "candidates": ["host", "url"], "hosts": ["host"]}
+        sort = {"entries": ["dir_url", "name"], "dirs": ["url"], "candidates": ["host", "url"], "hosts": ["host"], "postings": ["token", "doc"], "lengths": ["doc"]}
         for name, df in tables.items():
             rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[name].split(", ")])
             if name in sort:
                 # Range-partitioned and sorted: filters on a host, folder or subtree read few row groups.
                 rows = rows.repartitionByRange(*sort[name]).sortWithinPartitions(*sort[name])
             rows.write.parquet(f"{self.path}/tables/{name}/{made}")
-        self._commit_manifest(number + 1, self._manifest(number) | dict.fromkeys(tables, made))
+        self._commit_manifest(number + 1, self._manifest(number) | dict.fromkeys(tables, made) | (notes or {}))
         return number + 1
 
     def vacuum(self, keep: int = KEEP_VERSIONS, least_share: float = 0.25) -> int:
@@ -302,13 +307,25 @@ class Lake:
 
     # Reading.
 
-    def search(self, query: str, limit: int = 20, extensions: str | None = None, min_bytes: int | None = None, unfiltered: bool = False, takedown: list[str] = (), optout: list[str] = ()) -> DataFrame:
-        """The best hits (url, name, is_dir, size, mtime, rank) among names and folder paths."""
+    def _searchable(self) -> DataFrame:
         from lakeindex.functions.urls import decoded_path
 
         f = self.table("entries").withColumn("url", R.entry_url(F.col("dir_url"), F.col("href"), F.col("name"), F.col("is_dir")))
-        docs = f.withColumn("path", decoded_path(R.url_path(F.col("dir_url"))))
-        ranks = search.ranked(*search.build_index(docs, "url", "name", "path"), query)
+        return f.withColumn("path", decoded_path(R.url_path(F.col("dir_url"))))
+
+    def index(self) -> int:
+        """Stores the search index of the current entries, sorted by token: a search then reads only the tokens it asks for."""
+        postings, lengths = search.build_index(self._searchable(), "url", "name", "path")
+        return self.commit({"indexed": self._manifest(self.version()).get("entries", "")}, postings=postings, lengths=lengths)
+
+    def search(self, query: str, limit: int = 20, extensions: str | None = None, min_bytes: int | None = None, unfiltered: bool = False, takedown: list[str] = (), optout: list[str] = ()) -> DataFrame:
+        """The best hits (url, name, is_dir, size, mtime, rank) among names and folder paths.
+
+        Uses the stored index if it is of the current entries, else makes one on the way.
+        """
+        f, m = self._searchable(), self._manifest(self.version())
+        fresh = "entries" in m and m.get("indexed") == m["entries"]
+        ranks = search.ranked(*((self.table("postings"), self.table("lengths")) if fresh else search.build_index(f, "url", "name", "path")), query)
         hidden = R.taken_down(F.col("doc"), [normal_prefix(p) for p in takedown]) | R.domain_match(F.col("host"), [normal_domain(d) for d in optout])
         if not unfiltered:
             hidden = hidden | R.likely_infringing(F.col("name"))

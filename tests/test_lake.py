@@ -118,6 +118,12 @@ def test_search(lake):
     assert "other.iso" not in names("ubuntu", optout=["b.org"]) and "ubuntu.iso" not in names("ubuntu", takedown=["http://h.org"])
     with pytest.raises(ValueError):
         lake.search("--")
+    before = rows(lake.search("ubuntu pub"), "url", "rank")
+    lake.index()
+    stored = lake.search("ubuntu pub")
+    assert rows(stored, "url", "rank") == before and "StringStartsWith(token" in stored._jdf.queryExecution().executedPlan().toString()
+    lake.send(put("c.org", "/pub/", [("ubuntu new", 1)]))
+    assert "ubuntu new" in names("ubuntu pub")
     assert lake.sql("SELECT count(*) AS n FROM files WHERE is_useful(name, size)").first().n == 5
 
 
