@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from lakeindex.llm.common import prepare, texts, tidy
 
 #: Pieces' encodings, prefixes' last tokens and verdicts on pairs that a worker keeps; it starts anew beyond, so its memory is bounded.
-REMEMBERED, PREFIXES, PAIRS = 150_000, 200_000, 150_000
+REMEMBERED, PREFIXES, PAIRS = 800_000, 1_200_000, 1_000_000
+#: By how much less a lean encoder keeps, which also starts anew with each partition.
+LEAN = 6
 #: Pieces of more bytes are encoded but not kept.
 KEPT_BYTES = 64
 
@@ -34,9 +36,9 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, ranks))
+        self.longest, self.most_pairs = max(map(len, ranks)), PAIRS
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.met: dict[tuple[int, int], bool] = {}
+        self.met: dict[int, bool] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -69,7 +71,7 @@ class Vocabulary:
         Goes back in time through the merges that formed them, the latest first, and looks for a merge over the border that
         would have come before the next one. Of equal ranks the leftmost merges first.
         """
-        key = left, right
+        key = left << 32 | right
         if (known := self.met.get(key)) is not None:
             return known
         tokens, ranks, until = self.tokens, self.ranks, len(self.tokens)
@@ -86,7 +88,7 @@ class Vocabulary:
                 until, left = left, self.parts(left)[1]
             else:
                 until, right = right + 1, self.parts(right)[0]
-        if len(self.met) >= PAIRS:
+        if len(self.met) >= self.most_pairs:
             self.met.clear()
         self.met[key] = found
         return found
@@ -131,10 +133,12 @@ class Prefixes:
 class Encoder(dict):
     """Maps pieces to their ids as little-endian 32-bit integers; a piece that is missing is encoded."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, lean: bool = False):
         import regex
 
         super().__init__()
+        self.lean, self.most, self.most_prefixes = lean, REMEMBERED // (LEAN if lean else 1), PREFIXES // (LEAN if lean else 1)
+        vocabulary.most_pairs = PAIRS // (LEAN if lean else 1)
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         #: Tokens that are the encoding of their own bytes; only they stand in encodings.
         self.whole = {t: i for t, i in vocabulary.ranks.items() if vocabulary.parts(i) is not None}
@@ -148,14 +152,14 @@ class Encoder(dict):
         ids = [whole] if whole is not None else self._ids(data) if len(data) <= KEPT_BYTES else Prefixes(self.vocabulary, data).ids()
         packed = pack(f"<{len(ids)}I", *ids)
         if len(data) <= KEPT_BYTES:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = packed
         return packed
 
     def _ids(self, data: bytes) -> list[int]:
         """As Prefixes does, but from the longest prefix on that an earlier piece has left behind."""
-        if len(self.last) >= PREFIXES:
+        if len(self.last) >= self.most_prefixes:
             self.last.clear()
         last, get, met, longest = self.last, self.whole.get, self.vocabulary.met, self.vocabulary.longest
         done = len(data)
@@ -169,7 +173,7 @@ class Encoder(dict):
                 if not start:
                     break
                 left = last[data[:start]]
-                fits = met.get((left, token))
+                fits = met.get(left << 32 | token)
                 if self.vocabulary.adjacent(left, token) if fits is None else fits:
                     break
             else:
@@ -181,10 +185,11 @@ class Encoder(dict):
             at -= self.lengths[out[-1]]
         return out[::-1]
 
-    def forget(self) -> None:
-        """Between partitions only the verdicts on pairs stay."""
-        self.clear()
-        self.last.clear()
+    def rest(self) -> None:
+        """At the end of a partition a lean encoder keeps only the verdicts on pairs."""
+        if self.lean:
+            self.clear()
+            self.last.clear()
 
     def packed(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
@@ -235,18 +240,18 @@ class EncodedText:
 
 
 @lru_cache(2)
-def encoder(path: str | None, pattern: str | None) -> Encoder:
+def encoder(path: str | None, pattern: str | None, lean: bool = False) -> Encoder:
     """One encoder a worker. Without a path, the public multilingual vocabulary of the installed package and its pattern."""
     import public_tokenizers
 
-    return Encoder(Vocabulary.read(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), pattern or public_tokenizers.PATTERN)
+    return Encoder(Vocabulary.read(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), pattern or public_tokenizers.PATTERN, lean)
 
 
-def _encode(path, pattern, digests):
+def _encode(path, pattern, digests, lean=False):
     def run(batches):
         import regex  # noqa: F401  fails early where it is missing
 
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, lean)
         for batch in batches:
             counts, ids, one, two = [], [], [], []
             for text in texts(batch.column(1)):
@@ -263,19 +268,19 @@ def _encode(path, pattern, digests):
                 ends = np.cumsum([0, *counts]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
-        e.forget()
+        e.rest()
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_column: str = "doc_id", text_column: str = "text", lean: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids), one for each document: its text's ids by the rank file at `path`.
 
     Each match of the pattern is encoded separately; special tokens are ordinary text. Null counts as the empty text, which
-    has no ids. Ids of documents pass through, null and repeated ones too; other columns are ignored.
+    has no ids. A lean worker remembers a sixth, for executors that hold much else. Ids of documents pass through, null and repeated ones too; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(_encode(path, pattern, False)), "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(_encode(path, pattern, False, lean)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def _count(path, pattern, rule, spans):
                 for k, v in (("n_tokens", len(ids)), ("section_tokens", counts.tolist()), ("unattributed", none), ("crossing", crossing)):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["section_tokens"], pa.list_(pa.int64())), pa.array(out["unattributed"], pa.int64()), pa.array(out["crossing"], pa.int64())], ["doc_id", *out])
-        e.forget()
+        e.rest()
 
     return run
 
