@@ -40,8 +40,7 @@ def features(text: str) -> set[str]:
 def patterns(text: str) -> list[bool]:
     """What each pattern voter says of the text."""
     n = max(1, len(text))
-    letters = text[:20_000]
-    return [letters.isupper(), text.count("!") * 40 > n, bool(_LONG.search(letters)), sum(text.count(c) for c in "#*$%&|<>") * 20 > n]
+    return [text.isupper(), text.count("!") * 40 > n, bool(_LONG.search(text)), sum(text.count(c) for c in "#*$%&|<>") * 20 > n]
 
 
 def _count(batches):

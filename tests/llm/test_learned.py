@@ -6,7 +6,7 @@ import numpy as np
 
 from lakeindex.llm.langid import Codes, codewords, identify
 from lakeindex.llm.quality import IsolationForest, quality_rules, statistics
-from lakeindex.llm.toxicity import label_model, score_documents
+from lakeindex.llm.toxicity import label_model, patterns, score_documents
 
 WORDS = {"en": "the and that with from have this will your about they would there".split(), "fr": "les des une dans pour avec être sont mais nous très où été".split(), "de": "der die und nicht eine ist über mit auch für größe schön".split()}
 
@@ -121,3 +121,8 @@ def test_toxicity_held_out(spark):
     blind = ldf.where("doc_id is null or crc32(cast(doc_id as string)) % 3 <> 1")
     assert {r.doc_id: r.score for r in score_documents(df, blind).collect()} == {i: r.score for i, r in got.items()}
     assert score_documents(df, ldf.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_patterns_see_the_whole_text():
+    assert patterns("word " * 5000 + "sooooo")[2] and not patterns("word " * 5000 + "so")[2]
+    assert patterns("WORD " * 5000)[0] and not patterns("WORD " * 5000 + "small")[0]
