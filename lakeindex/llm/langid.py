@@ -10,13 +10,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeindex.llm.common import bounded_sample, byte_runs, prepare, remainder, tidy
 
-BITS = 12  # of a hashed n-gram
-SAMPLE = 2500  # documents that classifiers train on, at most
+BITS = 13  # of a hashed n-gram
+SAMPLE = 6000  # documents that classifiers train on, at most
+EACH = 100  # of them for each language before the rest are taken
+BLOCK = 256  # training rows that are dense at once
 AMBIGUOUS = 0.2  # share of the loss between the two nearest codewords below which a text is flagged
 ORDERS = (1, 2, 3)  # bytes of an n-gram
 UNKNOWN = "und"
@@ -117,41 +119,72 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 60) -> C
     width = len(ORDERS) << BITS
     if not rows:
         return Codes([], codes, np.zeros((width, 1), np.float32), np.zeros(1), np.ones(1))
-    x = np.zeros((len(rows), width), np.float32)
-    for i, (_, k, n) in enumerate(rows):
-        x[i, k] = n
-    norm = x.reshape(len(rows), len(ORDERS), -1)
-    norm /= np.maximum(norm.sum(2, keepdims=True), 1)
-    x *= 30
+    shares = []
+    for _, k, n in rows:
+        order = k >> BITS
+        shares.append((30 * n / np.maximum(np.bincount(order, n, len(ORDERS)), 1)[order]).astype(np.float32))
+    x = np.zeros((min(BLOCK, len(rows)), width), np.float32)
+
+    def blocks(first: int, last: int):
+        """Rows first to last, some at a time: their slice and their dense values, which the next block overwrites."""
+        for at in range(first, last, BLOCK):
+            to = min(at + BLOCK, last)
+            x[:] = 0
+            for i in range(at, to):
+                x[i - at, rows[i][1]] = shares[i]
+            yield slice(at, to), x[: to - at]
+
     number = {name: i for i, name in enumerate(languages)}
     y = codes[[number[r[0]] for r in rows]].astype(np.float32)
     kept = max(1, len(rows) - len(rows) // 10)
     w, b = np.zeros((width, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     scale = np.zeros_like(w)
-    a, t = x[:kept], y[:kept]
     for _ in range(epochs):
-        g = -t / (1 + np.exp(np.clip(t * (a @ w + b), -30, 30))) / len(a)
-        step = a.T @ g + 1e-5 * w
+        step, total = 1e-5 * w, np.zeros_like(b)
+        for at, a in blocks(0, kept):
+            t = y[at]
+            g = -t / (1 + np.exp(np.clip(t * (a @ w + b), -30, 30))) / kept
+            step += a.T @ g
+            total += g.sum(0)
         scale += step * step
         w -= 0.5 * step / np.sqrt(scale + 1e-12)
-        b -= 2 * g.sum(0)
-    check, truth = (x[kept:], y[kept:]) if kept < len(rows) else (x, y)
-    right = (np.sign(check @ w + b) == truth).mean(0)
+        b -= 2 * total
+    first = kept if kept < len(rows) else 0
+    right = sum((np.sign(a @ w + b) == y[at]).sum(0) for at, a in blocks(first, len(rows))) / (len(rows) - first)
     trust = np.clip(np.log(np.clip(right, 0.51, 0.999) / np.clip(1 - right, 0.001, 0.49)), 0.05, None)
     return Codes(languages, codes, w * 30, b, trust / trust.sum() * len(trust))
 
 
+def sample_ids(known: DataFrame, sample: int) -> DataFrame:
+    """At most `sample` different (doc_id, lang): the smallest hashed ids of each language in turn up to EACH, then the smallest of all."""
+    keys = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    few = keys.withColumn("turn", turn).where(F.col("turn") <= EACH)
+    rest = bounded_sample(keys, "doc_id", sample).withColumn("turn", F.lit(EACH + 1))
+    both = few.unionByName(rest).groupBy("doc_id", "lang", "h").agg(F.min("turn").alias("turn"))
+    return both.orderBy("turn", "h", "doc_id", "lang").limit(sample).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
     """Learns from at most `sample` documents (columns doc_id, text, lang; lang not null), those of the smallest hashed ids.
 
-    What reaches the driver is bounded by sample times the number of hashed n-grams, whatever the texts' length.
+    Each language has documents among them, if there are no more languages than `sample`. Of rows that repeat an id and its
+    language one counts. What the driver holds is bounded by sample times the number of hashed n-grams, whatever the texts' length.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     # At most `sample` ids, so their broadcast is bounded by a parameter.
-    ids = F.broadcast(bounded_sample(known.select("doc_id"), "doc_id", sample).distinct())
-    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(tidy(_sparse), "doc_id long, lang string, k array<int>, n array<float>")
-    got = [(r.doc_id, r.lang, np.array(r.k, np.int32), np.array(r.n, np.float32)) for r in rows.toLocalIterator()]
-    return train([r[1:] for r in sorted(got, key=lambda r: (crc32(str(r[0]).encode()), r[0], r[1]))])
+    ids = F.broadcast(sample_ids(known, sample))
+    rows = known.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(tidy(_sparse), "doc_id long, lang string, k array<int>, n array<float>")
+    got: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+    for r in rows.toLocalIterator():
+        new, old = (np.array(r.k, np.int32), np.array(r.n, np.float32)), got.get((r.doc_id, r.lang))
+        if old is None or [a.tobytes() for a in new] < [a.tobytes() for a in old]:
+            got[r.doc_id, r.lang] = new
+    order = sorted(got, key=lambda x: (crc32(str(x[0]).encode()), x))
+    # The first row of each language comes before all others, so that it is none of those that only weigh the bits.
+    firsts = {lang: (i, lang) for i, lang in reversed(order)}
+    order.sort(key=lambda x: firsts[x[1]] != x)
+    return train([(x[1], *got[x]) for x in order])
 
 
 def _predict(model: Codes):

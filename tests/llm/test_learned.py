@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from lakeindex.llm.langid import Codes, codewords, identify
+from lakeindex.llm.langid import Codes, codewords, fit, identify
 from lakeindex.llm.quality import IsolationForest, quality_rules, statistics
 from lakeindex.llm.toxicity import label_model, patterns, score_documents
 
@@ -126,3 +126,11 @@ def test_toxicity_held_out(spark):
 def test_patterns_see_the_whole_text():
     assert patterns("word " * 5000 + "sooooo")[2] and not patterns("word " * 5000 + "so")[2]
     assert patterns("WORD " * 5000)[0] and not patterns("WORD " * 5000 + "small")[0]
+
+
+def test_rare_languages_keep_a_codeword(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS["de" if i % 2 else "en"]) for _ in range(5)), "de" if i % 2 else "en") for i in range(2000)] + [(5000 + i, "kaj estas tio", "eo") for i in range(2)]
+    rows += [rows[-1]] * 3
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    assert model.languages == ["de", "en", "eo"] and len(model.codes) == 3
