@@ -147,6 +147,17 @@ def test_crawl(spark, lake):
     assert crawl(lake, df, now=1001) == 0
 
 
+def test_crawl_goes_on_until_nothing_is_pending(lake, monkeypatch):
+    from lakeindex.plans import crawl as module
+
+    def one_round(lake, web, options, want, now, exclude):
+        walked = {r.host for r in exclude.collect()}
+        return [h for h in map("h{}.org".format, range(50)) if h not in walked][:want]
+
+    monkeypatch.setattr(module, "crawl_round", one_round)
+    assert crawl(lake, None, want=2) == 50 and crawl(lake, None, want=2, sites=7) == 7 and crawl(lake, None, sites=0) == 0
+
+
 def test_budget_resumes(spark, lake):
     pages = [("http://w.org/", 200, None, None, nginx([(f"d{i}/", "-") for i in range(10)]))] + [(f"http://w.org/d{i}/", 200, None, None, nginx([(f"{i}.iso", 20 << 20)])) for i in range(10)]
     df = spark.createDataFrame(pages, "url string, status int, content_type string, location string, body string")
