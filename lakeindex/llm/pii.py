@@ -273,18 +273,55 @@ def digest_spans(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_column: str = "text", mark: str = "<{}>") -> DataFrame:
-    """The documents with each accepted candidate of their text replaced by its kind's mark; nothing is shuffled.
+def _spans(k: int, model: tuple | None, text: Column) -> Column:
+    """An array of (start, end, kind): the accepted candidates of generator k, in their order."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    made = _candidates(GENERATORS[k], text, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
-    Kinds are taken in their order, each on what the ones before left, so of overlapping spans the first kind's mark stands and
-    the rest of the other span is judged anew. All other columns, rows and nulls stay; the columns keep their order.
-    """
-    known, text, out = models(docs.sparkSession), F.col(text_column), docs
-    for g in GENERATORS:
-        masked = F.lit(mark.format(g.kind.upper()))
+    def add(a: Column, c: Column) -> Column:
+        start = a["at"] + F.length(c["gap"])
+        end = start + F.coalesce(F.length(c["m"]), F.lit(0))
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(k).alias("kind"))
+        ok = c["m"].isNotNull() & accepted(GENERATORS[k], model, F.right(c["gap"], F.lit(BEFORE)), c["m"])
+        return F.struct(end.alias("at"), F.when(ok, F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
 
-        def keep(gap: Column, m: Column) -> Column:
-            return F.concat(gap, F.when(m.isNull(), F.lit("")).when(accepted(g, known.get(g.kind), F.right(gap, F.lit(BEFORE)), m), masked).otherwise(m))
+    found = F.aggregate(made, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda a: a["found"])
+    return F.coalesce(found, none)
 
-        out = out.withColumn(text_column, F.coalesce(F.array_join(_candidates(g, text, keep), ""), text))
-    return out
+
+def _clear_of(others: Column):
+    return lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
+
+
+def redact(docs: DataFrame, text_column: str = "text", mark: str = "<{}>") -> DataFrame:
+    """The documents with the spans that `find_spans` finds in their text replaced by their kinds' marks; nothing is shuffled.
+
+    Spans that overlap become one, with the mark of the kind that is listed first. All other columns, rows and nulls stay; the
+    columns keep their order.
+    """
+    known, text = models(docs.sparkSession), F.col(text_column)
+    marks = F.array(*[F.lit(mark.format(g.kind.upper())) for g in GENERATORS])
+    out = docs.select("*", *[_spans(k, known.get(g.kind), text).alias(f"_spans_{k}") for k, g in enumerate(GENERATORS)])
+    names = [f"_spans_{k}" for k in range(len(GENERATORS))]
+    # An added span gives way to accepted spans of kinds listed before it, as in find_spans.
+    kept = [F.col(x) for x in names[: len(BASE)]]
+    for k in range(len(BASE), len(names)):
+        free = F.filter(names[k], _clear_of(F.concat(*names[:k])))
+        kept.append(F.when(F.size(names[k]) > 0, free).otherwise(F.col(names[k])))
+    out = out.withColumn("_kept", F.array_sort(F.concat(*kept)))
+
+    def merge(a: Column, s: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.least(last["kind"], s["kind"]).alias("kind"))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(both))).otherwise(F.concat(a, F.array(s)))
+
+    out = out.withColumn("_kept", F.aggregate("_kept", F.array().cast("array<struct<start:int,end:int,kind:int>>"), merge))
+    ends = F.concat(F.array(F.lit(0)), F.col("_kept.end"))  # of the text's start and of each region
+
+    def piece(s: Column, i: Column) -> Column:
+        at = F.get(F.col("_ends"), i)
+        return F.concat(F.substring(text, at + 1, s["start"] - at), F.element_at(marks, s["kind"] + 1))
+
+    out = out.withColumn("_ends", ends)
+    rebuilt = F.concat(F.array_join(F.transform("_kept", piece), ""), F.substring(text, F.element_at("_ends", F.lit(-1)) + 1, F.length(text)))
+    return out.withColumn(text_column, F.when(F.size("_kept") > 0, rebuilt).otherwise(text)).select(docs.columns)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from lakeindex.llm.pii import digest_spans, find_spans, redact
+from lakeindex.llm.pii import KINDS, digest_spans, find_spans, redact
 
 RULES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
@@ -67,3 +67,23 @@ def test_plan_has_no_python(spark):
     for made in (digest_spans(find_spans(df)), redact(df)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_redaction_masks_whole_spans_that_overlap(spark):
+    texts = ["call +33.1.23.45.67.89 now", "🙂 +10.20.30.40.50, a@b.org", "x +1 4111 1111 1111 1111 y +1.2.3.4.56.78.90 z", *TEXTS]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in find_spans(df).collect()}
+    out = {r.doc_id: r.text for r in redact(df).collect()}
+    assert out[0] == "call <IP> now"
+    for i, t in enumerate(texts):
+        regions = []
+        for s in spans[i]:
+            k = KINDS.index(s.kind)
+            if regions and s.start < regions[-1][1]:
+                regions[-1] = [regions[-1][0], max(regions[-1][1], s.end), min(regions[-1][2], k)]
+            else:
+                regions.append([s.start, s.end, k])
+        made, at = "", 0
+        for start, end, k in regions:
+            made, at = made + (t or "")[at:start] + f"<{KINDS[k].upper()}>", end
+        assert out[i] == (None if t is None else made + t[at:])
