@@ -141,12 +141,10 @@ class _Signatures:
     def near(self, i: int, js: np.ndarray, num: int, den: int) -> np.ndarray:
         """Those of js that may link with i."""
         width = len(self.words[i]) * 64
-        out = []
-        for small in {width, *{min(width, len(self.words[j]) * 64) for j in (js[0], js[-1])}} if len(js) else ():
-            part = js[self._widths(js, width) == small]
-            if len(part):
-                m = self.matrix(small)
-                out.append(part[may_link(int(self.sizes[i]), m[i], self.sizes[part], m[part], num, den)])
+        out, widths = [], self._widths(js, width)
+        for small in np.unique(widths).tolist():
+            part, m = js[widths == small], self.matrix(small)
+            out.append(part[may_link(int(self.sizes[i]), m[i], self.sizes[part], m[part], num, den)])
         return np.sort(np.concatenate(out)) if out else js[:0]
 
     def _widths(self, js: np.ndarray, most: int) -> np.ndarray:

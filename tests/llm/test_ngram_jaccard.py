@@ -95,3 +95,12 @@ def test_hashes_do_not_depend_on_chunks():
     assert whole == [w.tolist() for w in hashing.word_hashes(pa.array(texts), 50)]
     assert [len(w) for w in whole] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
     assert [len(s) for s in shingle_sets(pa.array(texts), 3)] == [len(s) for s in sets_of([(0, t) for t in texts], 3)]
+
+
+def test_candidates_of_every_width_are_compared():
+    from lakeindex.llm.ngram_jaccard import _Signatures
+
+    rng, sizes = np.random.default_rng(6), np.array([100, 200, 400, 800, 900])
+    tokens = rng.integers(0, 1 << 62, 900).astype(np.uint64)
+    sig = _Signatures(sizes, [bitmap(tokens[:n], bits_of(n)) for n in sizes.tolist()])
+    assert sig.near(4, np.arange(4), 1, 10).tolist() == [0, 1, 2, 3]
