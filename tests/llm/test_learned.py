@@ -6,6 +6,7 @@ import numpy as np
 
 from lakeindex.llm.langid import Codes, codewords, fit, identify
 from lakeindex.llm.quality import IsolationForest, quality_rules, statistics
+from lakeindex.llm.toxicity import fit as fit_toxicity
 from lakeindex.llm.toxicity import label_model, patterns, score_documents
 
 WORDS = {"en": "the and that with from have this will your about they would there".split(), "fr": "les des une dans pour avec être sont mais nous très où été".split(), "de": "der die und nicht eine ist über mit auch für größe schön".split()}
@@ -134,3 +135,15 @@ def test_rare_languages_keep_a_codeword(spark):
     rows += [rows[-1]] * 3
     model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
     assert model.languages == ["de", "en", "eo"] and len(model.codes) == 3
+
+
+def test_more_than_1500_words_vote(spark):
+    rng = random.Random(5)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(1800)]
+    toxic = [[] for _ in range(200)]
+    for w in words:
+        for i in rng.sample(range(200), 8):
+            toxic[i].append(w)
+    rows = [(i, " ".join(ws), 1) for i, ws in enumerate(toxic)] + [(1000 + i, f"w{i} plain", 0) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert set(words) <= fit_toxicity(df.drop("toxic"), df.drop("text")).voters.keys()
