@@ -10,6 +10,7 @@ import pyarrow as pa
 from lakeindex.llm.common import byte_runs
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+NEAR = 64  # places of a word whose values are kept as a table
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -22,24 +23,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _letters() -> np.ndarray:
-    """A random value for each byte; A-Z have those of a-z, which folds case at no cost."""
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    values[65:91] = values[97:123]
-    return values
+def _values() -> np.ndarray:
+    """A random value for each byte at each of the first NEAR places of a word; A-Z have those of a-z, which folds case at no cost."""
+    return _value(np.arange(NEAR * 256) >> 8, _folded(np.tile(np.arange(256), NEAR)))
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-    up, down = np.full(n, _STEP), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _folded(letters: np.ndarray) -> np.ndarray:
+    return letters + 32 * ((letters >= 65) & (letters <= 90))
+
+
+def _value(place: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    return mix(mix(place.astype(np.uint64) * np.uint64(256) + letters.astype(np.uint64) + np.uint64(1)) ^ np.uint64(0xD6E8FEB86659FD93))
 
 
 def _piece(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words in these bytes; no word runs over an offset in starts_at."""
+    """Hashes and first bytes of the words in these bytes; no word runs over an offset in starts_at.
+
+    A word's hash mixes the sum of independent values of its letters at their places, and its length: no structure of letters
+    carries over to sums, as it does to polynomials modulo a power of two.
+    """
     word = ~_SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -48,10 +50,16 @@ def _piece(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(max(20, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters()[data] * up[: len(data)], out=total[1:])
-    return mix((total[e] - total[s]) * down[s]), s
+    if not len(s):
+        return np.zeros(0, np.uint64), s
+    lengths, letters = e - s, data[word]
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(at, lengths)
+    values = _values()[np.minimum(place, NEAR - 1) * 256 + letters]
+    far = np.flatnonzero(place >= NEAR)
+    if len(far):
+        values[far] = _value(place[far], _folded(letters[far].astype(np.int64)))
+    return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64) * _STEP), s
 
 
 def _long(data: np.ndarray, most: int) -> np.ndarray:

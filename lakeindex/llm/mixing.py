@@ -17,7 +17,7 @@ from lakeindex.llm.common import WORD, materialize
 
 STRATUM = 200  # rows of a stratum, about
 TICKS = 1_000_000_000  # steps of a rate, so that rounding is done with integers
-ROUNDS = 60
+ROUNDS = 200  # of Newton's steps; a few suffice
 
 
 def word_count(text: Column) -> Column:
@@ -47,36 +47,40 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: flo
     each = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
     s = materialize(_ranked(sources).withColumn("weight", each))
     total = s.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    level = 0.0
-    for step in range(ROUNDS):
+    level, started = 0.0, False
+    while True:  # each step puts one more source at its cap, or is the last
         # Sources at their cap for this level; the first step has none.
-        full = (F.col("weight") * level >= F.col("size") * cap) if step else F.lit(False)
+        full = (F.col("weight") * level >= F.col("size") * cap) if started else F.lit(False)
         row = s.agg(F.sum(F.when(full, F.col("size") * cap)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("w")).first()
         new = (total - (row.held or 0)) / row.w if row.w else level
-        if step and not new > level:
+        if started and not new > level:
             break
-        level = new
+        level, started = new, True
     return s.withColumn("target", F.least(F.col("weight") * level, F.col("size") * float(cap)))
 
 
-def tilts(mass: DataFrame, cap: float = 3.0, tolerance: float = 1e-12) -> DataFrame:
+def tilts(mass: DataFrame, cap: float = 3.0, tolerance: float = 1e-10) -> DataFrame:
     """Of rows (source, prior, mass, target): rows (source, tilt), the dual's solution by Newton's iterations.
 
     A source's gradient is target - sum of mass * min(cap, prior * exp(tilt)); its curvature is the part of that sum which is
-    not at the cap. A step is held to 2 either way, which keeps exp in range. A source without mass or target gets null.
+    not at the cap. A step is held to 2 either way, which keeps exp in range, and to ever less, so that steps over the cap and back end. A source without mass or target gets null. Rates
+    that are not settled after ROUNDS steps are an error: no mix is made from them.
     """
     rows = materialize(mass.where("mass > 0 and target > 0 and prior > 0").withColumn("tilt", F.lit(0.0)))
     w = ["source", "target", "tilt"]
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        most = 2.0 / (1 + turn // 10)
         rate = F.col("prior") * F.exp("tilt")
         sums = rows.groupBy(*w).agg(F.sum(F.col("mass") * F.least(rate, F.lit(float(cap)))).alias("got"), F.sum(F.when(rate < cap, F.col("mass") * rate).otherwise(0.0)).alias("bend"))
         gap = F.col("target") - F.col("got")
-        step = F.when(F.abs(gap) <= F.col("target") * tolerance, 0.0).when(F.col("bend") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("bend")))).otherwise(F.when(gap < 0, -0.5).otherwise(0.0))
+        step = F.when(F.abs(gap) <= F.col("target") * tolerance, 0.0).when(F.col("bend") > 0, F.greatest(F.lit(-most), F.least(F.lit(most), gap / F.col("bend")))).otherwise(F.when(gap < 0, -most / 4).otherwise(0.0))
         moved = sums.select("source", "target", F.col("tilt").alias("old"), (F.col("tilt") + step).alias("tilt"))
         rows = materialize(rows.drop("tilt", "target").alias("r").join(moved.alias("m"), F.col("r.source").eqNullSafe(F.col("m.source"))).select("r.*", "m.target", "m.tilt", "m.old"))
         if not rows.where(F.abs(F.col("tilt") - F.col("old")) > 1e-13).limit(1).count():
             break
         rows = rows.drop("old")
+    else:
+        raise RuntimeError(f"the dual is not solved after {ROUNDS} of Newton's steps")
     return rows.groupBy("source").agg(F.min("tilt").alias("tilt"))
 
 
