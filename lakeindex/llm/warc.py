@@ -3,9 +3,9 @@
 A record is its header lines, an empty line, its block and two line ends. The text writer ends each row with just these two line
 ends, so a row that holds the rest of a record makes an archive on any file system that Spark writes to, compressed or not.
 
-The data source plans partitions from the list of files: whole files, or byte ranges of very large plain ones. A reader walks headers to
-the first record of its range, parses headers first, and skips the blocks of records that the pushed filters reject or whose payload
-is not asked for; in a plain file it seeks past them.
+The data source plans partitions from the list of files: whole files, and of plain ones that `index_archive` has indexed ranges of
+records. A reader parses headers first, and skips the blocks of records that the pushed filters reject or whose payload is not asked
+for; in a plain file it seeks past them. An archive that ends within a header, a block or a gzip member is an error.
 """
 
 from __future__ import annotations
@@ -20,17 +20,21 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from lakeindex.llm.common import filter_at, filter_bits, materialize, passes, prepare
+from lakeindex.llm.common import filter_at, filter_of, materialize, passes, prepare
 
 END = "\r\n"
 #: Columns that come from headers, in the order of the schema.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "content_type": "content-type", "payload_bytes": "x-payload-length"}
 SCHEMA = "path string, offset long, record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_type string, payload_bytes long, verified boolean, payload binary"
-RANGE = 1 << 30
+RANGE = 1 << 30  # bytes of a plain file between two records that its index names
+OFFSETS = "_offsets"  # an archive's index, a folder beside its files
+#: The profile of revisits of equal payloads, as the format names it.
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 AHEAD = 1 << 16
 
 
@@ -39,7 +43,7 @@ def record(kind: Column, record_id: Column, uri: Column, digest: Column, length:
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), F.translate(value.cast("string"), "\r\n", "  "), F.lit(END)), F.lit(""))
     block = F.coalesce(payload.cast("string"), F.lit(""))
     return F.concat(
-        F.lit(f"WARC/1.1{END}"), line("WARC-Type", kind), line("WARC-Record-ID", record_id), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), line("WARC-Refers-To", refers_to),
+        F.lit(f"WARC/1.1{END}"), line("WARC-Type", kind), line("WARC-Record-ID", record_id), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), line("WARC-Refers-To", refers_to), line("WARC-Profile", F.when(refers_to.isNotNull(), IDENTICAL)),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("X-Payload-Length", length), line("Content-Length", F.octet_length(block)), F.lit(END), block,
     )
 
@@ -63,7 +67,8 @@ def write_pages(pages: DataFrame, path: str, least: int = 1000, compression: str
     keys = p.where(F.col("length") >= least).select("page_id", "digest", "length")
     groups = keys.groupBy("digest", "length").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     revisits = materialize(keys.join(materialize(groups), ["digest", "length"]).where("page_id is null or page_id <> first").select(F.col("page_id").alias("of"), "digest", "first").distinct())
-    p = p.withColumn("perhaps", passes(filter_bits(revisits.select(filter_at("of").alias("p"))))(filter_at("page_id")))
+    filtered, width = filter_of(revisits.select(F.col("of").alias("id")))
+    p = p.withColumn("perhaps", passes(filtered)(filter_at("page_id", width)))
     rest = p.where("perhaps").alias("p").join(revisits.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.of")) & (F.col("p.digest") == F.col("r.digest")), "left").select("p.*", "r.first")
     marked = p.where("not perhaps").withColumn("first", F.lit(None).cast("long")).unionByName(rest)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
@@ -73,7 +78,7 @@ def write_pages(pages: DataFrame, path: str, least: int = 1000, compression: str
 
 @dataclass
 class Files(InputPartition):
-    """A byte range of a file; records belong to the range in which they begin. end None: to the end of the file."""
+    """A range of a file's records: from the one at `start` to the one at `end`. end None: to the end of the file."""
 
     path: str
     start: int
@@ -89,7 +94,7 @@ class _Plain:
     """Reads ahead in blocks and seeks over what is not wanted."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.held = file, start, b""
+        self.file, self.at, self.held, self.size = file, start, b"", file.size()
 
     def fill(self, n: int) -> bool:
         """Holds n bytes at least, if the file has them."""
@@ -114,8 +119,10 @@ class _Plain:
         self.skip(n)
         return out
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int) -> bool:
+        """Goes on by n bytes; whether there were so many."""
         self.at, self.held = self.at + n, self.held[n:]
+        return self.at <= self.size
 
 
 class _Gzip(_Plain):
@@ -123,25 +130,29 @@ class _Gzip(_Plain):
 
     def __init__(self, file):
         super().__init__(file, 0)
-        self.inflate, self.rest = zlib.decompressobj(31), b""
+        self.inflate, self.rest, self.begun = zlib.decompressobj(31), b"", False
 
     def fill(self, n: int) -> bool:
         while len(self.held) < n:
             data = self.rest or self.file.read(AHEAD)
             if not data:
+                if self.begun:
+                    raise ValueError("the file ends within a gzip member")
                 return False
+            self.begun = True
             self.held += self.inflate.decompress(data)
             self.rest = self.inflate.unused_data
             if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
+                self.inflate, self.begun = zlib.decompressobj(31), False
         return True
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int) -> bool:
         while n > len(self.held):
             n, self.at, self.held = n - len(self.held), self.at + len(self.held), b""
             if not self.fill(1):
-                return
-        super().skip(n)
+                return False
+        self.at, self.held = self.at + n, self.held[n:]
+        return True
 
 
 def parse_header(block: bytes) -> dict[str, str]:
@@ -185,7 +196,6 @@ class WarcReader(DataSourceReader):
         self.path = options.get("path") or ""
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
-        self.range = int(options.get("rangebytes", options.get("rangeBytes", RANGE)))
         self.filters: list[Filter] = []
         if not self.path:
             raise ValueError("the warc source needs a path")
@@ -201,15 +211,20 @@ class WarcReader(DataSourceReader):
         fs, at = _open(self.path)
         scheme = self.path[: len(self.path) - len(at)] if self.path.endswith(at) else ""
         found = fs.get_file_info(at)
-        files = [found] if found.is_file else sorted((f for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.is_file and f.base_name[0] not in "._"), key=lambda f: f.path)
+        every = [found] if found.is_file else [f for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.is_file and f.size]
+        hidden = lambda f: any(part[:1] in "._" for part in f.path[len(at) :].strip("/").split("/"))
+        marks: dict[str, set[int]] = {}
+        for f in every:
+            if not found.is_file and f.path[len(at) :].strip("/").startswith(f"{OFFSETS}/") and f.base_name.endswith(".parquet"):
+                for row in pq.read_table(f.path, filesystem=fs).to_pylist():  # one for each RANGE of the archive
+                    marks.setdefault(row["path"], set()).add(row["offset"])
         out: list[InputPartition] = []
-        for f in files:
-            if not f.size:
-                continue
+        for f in sorted((f for f in every if found.is_file or not hidden(f)), key=lambda f: f.path):
             if f.base_name.endswith(".gz"):
                 out.append(Files(scheme + f.path, 0, None))
-            else:
-                out += [Files(scheme + f.path, a, min(f.size, a + self.range)) for a in range(0, f.size, self.range)]
+            elif f.size:
+                cuts = sorted({0, f.size} | {x for x in marks.get(scheme + f.path, ()) if x < f.size})
+                out += [Files(scheme + f.path, a, b) for a, b in zip(cuts, cuts[1:])]
         return out or [Files("", 0, 0)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -235,8 +250,6 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("offset", pa.int64()), *[(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in HEADERS], ("verified", pa.bool_()), ("payload", pa.binary())]))
 
     def _records(self, partition: Files, file: _Plain) -> Iterator[dict]:
-        if partition.start and not self._first(partition, file):
-            return
         while partition.end is None or file.at < partition.end:
             while file.fill(2) and file.held[:2] == b"\r\n":
                 file.skip(2)
@@ -255,42 +268,25 @@ class WarcReader(DataSourceReader):
             row = {c: header.get(h) for c, h in HEADERS.items()}
             row["payload_digest"] = hex_digest(row["payload_digest"])
             row |= {"payload_bytes": int(row["payload_bytes"]) if row["payload_bytes"] else length, "path": partition.path, "offset": start, "payload": None, "verified": None}
-            if not all(_holds(f, row) for f in self.filters):
-                file.skip(length)
-                continue
-            if (self.payload or self.verify) and row["record_type"] != "revisit":
+            wanted = all(_holds(f, row) for f in self.filters)
+            data = None
+            if wanted and (self.payload or self.verify) and row["record_type"] != "revisit":
                 data = file.take(length)
-                if len(data) < length:
-                    raise ValueError(f"{partition.path} ends within the record at {start}")
+            if len(data) < length if data is not None else not file.skip(length):
+                raise ValueError(f"{partition.path} ends within the record at {start}")
+            if not wanted:
+                continue
+            if data is not None:
                 if self.verify and row["payload_digest"]:
                     row["verified"] = hashlib.sha1(data).hexdigest() == row["payload_digest"] and row["payload_bytes"] == length
                     if not row["verified"]:
                         raise ValueError(f"the payload at {start} of {partition.path} does not have its digest")
                 row["payload"] = data if self.payload else None
-            else:
-                file.skip(length)
             yield row
 
-    @staticmethod
-    def _first(partition: Files, file: _Plain) -> bool:
-        """Goes to the first record that begins in the range.
-
-        A payload may hold text that looks like a record, so this walks from the start of the file, over headers only.
-        """
-        file.at, file.held = 0, b""
-        while True:
-            while file.fill(2) and file.held[:2] == b"\r\n":
-                file.skip(2)
-            if file.at >= partition.start:
-                return file.at < partition.end
-            block = file.until(b"\r\n\r\n")
-            if block is None:
-                return False
-            file.skip(int(parse_header(block).get("content-length", 0)))
-
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc").load(path). Options: payload (true), verify (false), rangeBytes (1 GB)."""
+    """spark.read.format("warc").load(path). Options: payload (true), verify (false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -314,6 +310,17 @@ def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.load(path)
 
 
+def index_archive(spark: SparkSession, path: str, every: int = RANGE) -> None:
+    """Writes beside the archive's files where a record begins in each `every` bytes of a plain one; readers then cut files there.
+
+    A payload may hold text that looks like a record, so only a walk over the headers finds where records begin. It is done once
+    for each file, over headers alone, and not by each reader of a range again.
+    """
+    rows = read_warc(spark, path, payload=False).select("path", "offset").where(~F.col("path").endswith(".gz"))
+    marks = rows.groupBy("path", F.floor(F.col("offset") / every)).agg(F.min("offset").alias("offset")).select("path", "offset")
+    marks.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{OFFSETS}")
+
+
 def archived_pages(archive: DataFrame) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of an archive that write_pages made."""
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1), '') as bigint)")
