@@ -1,10 +1,11 @@
 """Exact top-k inner products with an impact-ordered index, score at a time.
 
 A block of vectors becomes an index: for each dimension a posting list in order of the component, cut into segments of equal
-quantised impact. A query takes segments by descending impact (|query component| times the segment's level), a round of equal
-impact at a time, and adds each segment's quantised score to its vectors. After a round, a vector's unseen components count for
-at most the largest impact that is left in their dimensions; when fewer vectors than RESCORE can still pass the k-th best proven
-score, or all segments are done, these few are scored exactly. Nothing is stopped without that proof.
+quantised value. A query sorts the segments by impact (|query component| times the segment's largest value) and takes them in
+falling order, a share of all postings at a time; a segment adds its quantised score to its vectors, and one to the number of
+their components seen. What a vector has not shown yet counts for at most the next segment's impact a component. The best vectors
+so far are scored exactly, which gives a score that the k-th best reaches; so do blocks searched before. Vectors whose bound lies
+below it are out by proof. Once few are left, or all segments are done, these are scored exactly. Nothing is stopped without proof.
 """
 
 from __future__ import annotations
@@ -16,103 +17,126 @@ from pyspark.sql import functions as F
 
 from lakeindex.llm.common import materialize, prepare
 
-LEVEL = 2  # components of one segment lie within this many units
-ROUNDS = 3  # impact falls by half from one round to the next; the last takes all that is left
-RESCORE = 64
-ROWS, QUERIES = 8192, 2048  # of a block, about
+LEVEL = 4  # components of one segment lie within this many units
+SHARES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.85, 1.0)  # of the postings, after which the proof is tried
+TRIED = 64  # vectors scored exactly after each share, for the score to beat
+FEW = 8  # one in so many vectors left is few enough to score them all
+ROWS, QUERIES = 8192, 512  # of a block, about
 
 
 class Index:
-    """The impact-ordered index of a block of integer vectors."""
+    """The impact-ordered index of a block of distinct integer vectors; copies says how many rows each stands for."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None):
+        self.ids, self.vectors, self.copies = ids, vectors, np.ones(len(ids), np.int64) if copies is None else copies
+        n, dims = vectors.shape
         level = vectors // LEVEL
-        self.order = np.ascontiguousarray(np.argsort(level, axis=0, kind="stable").T)
-        self.levels = np.ascontiguousarray(np.take_along_axis(level.T, self.order, axis=1))
+        order = np.argsort(level, axis=0, kind="stable").T
+        sorted_levels = np.take_along_axis(level.T, order, axis=1)
+        cuts = np.diff(sorted_levels, axis=1, prepend=sorted_levels[:, :1] - 1) != 0
+        self.postings, starts = order.ravel(), np.flatnonzero(cuts)
+        self.starts, self.lengths = starts, np.diff(starts, append=n * dims)
+        self.dims, levels = starts // max(1, n), sorted_levels.ravel()[starts]
         # Scores are doubled, so that the middle of a segment is an integer.
-        self.middles = 2 * LEVEL * self.levels + LEVEL - 1
-
-    def search(self, q: np.ndarray, k: int, query_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best vectors but the query's own, ties to smaller ids; and these are all if there are fewer."""
-        n, dims = len(self.ids), np.flatnonzero(q)
-        others = np.flatnonzero(self.ids != query_id)
-        scores = np.zeros(n, np.int64)
-        members = others
-        if len(others) > max(k, RESCORE):
-            first = np.maximum(np.abs(self.levels[:, 0]), np.abs(self.levels[:, -1] + 1)) * LEVEL
-            top = int((np.abs(q) * first).max())
-            taken = {d: (0, n) for d in dims.tolist()}  # what is left of each list, between its two ends
-            around = int(np.abs(q).sum()) * (LEVEL - 1)  # between a segment's middle and its members, doubled
-            for turn in range(ROUNDS):
-                least = top / 2 ** (turn + 1) if turn + 1 < ROUNDS else 0
-                rest = 0
-                for d, (a, b) in taken.items():
-                    size, levels = abs(int(q[d])), self.levels[d]
-                    if least:
-                        far = least / size / LEVEL
-                        lo = min(b, max(a, int(np.searchsorted(levels, -far - 1, side="right"))))
-                        hi = max(lo, min(b, int(np.searchsorted(levels, far, side="left"))))
-                    else:
-                        lo = hi = b
-                    for x, y in ((a, lo), (hi, b)):
-                        if y > x:
-                            scores[self.order[d, x:y]] += q[d] * self.middles[d, x:y]
-                    taken[d] = lo, hi
-                    if hi > lo:  # twice the largest impact that is left
-                        rest += 2 * size * LEVEL * max(abs(int(levels[lo])), abs(int(levels[hi - 1]) + 1))
-                some = scores[others]
-                slack = around + rest
-                proven = np.partition(some, len(some) - k)[len(some) - k] - slack
-                members = others[some + slack >= proven]
-                if len(members) <= RESCORE:
+        self.middles, self.largest = 2 * LEVEL * levels + LEVEL - 1, LEVEL * np.maximum(np.abs(levels), np.abs(levels + 1))
+        self.seen = 1 << dims.bit_length()  # a vector's sum holds its score times this, plus the components seen
+
+    def search(self, q: np.ndarray, k: int, query_id: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Ids, rows and exact scores of the k best vectors, ties to smaller ids, but for one row of the query's own id and vector.
+
+        Vectors that surely score below `bound` may be missing. The last value is the share of postings that were read.
+        """
+        n, dims = self.vectors.shape
+        own = (self.ids == query_id) & (self.vectors == q).all(axis=1)
+        rows = self.copies - own
+        members, read = np.flatnonzero(rows > 0), 0.0
+        value = np.abs(q)[self.dims]
+        impacts = value * self.largest
+        if len(members) > max(k, TRIED) and 2 * self.seen * float(np.abs(q).sum()) * float(self.largest.max(initial=0) + LEVEL) < 1 << 53:
+            order = np.argsort(-impacts, kind="stable")
+            upto = np.cumsum(self.lengths[order])
+            sums, at, others = np.zeros(n), 0, members
+            around = int(np.abs(q).sum()) * (LEVEL - 1)  # between segments' middles and their members, doubled
+            for share in SHARES:
+                to = min(len(order), int(np.searchsorted(upto, share * upto[-1])) + 1)
+                taken, at = order[at:to], to
+                sizes = self.lengths[taken]
+                postings = np.arange(sizes.sum()) + np.repeat(self.starts[taken] - np.cumsum(sizes) + sizes, sizes)
+                sums += np.bincount(self.postings[postings], np.repeat(q[self.dims[taken]] * self.middles[taken] * float(self.seen) + 1, sizes), minlength=n)
+                whole = sums[others].astype(np.int64)
+                scores, unseen = whole // self.seen, dims - whole % self.seen
+                read = float(upto[at - 1] / upto[-1])
+                tried = others[np.argpartition(scores, len(scores) - TRIED)[len(scores) - TRIED :]]
+                least = int(np.partition(self.vectors[tried] @ q, TRIED - k)[TRIED - k])
+                bound = least if bound is None else max(bound, least)
+                left = 2 * int(impacts[order[at]]) if at < len(order) else 0
+                members = others[scores + around + unseen * left >= 2 * bound]
+                if len(members) <= n // FEW:
                     break
         exact = self.vectors[members] @ q
         best = np.lexsort((self.ids[members], -exact))[:k]
-        return self.ids[members[best]], exact[best]
+        return self.ids[members[best]], rows[members[best]], exact[best], read
 
 
-def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    flat = table.column("v").combine_chunks().flatten().to_numpy()
-    return table.column("vec_id").to_numpy(), flat.reshape(table.num_rows, -1).astype(np.int64)
+def _vectors(table: pa.Table) -> np.ndarray:
+    return table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(np.int64)
+
+
+FOUND = "query_id long, q long, times long, vec_id long, copies long, score long, reached long"
 
 
 def _search(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros((0, 3), np.int64)]
+        out, reached = [np.zeros((0, 6), np.int64)], []
         if left.num_rows and right.num_rows:
-            index = Index(*_vectors(left))
-            for query_id, q in zip(*_vectors(right)):
-                ids, scores = index.search(q, k, query_id)
-                out.append(np.stack([np.full(len(ids), query_id), ids, scores], axis=1))
+            index = Index(left.column("vec_id").to_numpy(), _vectors(left), left.column("copies").to_numpy())
+            for query_id, q, times, v, bound in zip(*(right.column(c).to_pylist() for c in ("vec_id", "q", "copies")), _vectors(right), right.column("bound").to_pylist()):
+                ids, rows, scores, _ = index.search(v, k, query_id, bound)
+                each = np.repeat(scores, np.minimum(rows, k))
+                out.append(np.stack([np.full(len(ids), query_id), np.full(len(ids), q), np.full(len(ids), times), ids, rows, scores], axis=1))
+                reached += [int(each[k - 1]) if len(each) >= k else None] * len(ids)
         flat = np.concatenate(out)
-        return pa.table({"query_id": flat[:, 0], "vec_id": flat[:, 1], "score": flat[:, 2]})
+        return pa.table([*map(pa.array, flat.T), pa.array(reached, pa.int64())], [c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_column: str = "vec_id", vector_column: str = "embedding", rows: int = ROWS, block: int = QUERIES) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): each query's k highest inner products with other ids' vectors.
+    """Rows (query_id, rank, vec_id, score): each query's k highest inner products with all rows but its own.
 
     Components become floor(scale * x). Ties go to the smaller vec_id; ranks start at 1; a query with fewer others gets them
     all. Vectors (and queries) that are null, empty, of null id, or hold null or non-finite components take no part. Vectors
-    of different lengths are not compared. Of rows that repeat an id the least vector counts. Other columns are ignored.
+    of different lengths are not compared; scores must fit 64 bits. Rows that repeat an id are rows of their own, as queries and as candidates: a query
+    leaves out one row of its id and vector. Other columns are ignored.
 
-    Candidates and queries are dealt to blocks; each pair of blocks is one task's work and leaves k rows a query.
+    Candidates and queries are dealt to blocks; a pair of blocks is one task's work and leaves k rows a query. The first block
+    of candidates goes before the others and gives each query the score to beat in them.
     """
+    if not 0 < k <= TRIED:
+        raise ValueError(f"k must be from 1 to {TRIED}")
     prepare(vectors.sparkSession)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
 
     def clean(df: DataFrame) -> DataFrame:
         v = F.col(vector_column).cast("array<double>")
         df = df.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad))
-        return df.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+        return df.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("d", F.size("v")).withColumn("q", F.xxhash64("v"))
 
     left, right = materialize(clean(vectors)), materialize(clean(queries))
     blocks = [max(1, -(-df.count() // n)) for df, n in ((left, rows), (right, block))]
-    own = [F.pmod(F.xxhash64("vec_id", F.lit(s)), F.lit(n)).cast("int") for s, n in enumerate(blocks)]
-    left = left.select("vec_id", "v", F.size("v").alias("d"), own[0].alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"))
-    right = right.select("vec_id", "v", F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("i"), own[1].alias("j"))
-    found = left.groupBy("d", "i", "j").cogroup(right.groupBy("d", "i", "j")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = [F.pmod(F.xxhash64("vec_id", "q", F.lit(s)), F.lit(n)).cast("int") for s, n in enumerate(blocks)]
+    left = left.withColumn("i", dealt[0]).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
+    right = right.withColumn("j", dealt[1])
+
+    def pairs(some: DataFrame, asked: DataFrame) -> DataFrame:
+        return some.groupBy("d", "i", "j").cogroup(asked.groupBy("d", "i", "j")).applyInArrow(_search(k), FOUND)
+
+    found = materialize(pairs(left.where("i = 0"), right.withColumn("bound", F.lit(None).cast("long")).withColumn("i", F.lit(0))))
+    if blocks[0] > 1:
+        reached = found.groupBy(F.col("query_id").alias("vec_id"), "q").agg(F.max("reached").alias("bound"))
+        asked = right.join(reached, ["vec_id", "q"], "left").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(blocks[0] - 1))))
+        found = found.unionByName(pairs(left.where("i > 0"), asked))
+    each = found.select("query_id", "q", "times", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    best = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+    top = each.withColumn("rank", best).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("query_id", "rank", "vec_id", "score")
