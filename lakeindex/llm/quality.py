@@ -1,8 +1,9 @@
 """Quality rules: statistics of texts, and an isolation forest on them.
 
 The forest isolates rows by random splits of random statistics; the shorter a row's mean path, the stranger the row. Its trees
-grow on a bounded sample of all documents (an isolation forest needs no more), the threshold comes from labelled rows: the score
-of the least cost that nearly all rows of good quality stay below. What the base rule rejects stays rejected.
+grow on a bounded sample of labelled rows that the base rule keeps, whatever their label; then all documents are scored. The
+threshold comes from the scores of all labelled rows: the one of the least cost that nearly all rows of good quality stay below.
+What the base rule rejects stays rejected.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import bounded_sample, prepare, tidy, WORD
+from lakeindex.llm.common import WORD, bounded_sample, materialize, prepare, tidy
 
 TREES, LEAF_SAMPLE = 120, 256  # trees, and rows that each grows on
-SAMPLE = 6000  # documents that trees draw from, at most
-LABELLED = 6000  # labelled rows that set the threshold, at most
+SAMPLE = 6000  # labelled documents that trees draw from, at most
+BINS = 10_000  # steps of a score, so that the threshold comes from counts by step
 GOOD_KEPT = 0.99  # least share of good rows that stay below the threshold
 COST = 10.0  # of a good row dropped, in bad rows kept
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbol_ratio", "repeat_ratio", "upper_ratio"]
+#: What the forest splits: the logarithms of the five counts, and the ratios.
+WIDTH = len(STATS) + len(RATIOS)
 _WORDS, _SYMBOL, _HAS_WORD = re.compile(WORD), str.maketrans("", "", "#*$%&|<>"), re.compile(WORD)
 _LETTER, _UPPER = re.compile(r"[^A-Za-z]+"), re.compile(r"[^A-Z]+")
 
@@ -60,11 +63,9 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 class IsolationForest:
     """Random trees as arrays: feature, threshold, children, and the path length of a leaf."""
 
-    def __init__(self, rows: np.ndarray, weights: np.ndarray | None = None, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7):
-        """weights: how often a split takes each statistic, all alike by default."""
+    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.sample = min(sample, len(rows))
-        self.weights = np.ones(rows.shape[1]) if weights is None else weights
         self.trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], rng) for _ in range(trees)] if len(rows) else []
 
     @staticmethod
@@ -82,7 +83,7 @@ class IsolationForest:
             low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(0), np.zeros(0))
             spread = np.flatnonzero(high > low)
             if len(part) > 1 and depth < np.ceil(np.log2(self.sample)) + 2 and len(spread):
-                f = int(rng.choice(spread, p=self.weights[spread] / self.weights[spread].sum()))
+                f = int(rng.choice(spread))
                 at = rng.uniform(low[f], high[f])
                 below = part[:, f] <= at
                 feature[k], cut[k] = f, at
@@ -110,74 +111,73 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(self.usual(self.sample), 1e-9))
 
 
+def features(measured: list[tuple[list[int], list[float]]]) -> np.ndarray:
+    """The forest's rows, of what `statistics` says of texts."""
+    counts, ratios = (np.array([m[i] for m in measured], float).reshape(len(measured), -1) for i in (0, 1))
+    return np.concatenate([np.log1p(counts), ratios], axis=1) if len(measured) else np.zeros((0, WIDTH))
+
+
 def _measure(batches):
     for batch in batches:
         both = [statistics(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in both], pa.list_(pa.int64())), pa.array([r for _, r in both], pa.list_(pa.float64()))], ["doc_id", "stats", "ratios"])
+        passed = pa.array([not base_failed(s[0], s[4]) for s, _ in both], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), passed, pa.array(features(both).tolist(), pa.list_(pa.float64()))], ["doc_id", "passed", "row"])
 
 
-def _judge(forest: IsolationForest, threshold: float):
+def _judge(forest: IsolationForest):
     def run(batches):
         for batch in batches:
             both = [statistics(t or "") for t in batch.column(1).to_pylist()]
-            scores = forest.scores(np.array([r for _, r in both], float).reshape(-1, len(RATIOS)))
-            failed = [base_failed(s[0], s[4]) for s, _ in both]
+            scores = forest.scores(features(both))
             counts = [pa.array([s[k] for s, _ in both], pa.int64()) for k in range(len(STATS))]
-            kept = [not f and x <= threshold for f, x in zip(failed, scores.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(scores, pa.float64())], ["doc_id", *STATS, "base_failed", "kept", "anomaly"])
+            failed = pa.array([base_failed(s[0], s[4]) for s, _ in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, failed, pa.array(scores, pa.float64())], ["doc_id", *STATS, "base_failed", "anomaly"])
 
     return run
 
 
-def telling(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """For each statistic how well it tells labelled rows apart: the fourth power of 2 |AUC - 1/2|, with a floor; 1 without both kinds."""
-    if not len(good) or not len(bad):
-        return np.ones(good.shape[1])
-    out = []
-    for a, b in zip(good.T, bad.T):
-        a = np.sort(a)
-        auc = (np.searchsorted(a, b) + np.searchsorted(a, b, side="right")).mean() / 2 / len(a)
-        out.append((2 * auc - 1) ** 4)
-    return np.maximum(np.array(out), 0.01)
+def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> IsolationForest:
+    """A forest grown on at most `sample` of the labelled rows (doc_id, quality), those of the smallest hashed ids."""
+    # At most `sample` ids, so their broadcast is bounded by a parameter.
+    chosen = F.broadcast(bounded_sample(known, "doc_id", sample).select("doc_id"))
+    rows = docs.join(chosen, "doc_id").select("doc_id", "text").mapInArrow(tidy(_measure), "doc_id long, passed boolean, row array<double>")
+    got = rows.where("passed").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    return IsolationForest(np.array([r.row for r in got], float).reshape(-1, WIDTH))
+
 
+def step_of(score: Column) -> Column:
+    return F.floor(score * BINS).cast("int")
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED) -> tuple[IsolationForest, float]:
-    """The forest, grown on at most `sample` documents, and the threshold from at most `labelled` labelled rows.
 
-    Both samples are the rows of smallest hashed ids, so a rerun finds the same. Labels say how often splits take each
-    statistic, and which score is the threshold. Without good rows that pass the base
-    rule the threshold is 1, which keeps all.
+def calibrated(counts: dict[tuple[int, int], int]) -> int:
+    """The last step of scores that stay, of counts by (step, quality): of the steps that GOOD_KEPT of the good rows stay within, the one of the least cost.
+
+    Ties go to the lower step. Without good rows all stay.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    chosen = bounded_sample(ids.select("doc_id").where("doc_id is not null"), "doc_id", sample).withColumn("quality", F.lit(None).cast("int")).union(bounded_sample(known, "doc_id", labelled))
-    # Both samples are bounded by parameters, so is what is broadcast: at most sample + labelled ids.
-    chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = ids.join(F.broadcast(chosen), "doc_id")
-    measured = rows.select("doc_id", "text").mapInArrow(tidy(_measure), "doc_id long, stats array<long>, ratios array<double>").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample + labelled).collect()
-    ratios = np.array([r.ratios for r in measured], float).reshape(-1, len(RATIOS))
-    passed = np.array([not base_failed(r.stats[0], r.stats[4]) for r in measured], bool)
-    good, bad = (passed & np.array([r.quality == q for r in measured], bool) for q in (1, 0))
-    forest = IsolationForest(ratios[passed], telling(ratios[good], ratios[bad]))
-    return forest, calibrated(forest.scores(ratios[good]), forest.scores(ratios[bad]))
-
-
-def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score beyond which rows go: of those that GOOD_KEPT of the good rows stay below, the one of the least cost."""
-    if not len(good):
-        return 1.0
-    levels = np.quantile(good, np.linspace(GOOD_KEPT, 1, 21))
-    costs = [COST * (good > t).mean() + (bad <= t).mean() if len(bad) else -t for t in levels]
-    return float(levels[int(np.argmin(costs))])
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED) -> DataFrame:
+    good, bad = (np.array([counts.get((b, q), 0) for b in range(BINS + 1)], float) for q in (1, 0))
+    if not good.sum():
+        return BINS
+    share = np.cumsum(good) / good.sum()
+    kept_bad = np.cumsum(bad) / bad.sum() if bad.sum() else np.zeros(BINS + 1)
+    first = int(np.searchsorted(share, GOOD_KEPT))
+    if not bad.sum():
+        return int(np.flatnonzero(good)[-1])
+    return first + int(np.argmin((COST * (1 - share) + kept_bad)[first:]))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly).
 
-    Null texts count as empty and fail the base rule, as all texts under 50 words do. labels has (doc_id, quality); an empty
-    one keeps all that the base rule keeps. Rows that repeat an id are judged each by its own text. Other columns are ignored.
+    Null texts count as empty and fail the base rule, as all texts under 50 words do. labels has (doc_id, quality); of labels
+    that repeat an id the least counts, and an empty table keeps all that the base rule keeps. Rows that repeat an id are judged
+    each by its own text. Other columns are ignored. Texts are read for the sample and once more for all; labels then meet rows
+    of numbers only.
     """
     prepare(docs.sparkSession)
-    forest, threshold = fit(docs, labels, sample, labelled)
-    out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, anomaly double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_judge(forest, threshold)), out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double"
+    scored = materialize(rows.mapInArrow(tidy(_judge(fit(rows, known, sample))), out))
+    steps = scored.where("not base_failed").join(known, "doc_id").groupBy(step_of(F.col("anomaly")).alias("step"), "quality").agg(F.count("*").alias("n"))
+    most = calibrated({(r.step, r.quality): r.n for r in steps.collect()})  # at most two rows for each of BINS steps
+    return scored.select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & (step_of(F.col("anomaly")) <= most)).alias("kept"), "anomaly")
