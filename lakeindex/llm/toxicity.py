@@ -19,7 +19,7 @@ from lakeindex.llm.common import bounded_sample, prepare, remainder, tidy
 
 SAMPLE = 12_000  # labelled rows to learn from, at most
 VOTERS = 3000  # words and beginnings that vote, at most
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 6, 8)  # letters
 THRESHOLD = 0.7
 ONE_STEM = 12  # features of one word and its beginnings, at most
 SURE = 0.95  # share of a sure voter's rows that the label model holds for toxic
