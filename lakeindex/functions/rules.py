@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the rules.
@@ -30,7 +30,6 @@ USER_HOSTED = "wordpress.com blogspot.com github.io gitlab.io netlify.app heroku
 LOCAL_SUFFIXES = "localhost local internal lan home.arpa intranet".split()
 HOST_TOKEN = r"(?:ftp|mirrors?|dl|downloads?|files|archives?|dist|distros?|releases?|pub|data|opendata|dumps|software|isos?|cdimage|edu|gov|ac)[0-9]*"
 PATH_SEGMENT = r"(?:pub|mirrors?|dist|distrib|downloads?|dl|releases?|isos?|archives?|software|data|datasets?|ebooks?|books|library|papers|publications|linux|gnu|bsd|opendata|ftp)"
-CMS = r"(?:wordpress|joomla|phpbb[0-9]*|boxbilling|whmcs|vbulletin|drupal|magento|opencart|prestashop|smf|mybb|moodle)"
 STRONG = (
     r"(?i)\A\.env(?:\.[\w.-]+)?\z",
     r"\Aid_(?:rsa|dsa|ecdsa|ed25519)\z",
@@ -38,7 +37,7 @@ STRONG = (
     r"(?i)\Awp-config\.php",
     r"(?i)\.(?:kdbx|ppk)\z",
     r"(?i)\Awallet\.dat\z",
-    rf"(?i)\A[a-z0-9_.-]+-{CMS}[0-9]*\.txt404\z",
+    r"(?i)\A[a-z0-9_.-]+-(?:wordpress|joomla|phpbb[0-9]*|boxbilling|whmcs|vbulletin|drupal|magento|opencart|prestashop|smf|mybb|moodle)[0-9]*\.txt404\z",
 )
 WEAK = (
     r"(?i)\.(?:pst|ost)\z",
@@ -175,6 +174,12 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
+def hosts_in(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """Distinct hosts of a column host that are one of the domains or below one: an equi join, however long the list."""
+    each = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("domain"))
+    return each.join(domains.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi").select("host").distinct()
+
+
 def archive_host(host: Column) -> Column:
     """A part of the host's name suggests a file server."""
     h = canonical_host(host)
@@ -187,13 +192,6 @@ def archive_signal(host: Column, decoded_path: Column) -> Column:
     return F.coalesce(~user_hosted(host) & (archive_host(host) | folder), F.lit(False))
 
 
-def public_domain(host: Column) -> Column:
-    """A domain name that is not local; addresses are judged by urls.public_host."""
-    h = canonical_host(host)
-    local = either([(h == s) | h.endswith("." + s) for s in LOCAL_SUFFIXES])
-    return F.coalesce(h.contains(".") & ~local, F.lit(False))
-
-
 def skip_folder(decoded_path: Column, patterns=SKIP_FOLDERS) -> Column:
     """The (decoded) path runs through one of the folders, in any case."""
     p = F.lower(decoded_path)
@@ -204,11 +202,6 @@ def taken_down(url: Column, prefixes) -> Column:
     return either([url.startswith(p) for p in prefixes])
 
 
-def same_site(a: Column, b: Column) -> Column:
-    """Two URLs of one host, whatever their scheme and port."""
-    return url_host(a) == url_host(b)
-
-
 def sort_query(query: Column) -> Column:
     """The query of a listing's column header."""
     return query.rlike(r"\A\?*C=[NMSD][;&]O=[AD]\z")
@@ -272,17 +265,6 @@ def utc_minute(epoch: Column) -> Column:
     return F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
 
 
-def truncation_note(reason: Column, n: Column, cap: str) -> Column:
-    """A reason with a note on listings that were cut short."""
-    note = F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, " listing was").otherwise(" listings were"), F.lit(f" longer than {cap} and cut short")))
-    return F.nullif(F.concat_ws("; ", reason, note), F.lit(""))
-
-
-def fingerprint(entries: Column) -> Column:
-    """A hash of a listing's rows in their order: equal listings have equal ones."""
-    return F.xxhash64(F.transform(entries, lambda e: F.struct(e["name"], e["is_dir"], e["size"], e["mtime"])))
-
-
 def create_sql_functions(spark) -> None:
     """The scalar functions that SQL users have, as SQL functions that Catalyst inlines."""
     text = lambda values: ", ".join(f"'{v}'" for v in values)
@@ -294,6 +276,7 @@ def create_sql_functions(spark) -> None:
         "is_useful(name STRING, size BIGINT) RETURNS BOOLEAN": f"coalesce(octet_length({ext}) <= 10 AND ({ext} IN ({text(USEFUL)}) OR {ext} IN ({text(USEFUL_IF_BIG)}) AND size >= {TEXT_FILE_MIN}) AND NOT lower(name) RLIKE '{log}', false)",
         "url_depth(url STRING) RETURNS INT": "size(regexp_extract_all(regexp_extract(url, '^(?:[^/?#]*://)?[^/?#]*([^?#]*)', 1), '[^/]+', 0))",
         "sensitivity(name STRING) RETURNS INT": f"CASE WHEN rtrim('/', name) RLIKE '{joined(STRONG)}' THEN 2 WHEN rtrim('/', name) RLIKE '{joined(WEAK)}' THEN 1 ELSE 0 END",
+        "hidden(url STRING, host STRING, name STRING, prefixes ARRAY<STRING>, domains ARRAY<STRING>) RETURNS BOOLEAN": f"exists(prefixes, p -> startswith(url, p)) OR exists(domains, d -> lower(host) = d OR endswith(lower(host), concat('.', d))) OR name RLIKE '{joined(INFRINGING)}'",
         "ext_in(name STRING, list STRING) RETURNS BOOLEAN": "lower(name) RLIKE concat('\\\\.(?:\\\\Q', array_join(regexp_extract_all(lower(list), '[^, .][^, ]*', 0), '\\\\E|\\\\Q'), '\\\\E)\\\\z')",
     }
     for head, body in bodies.items():

@@ -205,11 +205,6 @@ def is_public(url: pd.Series) -> pd.Series:
     return url.map(lambda t: bool(isinstance(t, str) and (u := parse(t)) and public_host(u.host)))
 
 
-@F.pandas_udf(StringType())
-def normal_url(url: pd.Series) -> pd.Series:
-    return url.map(lambda t: str(u) if isinstance(t, str) and (u := parse(t)) else None)
-
-
 def decoded_path(path: Column) -> Column:
     """Only paths with an escape go to Python."""
     return F.when(path.contains("%"), percent_decode(path)).otherwise(path)

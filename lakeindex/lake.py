@@ -1,8 +1,9 @@
-"""The lake: versioned Parquet tables, one manifest that names the version of each, and the writes of the message log.
+"""The lake: versioned Parquet tables, one manifest that names the version of each part, and the writes of the message log.
 
-A commit writes new version folders and then a manifest of the next number, which must not exist yet; readers take the highest.
-So all tables change at once, readers never see half a commit, and of two writers one fails and can retry. Everything goes
-through Hadoop's file systems, so the lake may lie wherever Spark can write.
+Tables of sites are cut into buckets by the hash of the host. A commit writes new folders for the buckets that it changes and then
+a manifest of the next number, which must not exist yet; readers take the highest. So all tables change at once, buckets of other
+sites are not written, readers never see half a commit, and of two writers one fails and can retry. Everything goes through
+Hadoop's file systems, so the lake may lie wherever Spark can write.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ SCHEMAS = {
     "candidates": "url string, host string, source string, found_at long, seq long",
     "cc_files": "path string, candidates long, done_at long",
     "dead_letters": "seq long, kind string, host string, why string",
-    "postings": "token string, doc string, tf_name long, tf_path long",
-    "lengths": "doc string, length long",
+    "postings": "token string, doc string, tf_name long, tf_path long, length long, host string, name string, is_dir boolean, size long, mtime string",
 }
+BUCKETED = {"entries": ["dir_url", "name"], "dirs": ["url"], "candidates": ["host", "url"], "hosts": ["host"]}  # and how their rows are sorted
+BUCKETS = 32  # of a new lake; one of many TB takes more
+FORMAT = 2
+DETAILS = ["host", "name", "is_dir", "size", "mtime"]
 ENTRY = "struct<url:string,name:string,is_dir:boolean,size:bigint,mtime:string>"
 MESSAGES = (
     f"seq bigint, kind string, host string, now bigint, entries array<{ENTRY}>, leaf boolean, status string, server string, dirs bigint, reason string, purge boolean, trusted boolean, judge struct<min_big:bigint,min_useful:bigint>, failed boolean, "
@@ -48,7 +52,7 @@ class Conflict(RuntimeError):
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, path: str, create: bool = True):
+    def __init__(self, spark: SparkSession, path: str, create: bool = True, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
         ship(spark)
         jvm = spark._jvm
@@ -57,7 +61,11 @@ class Lake:
         if not self._numbers():
             if not create:
                 raise FileNotFoundError(f"there is no lake at {path}")
-            self._commit_manifest(1, {})
+            self._commit_manifest(1, {"format": FORMAT, "buckets": buckets, "tables": {}, "notes": {}})
+        m = self._manifest(self.version())
+        self.buckets = m["buckets"]
+        if m["format"] < FORMAT:
+            self._migrate()
 
     # Versions.
 
@@ -73,59 +81,92 @@ class Lake:
     def version(self) -> int:
         return self._numbers()[-1]
 
-    def _manifest(self, number: int) -> dict[str, str]:
+    def _manifest(self, number: int) -> dict:
         rows = self.spark.read.text(f"{self.path}/manifests/{number:012d}.json", wholetext=True).collect()
-        return json.loads(rows[0].value)
+        m = json.loads(rows[0].value)
+        # The first format named one version of each table.
+        return m if "format" in m else {"format": 1, "buckets": BUCKETS, "tables": {t: {"": v} for t, v in m.items() if t in SCHEMAS and t != "postings"}, "notes": {}}
 
-    def _commit_manifest(self, number: int, tables: dict[str, str]) -> None:
+    def _commit_manifest(self, number: int, manifest: dict) -> None:
         at = self._hadoop("manifests", f"{number:012d}.json")
         try:
             out = self._fs.create(at, False)
         except Exception as e:
             raise Conflict(f"version {number} is there already") from e
-        out.write(bytearray(json.dumps(tables).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        at = self._manifest(version or self.version()).get(name)
-        if at is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/tables/{name}/{at}")
-        return df.na.fill({"leaf": False}) if name == "dirs" else df
+    def _migrate(self) -> None:
+        """Brings a lake of the first format to this one: buckets, and leaves found out where none are noted."""
+        tables = {t: self.table(t) for t in self._manifest(self.version())["tables"]}
+        if "dirs" in tables:
+            tables["dirs"] = backfilled(tables["dirs"], self.table("entries"))
+        self.commit(**tables)
 
-    def commit(self, notes: dict[str, str] | None = None, **tables: DataFrame) -> int:
+    def bucket(self, host: Column) -> Column:
+        return F.pmod(F.xxhash64(host), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, hosts: list[str]) -> list[int]:
+        rows = self.spark.createDataFrame([(h,) for h in hosts], "host string").select(self.bucket(F.col("host")).alias("b"))
+        return sorted({r.b for r in rows.collect()})
+
+    def table(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table's rows, of some buckets or all."""
+        made = self._manifest(version or self.version())["tables"].get(name, {})
+        paths = [f"{self.path}/tables/{name}/{v}" + (f"/b={k}" if k else "") for k, v in made.items() if buckets is None or not k or int(k) in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def commit(self, notes: dict | None = None, buckets: list[int] | None = None, **tables: DataFrame) -> int:
         """Writes new versions of these tables and makes them all visible at once. Frames may read the current ones.
 
-        notes are kept in the manifest beside the tables' versions.
+        buckets: those that are written, all by default; frames of tables of sites hold only rows of these. notes are kept in
+        the manifest beside the tables' versions.
         """
         number, made = self.version(), uuid4().hex[:12]
-        sort = {"entries": ["dir_url", "name"], "dirs": ["url"], "candidates": ["host", "url"], "hosts": ["host"], "postings": ["token", "doc"], "lengths": ["doc"]}
+        m = self._manifest(number)
+        parts = {t: dict(v) for t, v in m["tables"].items()}
         for name, df in tables.items():
             rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[name].split(", ")])
-            if name in sort:
-                # Range-partitioned and sorted: filters on a host, folder or subtree read few row groups.
-                rows = rows.repartitionByRange(*sort[name]).sortWithinPartitions(*sort[name])
-            rows.write.parquet(f"{self.path}/tables/{name}/{made}")
-        self._commit_manifest(number + 1, self._manifest(number) | dict.fromkeys(tables, made) | (notes or {}))
+            at = f"{self.path}/tables/{name}/{made}"
+            if name in BUCKETED:
+                # Sorted in each bucket: filters on a host, folder or subtree read few row groups.
+                keys = ["b", *BUCKETED[name]]
+                rows.withColumn("b", self.bucket(F.col("host"))).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("b").parquet(at)
+                kept = {} if buckets is None else {k: v for k, v in parts.get(name, {}).items() if k and int(k) not in buckets}
+                there = (s.getPath().getName() for s in self._fs.listStatus(self._hadoop("tables", name, made)))
+                parts[name] = kept | {x.partition("=")[2]: made for x in there if x.startswith("b=")}
+            else:
+                if name == "postings":
+                    rows = rows.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc")
+                rows.write.parquet(at)
+                parts[name] = {"": made}
+        self._commit_manifest(number + 1, {"format": FORMAT, "buckets": self.buckets, "tables": parts, "notes": m["notes"] | (notes or {})})
         return number + 1
 
     def vacuum(self, keep: int = KEEP_VERSIONS, least_share: float = 0.25) -> int:
-        """Deletes what only old manifests name, once that is a quarter of all bytes; returns the bytes freed."""
+        """Deletes what only old manifests name, once that is a quarter of all bytes, and what writes left behind; returns the bytes freed.
+
+        Not to be run beside a write.
+        """
+        self._fs.delete(self._hadoop("work"), True)
         numbers = self._numbers()
-        live = {(t, v) for n in numbers[-keep:] for t, v in self._manifest(n).items()}
+        live = {(t, v, k) for n in numbers[-keep:] for t, made in self._manifest(n)["tables"].items() for k, v in made.items()}
         dead, total = [], 0
         for name in SCHEMAS:
             folder = self._hadoop("tables", name)
             for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                size = self._fs.getContentSummary(s.getPath()).getLength()
-                total += size
-                if (name, s.getPath().getName()) not in live:
-                    dead.append((s.getPath(), size))
+                v = s.getPath().getName()
+                parts = [x for x in self._fs.listStatus(s.getPath()) if x.getPath().getName().startswith("b=")]
+                named = [(x, x.getPath().getName()[2:]) for x in parts] if parts and (name, v, "") not in live else [(s, "")]
+                sizes = {k: self._fs.getContentSummary(x.getPath()).getLength() for x, k in named}
+                total += sum(sizes.values())
+                gone = [(x, sizes[k]) for x, k in named if (name, v, k) not in live]
+                dead += [(s, sum(sizes.values()))] if len(gone) == len(named) else gone
         freed = sum(size for _, size in dead)
         if not dead or freed < least_share * total:
             return 0
-        for at, _ in dead:
-            self._fs.delete(at, True)
+        for s, _ in dead:
+            self._fs.delete(s.getPath(), True)
         for n in numbers[:-keep]:
             self._fs.delete(self._hadoop("manifests", f"{n:012d}.json"), False)
         return freed
@@ -150,15 +191,14 @@ class Lake:
         """Applies messages in the order of seq, all in one commit; ones that make no sense go to dead_letters.
 
         Messages of one site apply in order, sites side by side: each site's stored rows and messages meet in one task, its
-        folders as counts. Only sites that messages name are read into that step.
+        folders as counts. Only buckets with sites that messages name are read and written. A message that fails is left out
+        as if it had not come, and goes to dead_letters.
         """
         m = messages.select(*[F.col(c) if c in messages.columns else F.lit(None).alias(c) for c in _names(MESSAGES)])
         m = self.spark.createDataFrame([], MESSAGES).unionByName(m)
         bad = F.when(~F.col("kind").isin(*KINDS) | F.col("kind").isNull(), "unknown kind").when(F.col("kind").isin("entries", "host_done", "paused") & F.col("host").isNull(), "no host").when((F.col("kind") == "host_done") & ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown status").when((F.col("kind") == "cc_file_done") & F.col("path").isNull(), "no path")
         m = self._hold(m.withColumn("why", bad))  # read several times below, and made by walks
         good = m.where("why is null")
-        letters = self.table("dead_letters").unionByName(m.where("why is not null").select("seq", "kind", "host", "why"))
-
         host = R.canonical_host(F.col("host"))
         rows = good.where("kind = 'entries'").select(host.alias("host"), "seq", "now", "leaf", F.explode("entries").alias("e")).select("host", "seq", "now", "leaf", "e.*")
         rows = rows.withColumn("url", R.canonical_url(F.col("url"))).withColumn("dir_url", R.folder_of(F.col("url"))).withColumn("raw", R.leaf_of(F.col("url")))
@@ -166,33 +206,35 @@ class Lake:
         listed = arriving.groupBy("host", "seq", "now", "leaf", "dir_url").agg(*_counts())
         own = good.where("kind in ('host_done', 'paused')").withColumn("host", host)
         spread = good.where("kind in ('candidates', 'cc_file_done')").select("seq", "now", F.coalesce("source", F.lit("link")).alias("source"), F.posexplode("urls").alias("pos", "url")).withColumn("url", R.canonical_url(F.col("url"))).withColumn("host", R.url_host(F.col("url"))).where("host is not null")
-        log = _log(listed.select("host", "seq", "now", F.lit("entries").alias("kind"), "leaf", "dir_url", "files", "bytes", "big", "useful"), own, spread)
+        log = self._hold(_log(listed.select("host", "seq", "now", F.lit("entries").alias("kind"), "leaf", "dir_url", "files", "bytes", "big", "useful"), own, spread))
 
-        touched, base = log.select("host").distinct(), self.version() << 44  # later batches number their candidates above
-        hosts, dirs, entries, candidates = (self.table(t) for t in ("hosts", "dirs", "entries", "candidates"))
+        touched = log.select("host").distinct()
+        only = sorted(r.b for r in touched.select(self.bucket(F.col("host")).alias("b")).distinct().collect())  # at most as many as buckets
+        hosts, dirs, entries, candidates = (self.table(t, buckets=only) for t in ("hosts", "dirs", "entries", "candidates"))
         mine = {t: df.join(touched, "host", "left_semi") for t, df in (("hosts", hosts), ("dirs", dirs), ("entries", entries), ("candidates", candidates))}
         state = _state(mine)
-        folded = log.groupBy("host").cogroup(state.groupBy("host")).applyInPandas(lambda log, state: _fold(log, state, base), FOLDED)
-        folded = self._hold(folded)
+        folded = self._hold(log.groupBy("host").cogroup(state.groupBy("host")).applyInPandas(_fold, FOLDED))
+        letters = m.where("why is not null").select("seq", "kind", "host", "why").unionByName(folded.where("kind = 'letter'").select("seq", F.col("status").alias("kind"), "host", F.col("reason").alias("why")))
 
         kept = folded.where("kind = 'dir'").select("host", F.col("url").alias("dir_url"), "src")
         old_entries = entries.join(touched, "host", "left_anti").unionByName(mine["entries"].join(kept.where("src is null").drop("src"), ["host", "dir_url"], "left_semi"))
         new_entries = arriving.join(kept.where("src is not null").withColumnRenamed("src", "seq"), ["host", "dir_url", "seq"], "left_semi").select(*entries.columns)
-        out = {
+        out = {} if not only else {
             "hosts": hosts.join(touched, "host", "left_anti").unionByName(folded.where("kind = 'host'").select(*hosts.columns)),
             "dirs": dirs.join(touched, "host", "left_anti").unionByName(folded.where("kind = 'dir'").select("host", "url", "seen_at", "leaf")),
             "entries": old_entries.unionByName(new_entries),
             "candidates": candidates.join(touched, "host", "left_anti").unionByName(folded.where("kind = 'candidate'").select(*candidates.columns)),
-            "dead_letters": letters,
-        }
+        }
         done = good.where("kind = 'cc_file_done'").select("path", F.coalesce(F.size("urls"), F.lit(0)).cast("long").alias("candidates"), F.col("now").alias("done_at"), "seq")
-        last = done.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))).where("k = 1").drop("k", "seq")
-        out["cc_files"] = self.table("cc_files").join(last.select("path"), "path", "left_anti").unionByName(last)
+        if not done.isEmpty():
+            last = done.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))).where("k = 1").drop("k", "seq")
+            out["cc_files"] = self.table("cc_files").join(last.select("path"), "path", "left_anti").unionByName(last)
+        if not letters.isEmpty():
+            out["dead_letters"] = self.table("dead_letters").unionByName(letters)
         try:
-            return self.commit(**out)
+            return self.commit(buckets=only, **out)
         finally:
-            folded.unpersist()
-            m.unpersist()
+            self.release(folded, log, m)
 
     def send(self, *messages: dict, now: int | None = None) -> int:
         """Applies messages given as dicts, numbered in order."""
@@ -229,21 +271,28 @@ class Lake:
         key = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("i", "url")))), lambda x: x["url"])
         return once.groupBy("host").agg(key(F.lit(True)).alias("urls"), key(F.col("source") == "seed").alias("seeds"), F.min("i").alias("i")).orderBy("i").drop("i")
 
+    def named_jobs(self, urls: list[str]) -> DataFrame:
+        """The named sites as work for a walk; sites that users name are trusted."""
+        known = self.table("hosts").select("host", F.lit(True).alias("known"))
+        return self.named_sites(urls).join(known, "host", "left").select("host", "urls", "seeds", F.lit(True).alias("trusted"), F.coalesce("known", F.lit(False)).alias("known"))
+
     # Maintenance.
 
     def forget(self, hosts: list[str]) -> bool:
         """Takes all traces of the sites away; whether there were any."""
         names = [normal_domain(h) for h in hosts]
-        tables = {t: self.table(t) for t in ("hosts", "dirs", "entries", "candidates")}
+        only = self.buckets_of(names)
+        tables = {t: self.table(t, buckets=only) for t in ("hosts", "dirs", "entries", "candidates")}
         known = any(tables[t].where(F.col("host").isin(*names)).limit(1).count() for t in ("hosts", "dirs", "candidates"))
-        self.commit(**{t: df.where(~F.col("host").isin(*names)) for t, df in tables.items()})
+        self.commit(buckets=only, **{t: df.where(~F.col("host").isin(*names)) for t, df in tables.items()})
         return known
 
     def delete_subtree(self, folder: str) -> int:
         """Takes everything under a folder's URL away, and the folder itself."""
         base = folder.rstrip("/") + "/"
+        only = self.buckets_of([u.host.rstrip(".")] if (u := parse(base)) else [])
         gone = {"dirs": "url", "entries": "dir_url", "candidates": "url"}
-        return self.commit(**{t: self.table(t).where(~writes.in_subtree(F.col(c), base)) for t, c in gone.items()})
+        return self.commit(buckets=only, **{t: self.table(t, buckets=only).where(~writes.in_subtree(F.col(c), base)) for t, c in gone.items()})
 
     def clean(self, optout: list[str] = (), skip_hosts: list[str] = (), skip_folders: list[str] = (), thresholds: Q.Thresholds = Q.Thresholds(), now: int | None = None) -> DataFrame:
         """Opt-outs, skipped hosts, skipped folders, exposure, quality, in this order, each on what is left; the report's rows.
@@ -255,7 +304,8 @@ class Lake:
         reports_: list[DataFrame] = []
         for status, domains in (("opted_out", optout), ("skipped", skip_hosts)):
             known = t["hosts"].where(F.col("status") != status).select("host").union(t["dirs"].select("host")).union(t["candidates"].select("host")).distinct()
-            hit = self._hold(known.where(R.domain_match(F.col("host"), [normal_domain(d) for d in domains])).withColumn("reason", F.lit(f"on the {'opt-out' if status == 'opted_out' else 'skip'} list")))
+            listed = self.spark.createDataFrame([(normal_domain(d),) for d in domains], "domain string")
+            hit = self._hold(R.hosts_in(known, listed).withColumn("reason", F.lit(f"on the {'opt-out' if status == 'opted_out' else 'skip'} list")))
             reports_.append(hit.select(F.lit(status).alias("action"), "host", "reason", F.lit(0).cast("long").alias("n")))
             t = self._tombstones(t, hit, status, now)
         if skip_folders:
@@ -276,7 +326,17 @@ class Lake:
         return report
 
     def _hold(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.cache()
+        """The same rows, written under the lake and read again: a lost executor does not make them anew."""
+        at = f"{self.path}/work/{uuid4().hex}"
+        df.write.parquet(at)
+        held = self.spark.read.schema(df.schema).parquet(at)
+        held._held_at = at
+        return held
+
+    def release(self, *held: DataFrame) -> None:
+        """Deletes what was held; what nobody releases goes with the next vacuum."""
+        for df in held:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._held_at), True)
 
     def _tombstones(self, t: dict[str, DataFrame], hit: DataFrame, status: str, now: int) -> dict[str, DataFrame]:
         old = t["hosts"].join(hit.select("host"), "host", "left_semi").select("host", F.col("server").alias("s"), F.col("trusted").alias("tr"), F.when(F.col("status") == "paused", F.col("dirs")).otherwise(0).alias("d"))
@@ -315,24 +375,31 @@ class Lake:
 
     def index(self) -> int:
         """Stores the search index of the current entries, sorted by token: a search then reads only the tokens it asks for."""
-        postings, lengths = search.build_index(self._searchable(), "url", "name", "path")
-        return self.commit({"indexed": self._manifest(self.version()).get("entries", "")}, postings=postings, lengths=lengths)
+        f = self._searchable()
+        postings = search.build_index(f, "url", "name", "path", DETAILS)
+        number = self.commit(postings=postings)
+        n, mean = search.statistics(self.table("entries", number), self.table("postings", number))
+        return self.commit({"indexed": self._manifest(number)["tables"].get("entries", {}), "documents": n, "mean_length": mean})
+
+    def hidden(self, url: Column, host: Column, name: Column, unfiltered: bool = False, takedown: list[str] = (), optout: list[str] = ()) -> Column:
+        """Whether a hit is left out: under a takedown prefix, of an opted-out domain, or likely infringing."""
+        found = R.taken_down(url, [normal_prefix(p) for p in takedown]) | R.domain_match(host, [normal_domain(d) for d in optout])
+        return found if unfiltered else found | R.likely_infringing(name)
 
     def search(self, query: str, limit: int = 20, extensions: str | None = None, min_bytes: int | None = None, unfiltered: bool = False, takedown: list[str] = (), optout: list[str] = ()) -> DataFrame:
         """The best hits (url, name, is_dir, size, mtime, rank) among names and folder paths.
 
-        Uses the stored index if it is of the current entries, else makes one on the way.
+        Uses the stored index if it is of the current entries, else passes over them.
         """
-        f, m = self._searchable(), self._manifest(self.version())
-        fresh = "entries" in m and m.get("indexed") == m["entries"]
-        ranks = search.ranked(*((self.table("postings"), self.table("lengths")) if fresh else search.build_index(f, "url", "name", "path")), query)
-        hidden = R.taken_down(F.col("doc"), [normal_prefix(p) for p in takedown]) | R.domain_match(F.col("host"), [normal_domain(d) for d in optout])
-        if not unfiltered:
-            hidden = hidden | R.likely_infringing(F.col("name"))
-        dropped = self.table("hosts").where(F.col("status").isin(*HIDDEN)).select("host")
-        details = f.withColumnRenamed("url", "doc").join(dropped, "host", "left_anti")
+        m = self._manifest(self.version())
+        if "entries" in m["tables"] and m["notes"].get("indexed") == m["tables"]["entries"]:
+            ranks = search.ranked(self.table("postings"), m["notes"]["documents"], m["notes"]["mean_length"], query, DETAILS)
+        else:
+            ranks = search.scan_ranked(self._searchable(), "url", "name", "path", query, DETAILS)
+        hidden = self.hidden(F.col("doc"), F.col("host"), F.col("name"), unfiltered, takedown, optout)
         keep = ~hidden & R.ext_in(F.col("name"), F.col("is_dir"), R.parse_extensions(extensions)) & R.min_size(F.col("size"), min_bytes)
-        return search.top(ranks, details, limit, keep).select(F.col("doc").alias("url"), "name", "is_dir", "size", "mtime", "rank")
+        dropped = self.table("hosts").where(F.col("status").isin(*HIDDEN)).select("host")
+        return search.top(ranks.join(dropped, "host", "left_anti"), limit, keep).select(F.col("doc").alias("url"), "name", "is_dir", "size", "mtime", "rank")
 
     def sites(self, status: str | None = None, sort: str = "size", limit: int = 40) -> DataFrame:
         return reports.sites(self.table("hosts"), status, sort, limit)
@@ -407,32 +474,65 @@ def _list(v) -> list:
     return [] if v is None or isinstance(v, float) else list(v)
 
 
-def _fold(log: pd.DataFrame, state: pd.DataFrame, base: int = 0) -> pd.DataFrame:
-    """Applies a site's messages to its state."""
-    number = lambda v: 0 if _none(v) is None else int(v)
-    flag = lambda v: bool(_none(v) or False)
-    s = HostState((log if len(log) else state)["host"].iloc[0])
+def _number(v) -> int:
+    return 0 if _none(v) is None else int(v)
+
+
+def _flag(v) -> bool:
+    return bool(_none(v) or False)
+
+
+def _stored(host: str, state: pd.DataFrame) -> HostState:
+    s = HostState(host)
     for r in state.to_dict("records"):
         if r["kind"] == "host":
-            s.row = {"host": s.host, "status": r["status"], "server": _none(r["server"]), "dirs": number(r["dirs"]), "files": number(r["files"]), "bytes": number(r["bytes"]), "crawled_at": number(r["crawled_at"]), "reason": _none(r["reason"]), "trusted": flag(r["trusted"]), "fails": number(r["fails"])}
+            s.row = {"host": s.host, "status": r["status"], "server": _none(r["server"]), "dirs": _number(r["dirs"]), "files": _number(r["files"]), "bytes": _number(r["bytes"]), "crawled_at": _number(r["crawled_at"]), "reason": _none(r["reason"]), "trusted": _flag(r["trusted"]), "fails": _number(r["fails"])}
         elif r["kind"] == "dir":
-            s.folders[r["url"]] = Folder(flag(r["leaf"]), *(number(r[k]) for k in ("files", "bytes", "big", "useful")), number(r["seen_at"]))
+            s.folders[r["url"]] = Folder(_flag(r["leaf"]), *(_number(r[k]) for k in ("files", "bytes", "big", "useful")), _number(r["seen_at"]))
         else:
-            s.candidates[r["url"]] = Candidate(r["source"], number(r["found_at"]), number(r["seq"]))
-    for (seq, kind), part in log.groupby(["seq", "kind"], sort=True):
-        r = part.iloc[0]
-        now, seq = number(r["now"]), int(seq)
-        if kind == "entries":
-            s.entries({x["dir_url"]: Folder(flag(x["leaf"]), *(number(x[k]) for k in ("files", "bytes", "big", "useful")), now, seq) for x in part.to_dict("records")})
-        elif kind == "candidates":
-            urls = part.sort_values("pos")["url"].tolist()
-            (s.trust if r["source"] in ("seed", "moved") else s.insert)(urls, r["source"], now, base // 1_000_000 + seq)
-        elif kind == "paused":
-            s.paused(_list(r["finished"]), _list(r["frontier"]), now, base // 1_000_000 + seq)
+            s.candidates[r["url"]] = Candidate(r["source"], _number(r["found_at"]), _number(r["seq"]))
+    return s
+
+
+def _applied(s: HostState, seq: int, kind: str, part: pd.DataFrame) -> None:
+    r = part.iloc[0]
+    now = _number(r["now"])
+    if kind == "entries":
+        s.entries({x["dir_url"]: Folder(_flag(x["leaf"]), *(_number(x[k]) for k in ("files", "bytes", "big", "useful")), now, seq) for x in part.to_dict("records")})
+    elif kind == "candidates":
+        urls = part.sort_values("pos")["url"].tolist()
+        (s.trust if r["source"] in ("seed", "moved") else s.insert)(urls, r["source"], now)
+    elif kind == "paused":
+        s.paused(_list(r["finished"]), _list(r["frontier"]), now)
+    else:
+        judge = Q.Thresholds(int(r["min_big"]), int(r["min_useful"])) if _none(r["min_big"]) is not None else None
+        s.done(r["status"], _none(r["server"]), _number(r["dirs"]), _none(r["reason"]), _flag(r["purge"]), _flag(r["trusted"]), judge, _flag(r["failed"]), now)
+
+
+def backfilled(dirs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Folders of which it is not noted whether they are leaves are so if they list no sub-folder."""
+    subs = entries.where("is_dir").select(F.col("dir_url").alias("url")).distinct().withColumn("has", F.lit(True))
+    found = dirs.where("leaf is null").join(subs, "url", "left_anti").select("url").distinct().withColumn("found", F.lit(True))
+    return dirs.join(found, "url", "left").withColumn("leaf", F.coalesce("leaf", "found", F.lit(False))).select(*dirs.columns)
+
+
+def _fold(log: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """Applies a site's messages to its state. One that fails is left out: the others apply again without it."""
+    failed: dict[int, tuple[str, str]] = {}
+    while True:
+        s = _stored((log if len(log) else state)["host"].iloc[0], state)
+        for (seq, kind), part in log.groupby(["seq", "kind"], sort=True):
+            if int(seq) in failed:
+                continue
+            try:
+                _applied(s, int(seq), kind, part)
+            except Exception as e:  # whatever a message holds, the site's other messages count
+                failed[int(seq)] = kind, f"{type(e).__name__}: {e}"
+                break
         else:
-            judge = Q.Thresholds(int(r["min_big"]), int(r["min_useful"])) if _none(r["min_big"]) is not None else None
-            s.done(r["status"], _none(r["server"]), number(r["dirs"]), _none(r["reason"]), flag(r["purge"]), flag(r["trusted"]), judge, flag(r["failed"]), now)
-    out = [{"kind": "host"} | s.row] if s.row else []
+            break
+    out = [{"kind": "letter", "host": s.host, "seq": seq, "status": kind, "reason": why} for seq, (kind, why) in failed.items()]
+    out += [{"kind": "host"} | s.row] if s.row else []
     out += [{"kind": "dir", "host": s.host, "url": u, "leaf": f.leaf, "seen_at": f.seen_at, "src": f.src} for u, f in s.folders.items()]
     out += [{"kind": "candidate", "host": s.host, "url": u, "source": c.source, "found_at": c.found_at, "seq": c.seq} for u, c in s.candidates.items()]
     made = pd.DataFrame(out, columns=_names(FOLDED), dtype=object)

@@ -52,17 +52,19 @@ class HostState:
         """Listings replace the folders that they have entries of."""
         self.folders |= folders
 
-    def insert(self, urls: list[str], source: str, now: int, seq: int) -> None:
-        """Adds URLs that are new and promotes known ones."""
-        for i, url in enumerate(urls):
+    def insert(self, urls: list[str], source: str, now: int) -> None:
+        """Adds URLs that are new, numbered in the order in which the site's come, and promotes known ones."""
+        last = max((c.seq for c in self.candidates.values()), default=0)
+        for url in urls:
             known = self.candidates.get(url)
             if known is None:
                 if self.row is None or source == "resume" and self.row["status"] == "paused":
-                    self.candidates[url] = Candidate(source, now, seq * 1_000_000 + i)
+                    last += 1
+                    self.candidates[url] = Candidate(source, now, last)
             elif source == "seed" and known.source not in ("seed", "resume") or source == "moved" and known.source not in ("seed", "moved", "resume"):
                 known.source = source
 
-    def trust(self, urls: list[str], source: str, now: int, seq: int) -> None:
+    def trust(self, urls: list[str], source: str, now: int) -> None:
         """Addresses that users typed (seed), or that those moved to: opens closed rows, and trusts all but sensitive ones."""
         if self.row is not None:
             status = self.row["status"]
@@ -70,9 +72,9 @@ class HostState:
                 self.row = None
             elif status != "sensitive":
                 self.row["trusted"] = True
-        self.insert(urls, source, now, seq)
+        self.insert(urls, source, now)
 
-    def paused(self, finished: list[str], frontier: list[str], now: int, seq: int) -> None:
+    def paused(self, finished: list[str], frontier: list[str], now: int) -> None:
         """Leaves what is still to read; the marks of trust go into the row first."""
         if any(c.source in ("seed", "moved") for c in self.candidates.values()) or self.row and self.row["trusted"]:
             if self.row is None:
@@ -80,7 +82,7 @@ class HostState:
             self.row["trusted"] = True
         done = set(finished)
         self.candidates = {u: c for u, c in self.candidates.items() if c.source == "resume" and u not in done}
-        self.insert(frontier, "resume", now, seq)
+        self.insert(frontier, "resume", now)
 
     def done(self, status: str, server: str | None, dirs: int, reason: str | None, purge: bool, trusted: bool, judge: Thresholds | None, failed: bool, now: int) -> None:
         trusted = trusted or self.marked()

@@ -104,17 +104,3 @@ def judged(hosts: DataFrame, dirs: DataFrame, entries: DataFrame, candidates: Da
     p = progress(dirs, entries, hosts)
     rows = hosts.select("host", "status", "trusted").join(p, "host", "left").fillna(0, ["files", "big", "useful", "level_folders", "level_files", "folders_read"]).join(waiting(candidates, p), "host", "left")
     return rows.select("host", verdict(t, F.col("status"), F.col("trusted")).alias("drop_reason")).where("drop_reason is not null")
-
-
-def strikes(runs: DataFrame, stored: Column) -> DataFrame:
-    """Of runs (host, seq, failed): each run's strikes so far and whether it ends the site; five in a row do, and start anew.
-
-    A run that did not fail ends a row of failures: the rows are islands between such runs.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("host").orderBy("seq")
-    island = F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w)
-    r = runs.withColumn("island", island).withColumn("i", F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(Window.partitionBy("host", "island").orderBy("seq")))
-    ends = F.col("failed") & (F.col("i") % STRIKES == 0)
-    return r.select("host", "seq", "failed", F.when(F.col("failed"), F.col("i") % STRIKES).otherwise(0).cast("int").alias("fails"), F.when(ends, F.when(stored, "partial").otherwise("unreachable")).when(F.col("failed"), "paused").otherwise("read").alias("status"))

@@ -1,14 +1,17 @@
-"""Ranked full-text search: an inverted index of names and paths, prefix terms, BM25 over weighted columns.
+"""Ranked full-text search: names and paths, prefix terms, BM25 over weighted columns.
 
-The index is a table of (token, doc, tf_name, tf_path) and one of (doc, length). A query reads only the tokens with its terms'
-prefixes, sums them by document, keeps documents that have every term, scores, filters, and takes the best; statistics are over
-the whole index, so filters never change a rank.
+The stored index is one table of postings (token, doc, tf_name, tf_path, length) that also holds what filters and hit lists ask of
+a document, so a query reads only the tokens with its terms' prefixes and joins nothing. Without an index two passes over the
+documents do: one for the statistics, one for the scores, neither with a shuffle. Statistics are over all documents, so filters
+never change a rank.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,42 +40,67 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """A query's words, each the prefix of a token; a query without words is an error."""
+    """A query's distinct words, each the prefix of a token; a query without words is an error."""
     plain = "".join(c for c in unicodedata.normalize("NFD", query) if unicodedata.category(c) != "Mn").lower()
     words = ["".join(w) for w in re.findall(r"[^\W_]+", plain)]
     if not words:
         raise ValueError("the search needs a word")
-    return words
+    return list(dict.fromkeys(words))
 
 
-def build_index(docs: DataFrame, key: str, name: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings (doc, token, tf_name, tf_path) and lengths (doc, length) of documents."""
-    each = docs.select(F.col(key).alias("doc"), tokens(F.col(name)).alias("n"), (tokens(F.col(path)) if path else F.array().cast("array<string>")).alias("p"))
-    lengths = each.select("doc", (F.size("n") + F.size("p")).cast("long").alias("length"))
-    both = F.concat(F.transform("n", lambda t: F.struct(t.alias("token"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform("p", lambda t: F.struct(t.alias("token"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    postings = each.select("doc", F.explode(both).alias("t")).groupBy("doc", "t.token").agg(F.sum("t.a").alias("tf_name"), F.sum("t.b").alias("tf_path"))
-    return postings, lengths
+def _tokenised(docs: DataFrame, key: str, name: str, path: str | None, keep: list[str]) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return docs.select(F.col(key).alias("doc"), *keep, tokens(F.col(name)).alias("in_name"), (tokens(F.col(path)) if path else none).alias("in_path"))
 
 
-def ranked(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
-    """Rows (doc, rank) of the documents with all terms; lower ranks are better."""
-    terms = list(dict.fromkeys(query_terms(query)))
+def build_index(docs: DataFrame, key: str, name: str, path: str | None = None, keep: list[str] = ()) -> DataFrame:
+    """Postings (token, doc, tf_name, tf_path, length, and the columns `keep` of the document)."""
+    each = _tokenised(docs, key, name, path, list(keep)).withColumn("length", (F.size("in_name") + F.size("in_path")).cast("long"))
+    count = lambda where, t: F.size(F.filter(where, lambda x: x == t)).cast("long")
+    rows = each.select("doc", "length", *keep, "in_name", "in_path", F.explode(F.array_distinct(F.concat("in_name", "in_path"))).alias("token"))
+    return rows.select("token", "doc", count(F.col("in_name"), F.col("token")).alias("tf_name"), count(F.col("in_path"), F.col("token")).alias("tf_path"), "length", *keep)
+
+
+def statistics(docs: DataFrame, postings: DataFrame) -> tuple[int, float]:
+    """How many documents there are, and their mean length, as an index keeps them."""
+    n, total = docs.count(), postings.agg(F.coalesce(F.sum(F.col("tf_name") + F.col("tf_path")), F.lit(0))).first()[0]
+    return n, total / n if n else 0.0
+
+
+def _score(f: Column, n: int | Column, found: int | Column, length: Column, mean: float | Column) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    idf = F.greatest(F.log((lit(n) - lit(found) + 0.5) / (lit(found) + 0.5)), F.lit(LEAST_IDF))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / lit(mean)))
+
+
+def ranked(postings: DataFrame, n: int, mean: float, query: str, keep: list[str] = ()) -> DataFrame:
+    """Rows (doc, rank, and the columns `keep`) of the documents with all terms; lower ranks are better."""
+    terms = query_terms(query)
     # The token filter is a disjunction of prefixes, which a reader of sorted postings can prune by.
-    wanted = F.explode(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.col("token").startswith(t)))
-    near = None
-    for t in terms:
-        near = F.col("token").startswith(t) if near is None else near | F.col("token").startswith(t)
-    hits = postings.where(near).select("doc", "tf_name", "tf_path", wanted.alias("term")).groupBy("doc", "term").agg((NAME_WEIGHT * F.sum("tf_name") + PATH_WEIGHT * F.sum("tf_path")).alias("f"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl"))  # one row
-    found = hits.groupBy("term").agg(F.count("*").alias("n"))  # a row for each word of the query
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    weights = found.crossJoin(stats).select("term", "avgdl", idf.alias("idf"))  # one row on one side
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(weights), "term").join(lengths, "doc")
-    return scored.groupBy("doc").agg((-F.sum(part)).alias("rank"), F.count("*").alias("terms")).where(F.col("terms") == len(terms)).drop("terms")
-
-
-def top(ranks: DataFrame, details: DataFrame, limit: int, keep: Column | None = None, tie: str = "doc") -> DataFrame:
-    """The best of the ranked documents that `keep` holds for, with their details; ties go to the smaller key."""
-    rows = ranks.join(details, "doc")
-    return (rows if keep is None else rows.where(keep)).orderBy("rank", tie).limit(limit)
+    near = postings.where(reduce(or_, [F.col("token").startswith(t) for t in terms]))
+    weight = NAME_WEIGHT * F.col("tf_name") + PATH_WEIGHT * F.col("tf_path")
+    sums = [F.sum(F.when(F.col("token").startswith(t), weight).otherwise(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
+    hits = near.groupBy("doc").agg(F.first("length").alias("length"), *[F.first(c).alias(c) for c in keep], *sums)
+    # A row with how many documents have each term, whether they have the others or not.
+    found = hits.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
+    all_terms = reduce(and_, [F.col(f"f{i}") > 0 for i in range(len(terms))])
+    both = hits.where(all_terms).crossJoin(F.broadcast(found))  # one row on one side
+    total = reduce(lambda a, b: a + b, [_score(F.col(f"f{i}"), n, F.col(f"n{i}"), F.col("length"), mean) for i in range(len(terms))])
+    return both.select("doc", (-total).alias("rank"), *keep)
+
+
+def scan_ranked(docs: DataFrame, key: str, name: str, path: str | None, query: str, keep: list[str] = ()) -> DataFrame:
+    """The same without an index: a pass over the documents for the statistics and one for the scores."""
+    terms = query_terms(query)
+    each = _tokenised(docs, key, name, path, list(keep))
+    times = lambda where, t: F.size(F.filter(where, lambda x: x.startswith(t)))
+    f = [(NAME_WEIGHT * times(F.col("in_name"), t) + PATH_WEIGHT * times(F.col("in_path"), t)).alias(f"f{i}") for i, t in enumerate(terms)]
+    rows = each.select("doc", *keep, (F.size("in_name") + F.size("in_path")).cast("long").alias("length"), *f)
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
+    total = reduce(lambda a, b: a + b, [_score(F.col(f"f{i}"), stats.n, stats[f"n{i}"], F.col("length"), stats["mean"] or 0.0) for i in range(len(terms))])
+    return rows.where(reduce(and_, [F.col(f"f{i}") > 0 for i in range(len(terms))])).select("doc", (-total).alias("rank"), *keep)
+
+
+def top(ranks: DataFrame, limit: int, keep: Column | None = None, tie: str = "doc") -> DataFrame:
+    """The best of the ranked documents that `keep` holds for; ties go to the smaller key."""
+    return (ranks if keep is None else ranks.where(keep)).orderBy("rank", tie).limit(limit)

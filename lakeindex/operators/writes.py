@@ -1,8 +1,8 @@
-"""Writes as set operations: what a table holds after a batch, from what it held and what arrived."""
+"""Writes as set operations: what a table holds afterwards, from what it held."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,40 +16,6 @@ def in_subtree(url: Column, folder: str) -> Column:
     return in_range(url, base + "/", base + "0")
 
 
-def replace_listings(old: DataFrame, new: DataFrame, key: str = "dir_url") -> DataFrame:
-    """Folders that have new rows lose their old ones."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
-def upsert_hosts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a host: a null server keeps the old one, folders add up over pauses, trust never goes, the rest is new."""
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, F.col("o.host") == F.col("n.host"), "full")
-    there = F.col("n.host").isNotNull()
-    carried = F.when(F.col("o.status") == "paused", F.col("o.dirs")).otherwise(0)
-    made = {
-        "server": F.coalesce("n.server", "o.server"), "dirs": F.when(there, F.col("n.dirs") + F.coalesce(carried, F.lit(0))).otherwise(F.col("o.dirs")),
-        "trusted": F.coalesce("n.trusted", F.lit(False)) | F.coalesce("o.trusted", F.lit(False)), "host": F.coalesce("n.host", "o.host"),
-    }
-    return both.select(*[(made[c] if c in made else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in old.columns])
-
-
-def insert_candidates(old: DataFrame, new: DataFrame, hosts: DataFrame) -> DataFrame:
-    """First row of a URL wins; hosts that were read take none, but for what a paused one resumes with."""
-    closed = hosts.select("host", "status")
-    refused = (F.col("n.host") == F.col("h.host")) & ((F.col("n.source") != "resume") | (F.col("h.status") != "paused"))
-    ok = new.alias("n").join(closed.alias("h"), refused, "left_anti").join(old.select("url"), "url", "left_anti")
-    first = F.row_number().over(Window.partitionBy("url").orderBy("seq"))
-    return old.unionByName(ok.withColumn("k", first).where("k = 1").select(*old.columns))
-
-
-def promote(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A typed address makes a known URL a seed, a redirect makes it moved; seeds, resumed and moved ones keep what is stronger."""
-    marks = new.where(F.col("source").isin("seed", "moved")).groupBy("url").agg(F.max((F.col("source") == "seed").cast("int")).alias("seed"))
-    source = F.when(F.col("source").isin("seed", "resume") | F.col("seed").isNull(), F.col("source")).when(F.col("seed") == 1, "seed").otherwise("moved")
-    return old.join(marks, "url", "left").withColumn("source", source).select(*old.columns)
-
-
 def purge(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     """Rows of all other hosts."""
     return rows.join(hosts.select("host").distinct(), "host", "left_anti")

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakeindex.functions import rules as R
-from lakeindex.operators import quality as Q
-from lakeindex.operators import reports, search
+from lakeindex.functions.urls import decoded_path, is_public
+from lakeindex.operators import search
 from lakeindex.sources import listing as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,49 +65,30 @@ sc AS (SELECT h.doc, sum(greatest(ln((st.n - df.k + 0.5) / (df.k + 0.5)), 1e-6)
 SELECT sc.doc AS doc_id, round(-s, 6) AS rank FROM sc JOIN docs d ON d.doc = sc.doc WHERE c = {len(terms)} {where} ORDER BY round(-s, 6), sc.doc{f" LIMIT {limit}" if limit else ""}"""
 
 
-def _ranked(docs: DataFrame, words: str) -> DataFrame:
-    postings, lengths = search.build_index(docs, "doc_id", "text")
-    return search.ranked(postings, lengths, words).withColumn("rank", F.round("rank", 6))
-
-
 @query(_bm25_sql("documents", "doc_id", ["the", "er"], 20))
 def search_bm25_topk(spark, sf):
-    docs = table(spark, sf, "documents")
-    return search.top(_ranked(docs, "The er"), docs.select(F.col("doc_id").alias("doc")), 20).select(F.col("doc").alias("doc_id"), "rank")
+    """Without an index: two passes."""
+    ranks = search.scan_ranked(table(spark, sf, "documents"), "doc_id", "text", None, "The er").withColumn("rank", F.round("rank", 6))
+    return search.top(ranks, 20).select(F.col("doc").alias("doc_id"), "rank")
 
 
 @query(_bm25_sql("documents", "doc_id", ["onti", "thnt"], None))
 def search_prefix_and(spark, sf):
-    return _ranked(table(spark, sf, "documents"), "ontï, Thnt!").select(F.col("doc").alias("doc_id"), "rank")
+    """With an index, as it is stored."""
+    docs = table(spark, sf, "documents")
+    postings = search.build_index(docs, "doc_id", "text").persist()  # read for the statistics and for the query
+    return search.ranked(postings, *search.statistics(docs, postings), "ontï, Thnt!").select(F.col("doc").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 @query(_bm25_sql("documents", "doc_id", ["cion"], 25, ", source, n_chars", "AND n_chars >= 1000 AND source NOT IN ('src0', 'src7')"))
 def search_filtered(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "source", "n_chars")
     dropped = values(spark, [("src0", "opted_out"), ("src7", "sensitive"), ("src1", "done")], "source, status").where(F.col("status").isin("opted_out", "sensitive", "skipped", "low_value"))
-    kept = docs.where(R.min_size(F.col("n_chars"), 1000)).join(F.broadcast(dropped), "source", "left_anti")  # three literal rows
-    return search.top(_ranked(docs.withColumnRenamed("doc", "doc_id"), "cion"), kept.select("doc"), 25).select(F.col("doc").alias("doc_id"), "rank")
-
-
-# Pages: anchors, servers, URLs.
+    ranks = search.scan_ranked(table(spark, sf, "documents"), "doc_id", "text", None, "cion", ["source", "n_chars"]).withColumn("rank", F.round("rank", 6))
+    kept = ranks.join(F.broadcast(dropped), "source", "left_anti")  # three literal rows
+    return search.top(kept, 25, R.min_size(F.col("n_chars"), 1000)).select(F.col("doc").alias("doc_id"), "rank")
 
-_BODY = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-_ALL = lambda g: f"""regexp_extract_all({_BODY}, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))[^>]*>(.*?)</a\\s*>', {g})"""
-
-
-@query(f"SELECT page_id, unnest({_ALL(1)}) AS href, trim(regexp_replace(regexp_replace(unnest({_ALL(4)}), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS link_text FROM pages")
-def anchors_extract(spark, sf):
-    pages = table(spark, sf, "pages")
-    return pages.select("page_id", F.explode(L.anchors(F.col("html"))).alias("a")).select("page_id", "a.href", L.text_of(F.col("a.text")).alias("link_text"))
-
-
-@query(f"""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, unnest({_ALL(1)}) AS href FROM pages)
-SELECT DISTINCT page_id, origin || href AS entry_url, ends_with(href, '/') AS is_dir, regexp_extract(href, '([^/]*)/?$', 1) AS entry_name FROM a WHERE starts_with(href, '/') AND NOT contains(href, '?')""")
-def anchors_entry_rows(spark, sf):
-    a = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"\A(https?://[^/?#]+)", 1).alias("origin"), F.explode(L.anchors(F.col("html"))).alias("a"))
-    rows = a.select("page_id", "origin", F.col("a.href").alias("href")).where(F.col("href").startswith("/") & ~F.col("href").contains("?"))
-    return rows.select("page_id", F.concat("origin", "href").alias("entry_url"), F.col("href").endswith("/").alias("is_dir"), R.leaf_of(F.col("href")).alias("entry_name")).distinct()
 
+# Pages: servers, URLs.
 
 _SERVERS = [
     (1, "<html><title>Index of /pub</title><address>Apache/2.4</address>"), (2, '<h1>Index of /</h1><a href="../">../</a>'), (3, "<title>Directory listing for /</title>"), (4, '<h2>index of /x</h2><div class="list">lighttpd/1.4'),
@@ -114,6 +97,11 @@ _SERVERS = [
 _LOWER = "lower(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'))"
 
 
+@F.pandas_udf(StringType())
+def _server(body: pd.Series) -> pd.Series:
+    return body.map(L.server_of)
+
+
 @query(f"""WITH b AS (SELECT id, {_LOWER} AS b FROM (SELECT page_id + 100 AS id, html AS body FROM pages UNION ALL SELECT * FROM {duck_values(_SERVERS, 'id, body')}))
 SELECT id, CASE WHEN contains(b, '[to parent directory]') OR regexp_matches(b, '{L.IIS_ROW}') THEN 'iis'
  WHEN NOT regexp_matches(b, '{L.HEADING}') THEN CASE WHEN regexp_matches(b, '{L.SORT_LINK.replace("'", "''")}') THEN CASE WHEN contains(b, '<table id="list">') THEN 'nginx' ELSE 'apache' END END
@@ -122,7 +110,7 @@ SELECT id, CASE WHEN contains(b, '[to parent directory]') OR regexp_matches(b, '
 def server_detect(spark, sf):
     pages = table(spark, sf, "pages").select((F.col("page_id") + 100).alias("id"), F.col("html").alias("body"))
     rows = pages.union(values(spark, _SERVERS, "id, body").select(F.col("id").cast("long"), "body"))
-    return rows.select("id", L.server_column(F.col("body")).alias("server"))
+    return rows.select("id", _server(F.col("body")).alias("server"))
 
 
 _SORTS = [(1, "http://a.org/pub/?C=N;O=D"), (2, "http://a.org/?C=M&O=A"), (3, "http://a.org/x?C=N;O=D"), (4, "http://a.org/?c=n;o=d"), (5, "http://a.org/?C=N;O=D#f"), (6, "http://a.org/d/??C=S;O=A"), (7, "ftp://a.org/?C=N;O=D"), (8, "http://a.org/?C=X;O=D")]
@@ -189,7 +177,7 @@ _LOCAL = " OR ".join(f"h = '{s}' OR ends_with(h, '.{s}')" for s in R.LOCAL_SUFFI
 
 @query(f"SELECT id, (contains(h, '.') AND NOT ({_LOCAL})) AS is_public FROM (SELECT id, {_CANON} AS h FROM {_H})")
 def public_host(spark, sf):
-    return _hosts(spark, sf).select("id", R.public_domain(F.col("host")).alias("is_public"))
+    return _hosts(spark, sf).select("id", is_public(F.concat(F.lit("http://"), "host", F.lit("/"))).alias("is_public"))
 
 
 _PATHS = [(1, "http://www.a.com/pub/linux/"), (2, "http://www.a.com/images/Datasets/x/"), (3, "http://me.github.io/pub/"), (4, "http://www.a.com/wp-content/uploads/"), (5, "http://www.a.com/old/BACKUP/x"), (6, "http://www.a.com/a/bin/windows/contrib/4.1/"), (7, "http://dl.a.com/"), (8, "http://www.a.com/secret/list"), (9, "http://www.a.com/publish/")]
@@ -219,10 +207,21 @@ def takedown_prefix(spark, sf):
 
 @query(f"SELECT id, h AS host FROM {_PARTS} WHERE h = 'example.com' OR ends_with(h, '.example.com') OR h = 'a.com' OR ends_with(h, '.a.com')")
 def domain_suffix_semi(spark, sf):
-    """A long list of domains as an equi join: each host's suffixes against the list."""
-    domains = values(spark, [("example.com",), ("a.com",)], "domain")
-    rows = _paths(spark, sf).select("id", "host", F.explode(R.host_suffixes(F.col("host"))).alias("domain"))
-    return rows.join(domains, "domain", "left_semi").select("id", "host").distinct()
+    """A list of domains as an equi join on each host's suffixes, as opt-outs are found."""
+    rows = _paths(spark, sf).select("id", "host")
+    return rows.join(R.hosts_in(rows, values(spark, [("example.com",), ("A.com",)], "domain")), "host", "left_semi").select("id", "host")
+
+
+_PATH_SQL = "coalesce(nullif(regexp_extract(url, '^[^:/?#]*:?//[^/?#]*([^?#]*)', 1), ''), '/')"
+_ODD = [(1, "http://a.org./x/", "/x/"), (2, "http://a.org.:8/b", "/home/me/"), (3, "https://u@B.org../c", "/pub/sym404/x"), (4, "http://a.org/b.", "/x/a/b/a/b/a/b/"), (5, "http://a.org/r", "/a/a/a"), (6, "http://a.org/s", "/a%20b/c+d"), (7, "http://a.org/t", "/root/x"), (8, "http://a.org/u", "/Users/x/y"), (9, "http://a.org/v", "/a/a")]
+
+
+@query(rf"""SELECT id, regexp_replace(url, '^(https?://(?:[^/?#@]*@)?[^/?#:]*?)[.]+([:/?#]|$)', '\1\2', 'i') AS canonical, regexp_matches(p, '^/home/[^/]+/|^/root/|^/Users/[^/]+/|(?i:(?:^|/)sym404(?:/|$))') AS sensitive,
+ CASE WHEN contains(p, '%20') THEN replace(p, '%20', ' ') ELSE p END AS decoded, id IN (4, 5) AS trap FROM (SELECT page_id + 100 AS id, url, {_PATH_SQL} AS p FROM pages UNION ALL SELECT * FROM {duck_values(_ODD, 'id, url, p')})""")
+def path_rules(spark, sf):
+    """Canonical URLs, decoded paths, sensitive paths, and paths that go round in circles."""
+    pages = table(spark, sf, "pages").select((F.col("page_id") + 100).alias("id"), "url", R.url_path(F.col("url")).alias("p")).union(values(spark, _ODD, "id, url, p").select(F.col("id").cast("long"), "url", "p"))
+    return pages.select("id", R.canonical_url(F.col("url")).alias("canonical"), R.sensitive_path(F.col("p")).alias("sensitive"), decoded_path(F.col("p")).alias("decoded"), R.repeating_segments(F.col("p")).alias("trap"))
 
 
 # Names of files.
@@ -280,12 +279,13 @@ def useful_file(spark, sf):
     return _names(spark, sf).select("id", R.is_useful(F.col("name"), F.col("size")).alias("useful"))
 
 
-@query(f"SELECT id, {_USEFUL} AS useful, CASE WHEN {duck_any('n', _re2(R.STRONG))} THEN 2 WHEN {duck_any('n', _re2(R.WEAK))} THEN 1 ELSE 0 END::INT AS level, (ends_with(lower(name), '.tar.gz') OR ends_with(lower(name), '.iso')) AS wanted FROM (SELECT *, rtrim(name, '/') AS n FROM {_N})")
+@query(f"SELECT id, {_USEFUL} AS useful, CASE WHEN {duck_any('n', _re2(R.STRONG))} THEN 2 WHEN {duck_any('n', _re2(R.WEAK))} THEN 1 ELSE 0 END::INT AS level, (ends_with(lower(name), '.tar.gz') OR ends_with(lower(name), '.iso')) AS wanted, len(string_split(name, '/')) - CASE WHEN ends_with(name, '/') THEN 1 ELSE 0 END AS depth, (starts_with(name, 'a') OR id % 7 = 3 OR {duck_any('name', _re2(R.INFRINGING))}) AS hidden FROM (SELECT *, rtrim(name, '/') AS n FROM {_N})")
 def sql_functions(spark, sf):
     """The same scalars as SQL functions that users call in spark.sql."""
     R.create_sql_functions(spark)
-    rows = _names(spark, sf).selectExpr("*", "is_useful(name, size) AS useful").selectExpr("*", "sensitivity(name) AS level")
-    return rows.selectExpr("id", "useful", "level", "ext_in(name, '.tar.gz, ISO') AS wanted")
+    rows = _names(spark, sf).selectExpr("*", "concat('http://h.org/', name) AS url", "concat('www.h', id % 7, '.ORG') AS host")
+    rows = rows.selectExpr("*", "is_useful(name, size) AS useful").selectExpr("*", "sensitivity(name) AS level").selectExpr("*", "ext_in(name, '.tar.gz, ISO') AS wanted")
+    return rows.selectExpr("*", "cast(url_depth(url) AS bigint) AS depth").selectExpr("id", "useful", "level", "wanted", "depth", "hidden(url, host, name, array('http://h.org/a'), array('h3.org')) AS hidden")
 
 
 @query(f"SELECT id, name FROM {_N} WHERE (ends_with(lower(name), '.iso') OR ends_with(lower(name), '.log.gz')) AND size >= 140000")
@@ -308,12 +308,20 @@ _FORMATS = [("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"), ("dd-MMM-yyyy HH:mm", "%d-%b
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS mtime FROM orders")
 def date_normalise(spark, sf):
-    """Order dates written in the seven ways of servers, and read back."""
+    """Order dates written in the seven ways of servers into listings, and read back."""
     o = table(spark, sf, "orders")
     text = F.lit(None).cast("string")
     for i, (fmt, _) in enumerate(_FORMATS):
         text = F.when(F.col("o_orderkey") % 7 == i, F.concat(F.lit("row "), F.date_format("o_orderdate", fmt), F.lit("  12K"))).otherwise(text)
-    return o.select("o_orderkey", L.date_column(text).alias("mtime"))
+    rows = _read_back(o.select((F.col("o_orderkey") % 1000).alias("page"), F.col("o_orderkey").alias("name"), text.alias("text")))
+    return rows.select(F.col("name").cast("long").alias("o_orderkey"), "mtime")
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    """Of rows (page, name, text): the entries (name, size, mtime) of listings that show each text beside its name."""
+    link = F.concat(F.lit('<a href="'), "name", F.lit('">x</a>'), F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    pages = rows.groupBy("page").agg(F.array_join(F.collect_list(link), "\n").alias("rows"))
+    return L.entry_rows(L.parse_pages(pages.select(F.concat(F.lit("http://h.org/"), "page", F.lit("/")).alias("url"), F.lit("text/html").alias("content_type"), F.concat(F.lit("<title>Index of /</title><pre>\n"), "rows").alias("body")))).select("name", "size", "mtime")
 
 
 _SIZES = [(1, "37M"), (2, "1.5K"), (3, "-"), (4, "<DIR>"), (5, "12.3 KiB"), (6, "87 MB"), (7, "2 GBytes"), (8, "123"), (9, "9000P"), (10, "x"), (11, "1 2"), (12, "4.4g"), (13, "")]
@@ -326,27 +334,25 @@ def size_parse(spark, sf):
     units = F.array(*[F.lit(x) for x in ("", "K", " MiB", "G")])
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 100).alias("id"), F.concat(F.col("l_quantity").cast("long").cast("string"), F.element_at(units, (F.col("l_linenumber") % 4 + 1).cast("int"))).alias("token"))
     rows = rows.union(values(spark, _SIZES, "id, token").select(F.col("id").cast("long"), "token"))
-    return rows.select("id", L.size_column(F.col("token")).alias("bytes"))
-
-
-_CADDY = [
-    (1, '[{"name":"a.iso","size":5,"url":"./a.iso","mod_time":"2026-01-02T03:04:05.6Z","mode":1,"is_dir":false},{"name":"d","size":4096,"url":"./d/","mod_time":"2026-01-02T03:04:05Z","is_dir":true}]'),
-    (2, '[{"name":"b","size":1,"url":"./b","is_dir":false}]'), (3, "[]"), (4, "not json"), (5, '[{"name":"c","size":7,"url":"./c%20d.txt","mod_time":"odd","is_dir":false}]'),
-]
-
-
-@query(f"""WITH p AS (SELECT id, CASE WHEN json_valid(body) THEN body ELSE '[]' END AS b FROM {duck_values(_CADDY, 'id, body')}), i AS (SELECT id, unnest(from_json(b, '["JSON"]')) AS x FROM p),
-bad AS (SELECT DISTINCT id FROM i WHERE x->>'url' IS NULL OR x->>'size' IS NULL OR x->>'mod_time' IS NULL OR x->>'is_dir' IS NULL)
-SELECT id, regexp_extract(x->>'url', '([^/]*)/?$', 1) AS raw_name, (x->>'is_dir') = 'true' AS is_dir, CASE WHEN (x->>'is_dir') = 'true' THEN NULL ELSE (x->>'size')::BIGINT END AS size,
-nullif(regexp_replace(regexp_extract(x->>'mod_time', '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}'), 'T', ' '), '') AS mtime FROM i WHERE id NOT IN (SELECT id FROM bad)""")
-def caddy_json_rows(spark, sf):
-    """A JSON listing as rows; one item that lacks a part voids its page."""
-    item = "array<struct<name:string,size:bigint,url:string,mod_time:string,is_dir:boolean>>"
-    pages = values(spark, _CADDY, "id, body").select(F.col("id"), F.from_json("body", item).alias("items"))
-    whole = F.forall("items", lambda x: x["size"].isNotNull() & x["url"].isNotNull() & x["mod_time"].isNotNull() & x["is_dir"].isNotNull())
-    rows = pages.where(whole).select("id", F.inline("items"))
-    stamp = F.regexp_extract("mod_time", r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}", 0)
-    return rows.select("id", R.leaf_of(F.col("url")).alias("raw_name"), "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"), F.nullif(F.regexp_replace(stamp, "T", " "), F.lit("")).alias("mtime"))
+    name = F.concat("id", F.lit("-"), F.monotonically_increasing_id())  # an entry for each row, though numbers repeat
+    found = _read_back(rows.select((F.col("id") % 1000).alias("page"), name.alias("name"), F.concat(F.lit(" "), "token", F.lit("   2026-08-03 11:22")).alias("text")))
+    return found.select(F.substring_index("name", "-", 1).cast("long").alias("id"), F.col("size").alias("bytes"))
+
+
+@query("""SELECT 'http://c.org/o' || l_orderkey || '/' AS dir_url, 'l ' || l_linenumber || '.iso' AS name, l_linenumber % 3 = 0 AS is_dir, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity::BIGINT END AS size,
+CASE WHEN l_linenumber % 4 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS mtime FROM lineitem WHERE l_orderkey % 7 <> 3 AND l_orderkey % 5 <> 1""")
+def caddy_pages(spark, sf):
+    """JSON listings of orders' lines; items that lack a part void their page, as a body that is no array does."""
+    li = table(spark, sf, "lineitem")
+    folder, n = F.col("l_linenumber") % 3 == 0, F.col("l_linenumber")
+    href = F.concat(F.lit("./l%20"), n, F.lit(".iso"), F.when(folder, "/").otherwise(""))
+    when = F.when(n % 4 == 0, "odd").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.5'Z'"))
+    size = F.when(F.col("l_orderkey") % 7 != 3, F.col("l_quantity").cast("long"))
+    item = F.to_json(F.struct(F.lit("x").alias("name"), size.alias("size"), href.alias("url"), when.alias("mod_time"), folder.alias("is_dir")))
+    pages = li.select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("body"))
+    body = F.when(F.col("l_orderkey") % 5 == 1, F.concat(F.lit("{"), "body")).otherwise(F.col("body"))
+    pages = pages.select(F.concat(F.lit("http://c.org/o"), "l_orderkey", F.lit("/")).alias("url"), F.lit("application/JSON; charset=utf-8").alias("content_type"), body.alias("body"))
+    return L.entry_rows(L.parse_pages(pages)).select("dir_url", "name", "is_dir", "size", "mtime")
 
 
 @query("SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")

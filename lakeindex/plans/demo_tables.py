@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeindex.functions import rules as R
@@ -109,21 +108,12 @@ def verdict_by_status(spark, sf):
     return rows.select("host", "status", Q.verdict(T, F.col("status"), F.col("trusted")).alias("reason"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type = 'error' OR event_id % 3 <> 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
-i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY seq) AS island FROM e), k AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY seq) AS n FROM i)
-SELECT user_id, seq, CASE WHEN failed THEN n % 5 ELSE 0 END::INT AS fails, CASE WHEN failed AND n % 5 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'partial' ELSE 'unreachable' END WHEN failed THEN 'paused' ELSE 'read' END AS status FROM k""")
-def strikes(spark, sf):
-    e = table(spark, sf, "events")
-    runs = e.select(F.col("user_id").alias("host"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), ((F.col("event_type") == "error") | (F.col("event_id") % 3 != 0)).alias("failed"))
-    return Q.strikes(runs, F.col("host") % 2 == 0).select(F.col("host").alias("user_id"), "seq", "fails", "status")
-
-
 # Customers as hosts, orders as candidates.
 
 _STATUS = ["done", "paused", "sensitive", "low_value", "not_listing"]
 _HOSTS = """(SELECT c_name AS host, (['done', 'paused', 'sensitive', 'low_value', 'not_listing'])[(c_custkey % 5 + 1)::INT] AS status, c_custkey % 7 AS dirs, c_custkey % 13 AS files, (c_acctbal * 100)::BIGINT AS bytes, c_custkey * 37 % 1009 AS crawled_at, c_custkey FROM customer)"""
 _SOURCES = ["seed", "moved", "resume", "link", "index:2026"]
-_CANDIDATES = """(SELECT 'http://' || replace(c_name, '#', '-') || '/' || repeat('d/', (o_orderkey % 3)::INT) || o_orderkey || '/' AS url, c_name AS host, (['seed', 'moved', 'resume', 'link', 'index:2026'])[(o_orderkey % 5 + 1)::INT] AS source, o_orderkey % 1000 AS found_at, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 1)"""
+_CANDIDATES = """(SELECT 'http://' || replace(c_name, '#', '-') || '/' || repeat('d/', (o_orderkey % 3)::INT) || o_orderkey || '/' AS url, c_name AS host, (['seed', 'moved', 'resume', 'link', 'index:2026'])[(o_orderkey % 5 + 1)::INT] AS source, o_orderkey % 1000 AS found_at, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 def _pick(names, number):
@@ -137,7 +127,7 @@ def _hosts(spark, sf):
 
 def _candidates(spark, sf):
     k = F.col("o_orderkey")
-    rows = table(spark, sf, "orders").where(k % 3 != 1).join(table(spark, sf, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(F.concat(F.lit("http://"), F.replace("c_name", F.lit("#"), F.lit("-")), F.lit("/"), F.repeat(F.lit("d/"), (k % 3).cast("int")), k, F.lit("/")).alias("url"), F.col("c_name").alias("host"), _pick(_SOURCES, k).alias("source"), (k % 1000).alias("found_at"), k.alias("seq"))
 
 
@@ -185,134 +175,13 @@ def candidate_stats(spark, sf):
     return reports.candidate_stats(_candidates(spark, sf))
 
 
-# Joins.
-
-
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-def anti_dropped(spark, sf):
-    """Folders without a sub-folder, as a left anti join."""
-    subs = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey").join(subs, "o_orderkey", "left_anti")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
-def semi_known(spark, sf):
-    known = table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(known, "c_custkey", "left_semi")
-
-
-@query("SELECT c_custkey, (c_mktsegment = 'BUILDING' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')) AS trusted FROM customer")
-def existence_or(spark, sf):
-    """Trusted by mark, or by a waiting URL: EXISTS below OR becomes an existence join."""
-    table(spark, sf, "customer").createOrReplaceTempView("demo_customer")
-    table(spark, sf, "orders").createOrReplaceTempView("demo_orders")
-    return spark.sql("SELECT c_custkey, (c_mktsegment = 'BUILDING' OR EXISTS (SELECT 1 FROM demo_orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')) AS trusted FROM demo_customer")
-
-
-@query("SELECT o_orderkey, count(l_linenumber) AS files FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity >= 45 GROUP BY o_orderkey")
-def left_residual(spark, sf):
-    """A left join with a predicate of its right side in ON: the filter stays below the join."""
-    right = table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    return table(spark, sf, "orders").select("o_orderkey").join(right, "o_orderkey", "left").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("files"))
-
-
-@query("SELECT c_custkey, coalesce((SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey), 0) AS last_order FROM customer")
-def scalar_coalesce(spark, sf):
-    last = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("k"))
-    return table(spark, sf, "customer").select("c_custkey").join(last, "c_custkey", "left").select("c_custkey", F.coalesce("k", F.lit(0)).alias("last_order"))
-
-
-@query("SELECT c_nationkey AS host FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation")
-def union_hosts(spark, sf):
-    c, s, n = (table(spark, sf, t).select(F.col(k).alias("host")) for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey")))
-    return c.union(s).union(n).distinct()
-
-
 @query("SELECT page_id FROM pages WHERE url >= 'http://th' AND url < 'http://ti'")
 def range_subtree(spark, sf):
     """A subtree of URLs is a half-open range; readers of sorted files prune by it."""
     return table(spark, sf, "pages").where(writes.in_range(F.col("url"), "http://th", "http://ti")).select("page_id")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
-def in_delete(spark, sf):
-    """A delete by subquery is what a left anti join keeps."""
-    gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(gone, "l_orderkey", "left_anti")
-
-
-@query("SELECT o_orderkey, l_linenumber, o_orderdate = l_shipdate AS same_day FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '2-HIGH'")
-def files_view(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderpriority = '2-HIGH'").select("o_orderkey", "o_orderdate")
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate")
-    return o.join(li, "o_orderkey").select("o_orderkey", "l_linenumber", (F.col("o_orderdate") == F.col("l_shipdate")).alias("same_day"))
-
-
-# Writes: even order keys are stored, keys that 3 divides arrive.
-
-_STORED = "(SELECT o_custkey AS host, 'srv' || max(o_orderkey) AS server, (CASE WHEN o_custkey % 3 = 0 THEN 'paused' ELSE 'done' END) AS status, count(*) AS dirs, o_custkey % 4 = 0 AS trusted, 2 AS fails FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey)"
-_ARRIVING = "(SELECT o_custkey AS host, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'new' || min(o_orderkey) END AS server, 'done' AS status, count(*) AS dirs, o_custkey % 6 = 0 AS trusted, 0 AS fails FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)"
-
-
-@query(f"""SELECT coalesce(n.host, o.host) AS host, coalesce(n.server, o.server) AS server, coalesce(n.status, o.status) AS status,
- CASE WHEN n.host IS NULL THEN o.dirs ELSE n.dirs + CASE WHEN o.status = 'paused' THEN o.dirs ELSE 0 END END AS dirs, coalesce(n.trusted, false) OR coalesce(o.trusted, false) AS trusted, coalesce(n.fails, o.fails) AS fails
- FROM {_STORED} o FULL JOIN {_ARRIVING} n ON o.host = n.host""")
-def upsert_host(spark, sf):
-    o, key = table(spark, sf, "orders"), F.col("o_custkey")
-    stored = o.where("o_orderkey % 2 = 0").groupBy(key.alias("host")).agg(F.concat(F.lit("srv"), F.max("o_orderkey")).alias("server"), F.count("*").alias("dirs")).select("host", "server", F.when(F.col("host") % 3 == 0, "paused").otherwise("done").alias("status"), "dirs", (F.col("host") % 4 == 0).alias("trusted"), F.lit(2).alias("fails"))
-    new = o.where("o_orderkey % 3 = 0").groupBy(key.alias("host")).agg(F.concat(F.lit("new"), F.min("o_orderkey")).alias("server"), F.count("*").alias("dirs")).select("host", F.when(F.col("host") % 5 != 0, F.col("server")).alias("server"), F.lit("done").alias("status"), "dirs", (F.col("host") % 6 == 0).alias("trusted"), F.lit(0).alias("fails"))
-    return writes.upsert_hosts(stored, new)
-
-
-_OLD_C = "(SELECT o_custkey AS url, o_custkey % 50 AS host, (['seed', 'moved', 'resume', 'link'])[(o_custkey % 4 + 1)::INT] AS source, min(o_orderkey) AS seq FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey)"
-_NEW_C = "(SELECT o_custkey AS url, o_custkey % 50 AS host, (['link', 'seed', 'resume', 'moved'])[(o_orderkey % 4 + 1)::INT] AS source, o_orderkey + 10000000 AS seq FROM orders WHERE o_orderkey % 3 = 0)"
-_CLOSED = "(SELECT n_nationkey::BIGINT AS host, CASE WHEN n_nationkey % 2 = 0 THEN 'paused' ELSE 'done' END AS status FROM nation)"
-
-
-def _candidate_sets(spark, sf):
-    o, url = table(spark, sf, "orders"), F.col("o_custkey")
-    old = o.where("o_orderkey % 2 = 0").groupBy(url.alias("url")).agg(F.min("o_orderkey").alias("seq")).select("url", (F.col("url") % 50).alias("host"), _pick(["seed", "moved", "resume", "link"], F.col("url")).alias("source"), "seq")
-    new = o.where("o_orderkey % 3 = 0").select(url.alias("url"), (url % 50).alias("host"), _pick(["link", "seed", "resume", "moved"], F.col("o_orderkey")).alias("source"), (F.col("o_orderkey") + 10000000).alias("seq"))
-    closed = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("host"), F.when(F.col("n_nationkey") % 2 == 0, "paused").otherwise("done").alias("status"))
-    return old, new, closed
-
-
-@query(f"""WITH ok AS (SELECT n.* FROM {_NEW_C} n LEFT JOIN {_CLOSED} h USING (host) WHERE h.host IS NULL OR (source = 'resume' AND status = 'paused'))
-SELECT url, host, source, seq FROM {_OLD_C} UNION ALL SELECT url, host, source, seq FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS k FROM ok WHERE url NOT IN (SELECT url FROM {_OLD_C})) WHERE k = 1""")
-def insert_or_ignore(spark, sf):
-    return writes.insert_candidates(*_candidate_sets(spark, sf))
-
-
-@query(f"""WITH p AS (SELECT url, bool_or(source = 'seed') AS seed, bool_or(source = 'moved') AS moved FROM {_NEW_C} GROUP BY url)
-SELECT o.url, o.host, CASE WHEN o.source IN ('seed', 'resume') THEN o.source WHEN p.seed THEN 'seed' WHEN p.moved THEN 'moved' ELSE o.source END AS source, o.seq FROM {_OLD_C} o LEFT JOIN p USING (url)""")
-def promote_source(spark, sf):
-    old, new, _ = _candidate_sets(spark, sf)
-    return writes.promote(old, new)
-
-
-@query("""WITH n AS (SELECT l_orderkey AS dir_url, l_linenumber AS name, 'new' AS batch FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber % 2 = 1)
-SELECT l_orderkey AS dir_url, l_linenumber AS name, 'old' AS batch FROM lineitem WHERE l_orderkey % 2 = 0 AND l_orderkey NOT IN (SELECT dir_url FROM n) UNION ALL SELECT * FROM n""")
-def replace_listing(spark, sf):
-    """New listings replace the folders that they have entries of; an empty one changes nothing."""
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("dir_url"), F.col("l_linenumber").alias("name"))
-    return writes.replace_listings(li.where("dir_url % 2 = 0").withColumn("batch", F.lit("old")), li.where("dir_url % 3 = 0 and name % 2 = 1").withColumn("batch", F.lit("new")))
-
-
-# Maintenance, copies, discovery.
-
-
-@query(f"""WITH e AS (SELECT host, dir_url, name, size, CASE WHEN ends_with(name, '7.php') THEN 2 WHEN ends_with(name, '3.html') THEN 1 ELSE 0 END AS s, host::INT % 2 = 0 AS trusted FROM {_ENTRIES}),
-o AS (SELECT DISTINCT host FROM e WHERE host::INT % 10 = 7), a AS (SELECT * FROM e WHERE host NOT IN (FROM o)),
-x AS (SELECT DISTINCT host FROM a WHERE s = 2 OR (s = 1 AND NOT trusted)), b AS (SELECT * FROM a WHERE host NOT IN (FROM x) AND s = 0),
-q AS (SELECT host FROM b WHERE NOT trusted GROUP BY host HAVING count(*) FILTER ({_BIG}) < 3 AND count(*) FILTER ({_USEFUL}) < 20)
-SELECT 'opted_out' AS action, host, 0::BIGINT AS n FROM o UNION ALL SELECT 'sensitive', host, 0 FROM x UNION ALL SELECT 'omitted', '', count(*) FROM a WHERE host NOT IN (FROM x) AND s = 1 UNION ALL SELECT 'low_value', host, 0 FROM q""")
-def clean_pipeline(spark, sf):
-    """Opt-outs, then exposure, then quality, each over what the one before left."""
-    from lakeindex.operators.maintain import clean_rows
-
-    name = F.col("name")
-    level = F.when(name.endswith("7.php"), 2).when(name.endswith("3.html"), 1).otherwise(0)
-    return clean_rows(_entries(spark, sf).withColumn("level", level).withColumn("trusted", F.col("host").cast("int") % 2 == 0), F.col("host").cast("int") % 10 == 7, T)
+# Copies, discovery.
 
 
 @query("SELECT min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
@@ -321,15 +190,6 @@ def duplicate_docs(spark, sf):
     return d.groupBy("h", "n").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1").select("first_doc", "copies")
 
 
-@query("""WITH l AS (SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) AS f FROM conversations GROUP BY conv_id)
-SELECT conv_id, first_value(conv_id) OVER (PARTITION BY f ORDER BY conv_id) AS copy_of FROM l""")
-def listing_fingerprint_copies(spark, sf):
-    """Conversations as listings of turns: the first one with the same fingerprint."""
-    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", F.col("role").alias("name"), F.lit(False).alias("is_dir"), F.length("text").cast("long").alias("size"), F.lit(None).cast("string").alias("mtime")).alias("e"))
-    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("entries")).select("conv_id", R.fingerprint(F.col("entries")).alias("f"))
-    return rows.select("conv_id", F.min("conv_id").over(Window.partitionBy("f")).alias("copy_of"))
-
-
 @query("SELECT page_id, url FROM pages WHERE page_id % 4 <> 0 ORDER BY page_id LIMIT 30")
 def index_incremental(spark, sf):
     """The manifest in its order without what is done."""
@@ -338,13 +198,3 @@ def index_incremental(spark, sf):
     m = table(spark, sf, "pages").select(F.col("page_id").alias("pos"), F.col("url").alias("path"))
     todo = remaining(m, m.where("pos % 4 = 0").select("path"), 30)
     return todo.select(F.col("pos").alias("page_id"), F.col("path").alias("url"))
-
-
-@query("""SELECT DISTINCT kind, u AS url FROM (SELECT 'root' AS kind, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' AS u FROM pages UNION ALL
-SELECT 'dir', regexp_extract(url, '^(https?://[^/?#]+/(?:[^?#]*/)?)', 1) FROM pages WHERE regexp_matches(url, '^https?://[^/]+/(fr|de)/')) WHERE u <> ''""")
-def fanout_root_dir(spark, sf):
-    """Each found URL gives its site's root and, where its path passes, its folder; both once."""
-    from lakeindex.sources.index import fan_out
-
-    pages = table(spark, sf, "pages").select(F.regexp_extract("url", r"\A(https?://[^/?#]+/(?:[^?#]*/)?)", 1).alias("dir"))
-    return fan_out(pages.where("dir <> ''"), F.lit(True), F.col("dir").rlike(r"\Ahttps?://[^/]+/(fr|de)/"))

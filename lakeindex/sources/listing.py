@@ -1,7 +1,4 @@
-"""Directory listings: pages of HTML or JSON to typed rows.
-
-The parser is plain Python, run over Arrow batches; dates and sizes also exist as column expressions, for texts that are columns.
-"""
+"""Directory listings: pages of HTML or JSON to typed rows, by plain Python over Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,10 +6,9 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeindex.functions.rules import MAX_SIZE, canonical_url
@@ -21,6 +17,7 @@ from lakeindex.ship import ship
 
 ENTRY = "struct<url:string,name:string,is_dir:boolean,size:bigint,mtime:string>"
 LISTING = f"struct<server:string,entries:array<{ENTRY}>,other_dirs:array<string>,external_dirs:array<string>>"
+# Fixed values of the pages that servers make.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 NAMED_SHARE, DATED_LEAST = (8, 10), 3
@@ -65,14 +62,8 @@ def detect_server(lower: str) -> str | None:
     return None
 
 
-def server_column(body: Column) -> Column:
-    """The same as an expression."""
-    lower = F.lower(F.regexp_replace(body, r"(?s)<!--.*?-->", ""))
-    iis = lower.contains(IIS_MARK) | lower.rlike(IIS_ROW)
-    made = F.when(iis, "iis").when(~lower.rlike(HEADING), F.when(lower.rlike(SORT_LINK), F.when(lower.contains(TABLE_LIST), "nginx").otherwise("apache")))
-    for name, marks in SERVER_MARKS:
-        made = made.when(lower.contains(marks[0]) | lower.contains(marks[-1]), name)
-    return made.otherwise("other")
+def server_of(body: str) -> str | None:
+    return detect_server(_COMMENT.sub("", body).lower())
 
 
 def decode_entities(text: str) -> str:
@@ -248,47 +239,3 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def entry_rows(listings: DataFrame) -> DataFrame:
     """One row for each entry of each listing: (dir_url, pos, url, name, is_dir, size, mtime)."""
     return listings.select(canonical_url(F.col("url")).alias("dir_url"), F.posexplode("entries").alias("pos", "e")).select("dir_url", "pos", "e.*")
-
-
-def anchors(html: Column) -> Column:
-    """The links of a page as an array of (href, text): the JVM's own matching, comments taken out first."""
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    group = lambda i: F.regexp_extract_all(body, F.lit(f"(?is){ANCHOR}"), F.lit(i))
-    hrefs = F.zip_with(F.zip_with(group(1), group(2), lambda a, b: F.concat(a, b)), group(3), lambda a, b: F.concat(a, b))
-    return F.zip_with(hrefs, group(4), lambda h, t: F.struct(h.alias("href"), t.alias("text")))
-
-
-def text_of(html: Column) -> Column:
-    """Without tags, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
-
-
-def date_column(text: Column) -> Column:
-    """find_date's normalised date as an expression."""
-    best = None
-    for pattern in DATES:
-        java = re.sub(r"\(\?P<", "(?<", pattern.pattern)
-        names = list(pattern.groupindex)
-        part = lambda n: F.regexp_extract(text, java, names.index(n) + 1)
-        month = part("mo").try_cast("int") if "mo" in names else ((F.instr(F.lit("".join(MONTHS)), F.lower(F.substring(part("mon"), 1, 3))) + 2) / 3).cast("double")
-        raw, half = part("h").try_cast("int"), F.lower(part("half")) if "half" in names else F.lit("")
-        hour = F.when(half == "", raw).when(raw <= 12, raw % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(raw + F.when(half == "pm", 12).otherwise(0))
-        ok = text.rlike(java) & month.between(1, 12) & (month == F.floor(month)) & part("d").try_cast("int").between(1, 31) & (hour <= 23) & (part("mi").try_cast("int") <= 59)
-        two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-        value = F.concat(F.lpad(part("y"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(part("d").try_cast("int")), F.lit(" "), two(hour), F.lit(":"), part("mi"), F.when(part("s") != "", F.concat(F.lit(":"), part("s"))).otherwise(""))
-        found = F.when(ok, F.struct(F.regexp_instr(text, F.lit(java)).alias("at"), F.lit(len([] if best is None else best)).alias("k"), value.alias("v")))
-        best = [found] if best is None else [*best, found]
-    return F.least(*best)["v"]
-
-
-def size_column(token: Column) -> Column:
-    """The bytes of a text that is one size token; null for none, for an explicit absence and for more than anyone has."""
-    java = r"(?i)\A(?:-|<dir>|([0-9]+(?:\.[0-9]+)?)\s*([KMGTP])?(?:i?B(?:ytes)?)?)\z"
-    number, unit = F.regexp_extract(token, java, 1).try_cast("double"), F.upper(F.regexp_extract(token, java, 2))
-    power = F.when(unit == "", 0).otherwise(F.instr(F.lit("KMGTP"), unit))
-    n = F.round(number * F.pow(F.lit(1024.0), power))
-    return F.when(n <= float(MAX_SIZE), n.cast("long"))
-
-
-def now_text(at: datetime) -> str:
-    return at.strftime("%Y-%m-%d %H:%M")

@@ -142,7 +142,7 @@ def test_crawl(spark, lake):
     assert crawl(lake, df, ["http://old.org/"], Options(), now=1000) == 8
     status = {r.host: (r.status, r.trusted) for r in lake.table("hosts").collect()}
     assert status == {"old.org": ("not_listing", True), "m.org": ("done", True), "ftp.x.org": ("done", False), "k.org": ("sensitive", False), "r.org": ("robots_disallowed", False), "blog.org": ("not_listing", False), "j.org": ("low_value", False), "down.org": ("unreachable", False)}
-    assert lake.table("dirs").where("host = 'm.org'").count() == 3  # the loop is a copy
+    assert lake.table("dirs").where("host = 'm.org'").count() == 4  # the loop is a copy: it is kept, and not walked on from
     assert [r.name for r in lake.search("iso", 10).collect()] == ["a.iso", "b.iso", "c.iso", "x.iso", "y.iso", "z.iso"] or lake.search("iso").count() == 6
     assert crawl(lake, df, now=1001) == 0
 
@@ -159,7 +159,7 @@ def test_crawl_goes_on_until_nothing_is_pending(lake, monkeypatch):
 
 
 def test_budget_resumes(spark, lake):
-    pages = [("http://w.org/", 200, None, None, nginx([(f"d{i}/", "-") for i in range(10)]))] + [(f"http://w.org/d{i}/", 200, None, None, nginx([(f"{i}.iso", 20 << 20)])) for i in range(10)]
+    pages = [("http://w.org/", 200, "text/html", None, nginx([(f"d{i}/", "-") for i in range(10)]))] + [(f"http://w.org/d{i}/", 200, "text/html", None, nginx([(f"{i}.iso", 20 << 20)])) for i in range(10)]
     df = spark.createDataFrame(pages, "url string, status int, content_type string, location string, body string")
     counts = []
     for i in range(4):
@@ -245,3 +245,95 @@ def test_strikes_as_state(spark, tmp_path):
     q = strike_stream(spark.readStream.schema("host string, seq long, failed boolean").json(src)).writeStream.format("memory").queryName("strikes").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.fails for r in spark.table("strikes").orderBy("seq").collect()] == [1, 2, 3, 4, 0, 0, 1, 2, 3, 4, 0, 1]
+
+def test_robots_that_cannot_be_read(spark, lake):
+    page, T = nginx([(f"{i}.iso", 30 << 20) for i in range(3)]), "text/html"
+    sites = {"all": (404, None), "wait": (429, None), "busy": (503, None), "gone": (0, None), "broken": (500, None), "slow": (200, "User-agent: *\nCrawl-delay: 90")}
+    pages = [x for h, (status, body) in sites.items() for x in ((f"http://{h}.org/robots.txt", status, "text/plain", None, body), (f"http://{h}.org/", 200, T, None, page))]
+    df = spark.createDataFrame(pages + [("http://round.org/robots.txt", 301, None, "/robots.txt", None), ("http://round.org/", 200, T, None, page)], "url string, status int, content_type string, location string, body string")
+    lake.add_candidates([f"http://{h}.org/" for h in [*sites, "round"]])
+    crawl(lake, df, now=5)
+    got = {r.host.split(".")[0]: (r.status, r.reason) for r in lake.table("hosts").collect()}
+    assert got["all"] == ("done", None) and got["broken"] == ("robots_disallowed", "robots.txt returned 500") and got["slow"] == ("robots_disallowed", "Crawl-delay of 90s is too slow to crawl")
+    assert [got[h][0] for h in ("wait", "busy", "gone")] == ["unreachable"] * 3 and got["wait"][1].startswith("robots.txt: 429") and got["round"] == ("robots_disallowed", "robots.txt redirected too many times")
+
+
+def test_runs_that_end_early(spark, lake):
+    T = "text/html"
+    folders = [(f"d{i}/", "-") for i in range(70)]
+    pages = [("http://a.org/", 200, T, None, nginx(folders[:6])), ("http://a.org/d0/", 500, None, None, None)] + [(f"http://a.org/d{i}/", 200, T, None, nginx([(f"{i}.iso", 30 << 20)])) for i in range(1, 6)]
+    pages += [("http://b.org/", 200, T, None, nginx(folders))] + [("http://c.org/", 200, T, None, nginx(folders))] + [(f"http://c.org/d{i}/", 500, None, None, None) for i in range(70)]
+    df = spark.createDataFrame(pages, "url string, status int, content_type string, location string, body string")
+    lake.add_candidates(["http://a.org/", "http://b.org/", "http://c.org/"])
+    crawl(lake, df, options=Options(max_dirs=4), now=5, sites=1)
+    assert rows(lake.table("hosts"), "host", "status", "reason", "fails", "dirs") == [("a.org", "paused", "directory budget for this run reached; continues next run", 0, 3)]
+    counters = {}
+    assert crawl(lake, df, now=6, counters=counters) == 3 and counters == {"sites": 3, "listings": 5, "entries": 143, "failed": 3}
+    got = {r.host: (r.status, r.reason, r.fails) for r in lake.table("hosts").collect()}
+    assert got["a.org"] == ("paused", "some folders could not be read (500 from http://a.org/d0/); will try them again", 1)
+    assert got["b.org"] == ("paused", "the server refused 50 folders in a row (last: 404 from http://b.org/d49/); continues next run", 1)
+    assert got["c.org"] == ("paused", "too many errors, last: 500 from http://c.org/d4/; continues next run", 1)
+    assert lake.table("candidates").groupBy("host").count().orderBy("host").collect() == [("a.org", 1), ("b.org", 70), ("c.org", 70)]
+
+
+def test_the_deadline_leaves_sites_as_they_were(spark, lake):
+    df = spark.createDataFrame([("http://a.org/", 200, "text/html", None, nginx([("a.iso", 5)]))], "url string, status int, content_type string, location string, body string")
+    assert crawl(lake, df, ["http://a.org/"], Options(until=0.0), now=5) == 1 and lake.table("hosts").count() == 0
+    assert rows(lake.table("candidates"), "url") == [("http://a.org/",)]
+
+
+def test_pages_are_cut_with_a_note(spark, lake):
+    df = spark.createDataFrame([("http://a.org/", 200, "text/html", None, nginx([(f"é{i}.iso", 30 << 20) for i in range(400)]))], "url string, status int, content_type string, location string, body string")
+    crawl(lake, df, ["http://a.org/"], Options(page_cap=4096), now=5)
+    row = lake.table("hosts").first()
+    assert row.status == "done" and row.reason == "1 listing(s) were longer than 4 KiB and cut short" and 20 < row.files < 100
+
+
+def test_named_sites_go_without_the_pending_ones(spark, lake):
+    df = spark.createDataFrame([(f"http://{h}.org/", 200, "text/html", None, nginx([("a.iso", 5)])) for h in "ab"], "url string, status int, content_type string, location string, body string")
+    lake.add_candidates(["http://b.org/"])
+    assert crawl(lake, df, ["http://a.org/"], candidates=False, now=5) == 1 and rows(lake.table("hosts"), "host", "trusted") == [("a.org", True)]
+    assert crawl(lake, df, ["http://a.org/"], candidates=False, now=6) == 1  # named again, read again
+    assert crawl(lake, df, now=7) == 1 and lake.table("hosts").count() == 2
+
+
+def test_commits_write_buckets_of_their_sites_only(spark, tmp_path):
+    lake = Lake(spark, f"file://{tmp_path}/many", buckets=8)
+    lake.send(*[x for i in range(40) for x in (put(f"h{i}.org", "/", [("a.iso", i)]), done(f"h{i}.org"))], now=1)
+    before = lake._manifest(lake.version())["tables"]
+    assert len(before["entries"]) == 8
+    lake.send(put("h3.org", "/", [("b.iso", 9)]), done("h3.org"), now=2)
+    after = lake._manifest(lake.version())["tables"]
+    (mine,) = lake.buckets_of(["h3.org"])
+    for t in ("hosts", "dirs", "entries"):
+        assert {k for k in after[t] if after[t][k] != before[t][k]} == {str(mine)}
+        made = tmp_path / "many" / "tables" / t / after[t][str(mine)]
+        assert {p.name for p in made.iterdir() if p.name.startswith("b=")} == {f"b={mine}"}
+    assert lake.table("entries").count() == 40 and lake.table("entries").where("host = 'h3.org'").first().name == "b.iso"
+    lake.forget(["h3.org"])
+    last = lake._manifest(lake.version())["tables"]
+    assert {k for k in last["hosts"] if last["hosts"][k] != after["hosts"][k]} <= {str(mine)} and lake.table("hosts").count() == 39
+    lake.vacuum(keep=1, least_share=0)
+    assert lake.table("entries").count() == 39 and lake.table("hosts").count() == 39
+
+
+def test_a_message_that_fails_is_left_out(lake, monkeypatch):
+    lake.send(put("a.org", "/", [("a.iso", 1)]), {"kind": "host_done", "host": "a.org", "status": "done", "judge": (None, None)}, {"kind": "host_done", "host": "b.org", "status": "done", "judge": (3, None)}, {"kind": "odd"}, now=1)
+    assert rows(lake.table("hosts"), "host") == [("a.org",)]
+    assert rows(lake.table("dead_letters"), "kind", "host") == [("host_done", "b.org"), ("odd", None)]
+
+
+def test_an_old_lake_is_migrated(spark, tmp_path):
+    import json
+
+    lake = Lake(spark, f"file://{tmp_path}/old")
+    hosts = spark.createDataFrame([("a.org", "done", None, 1, 2, 3, 4, None, False, 0)], lake.table("hosts").schema)
+    dirs = spark.createDataFrame([("a.org", "http://a.org/", 1, None), ("a.org", "http://a.org/d/", 1, None), ("a.org", "http://a.org/e/", 1, False)], lake.table("dirs").schema)
+    entries = spark.createDataFrame([("a.org", "http://a.org/", "d", None, True, None, None), ("a.org", "http://a.org/d/", "x.iso", None, False, 5, None)], lake.table("entries").schema)
+    for t, df in (("hosts", hosts), ("dirs", dirs), ("entries", entries)):
+        df.write.parquet(f"file://{tmp_path}/first/tables/{t}/v1")
+    (tmp_path / "first" / "manifests").mkdir()
+    (tmp_path / "first" / "manifests" / "000000000007.json").write_text(json.dumps({"hosts": "v1", "dirs": "v1", "entries": "v1"}))
+    old = Lake(spark, f"file://{tmp_path}/first", create=False)
+    assert old.version() == 8 and rows(old.table("dirs"), "url", "leaf") == [("http://a.org/", False), ("http://a.org/d/", True), ("http://a.org/e/", False)]
+    assert rows(old.table("entries"), "name") == [("d",), ("x.iso",)] and Lake(spark, f"file://{tmp_path}/first").version() == 8

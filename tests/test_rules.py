@@ -65,9 +65,8 @@ DATES = {
 
 def test_dates_and_sizes(spark):
     assert {t: (L.find_date(t) or (None,))[0] for t in DATES} == DATES
-    assert column(spark, list(DATES), lambda a, _: L.date_column(a)) == list(DATES.values())
     sizes = {"37M": 37 << 20, "1.5K": 1536, "-": None, "12.3 KiB": 12595, "87 MB": 87 << 20, "123": 123, "9000P": None, "x": None}
-    assert column(spark, list(sizes), lambda a, _: L.size_column(a)) == list(sizes.values())
+    assert {t: L.details(f"{t} 2026-09-28 14:04")[1] for t in sizes} == sizes
     assert [L.details(t) for t in ("2026-09-28 14:04 1K tail 5", "12.3 KiB 2026-Sep-28 10:15", "about 5 2026-09-28 14:04", "5K")] == [("2026-09-28 14:04", 1024), ("2026-09-28 10:15", 12595), ("2026-09-28 14:04", None), (None, None)]
     assert L.decode_entities("a&amp;b &lt;&#65;&#x42;&nbsp;&bogus; &#10; &toolongname12; &amp") == "a&b <AB &bogus; &#10; &toolongname12; &amp"
 
@@ -76,7 +75,6 @@ def test_formatting(spark):
     assert [r.x for r in values(spark, [(0,), (1023,), (1536,), (5 << 30,), (1 << 62,)], "n").select(R.human_bytes(F.col("n").cast("long")).alias("x")).collect()] == ["0 B", "1023 B", "1.5 KiB", "5.0 GiB", "4096.0 PiB"]
     assert column(spark, ["abcdef", "abc"], lambda a, _: R.truncate(a, 4)) == ["abc…", "abc"]
     assert spark.range(1).select(R.utc_minute(F.lit(86400 * 365)).alias("x")).first().x == "1971-01-01 00:00 UTC"
-    assert column(spark, [("r", 0), ("r", 1), (None, 2)], lambda a, b: R.truncation_note(a, b, "32 MiB")) == ["r", "r; 1 listing was longer than 32 MiB and cut short", "2 listings were longer than 32 MiB and cut short"]
 
 
 def page(rows, head="<title>Index of /</title>"):
@@ -103,7 +101,7 @@ def test_listings(spark):
 
 @pytest.mark.parametrize("body, server", [("<title>Index of /</title><address>Apache", "apache"), ('<a href="?C=M;O=D">', "apache"), ('<table id="list"><a href="?C=N&amp;O=A">', "nginx"), ("<h1>Directory listing for /</h1>", "python-http"), ("<p>", None)])
 def test_servers(spark, body, server):
-    assert L.detect_server(body.lower()) == server and spark.range(1).select(L.server_column(F.lit(body)).alias("x")).first().x == server
+    assert L.server_of(body) == server
 
 
 def test_lists_and_robots(tmp_path):
