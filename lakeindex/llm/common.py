@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -26,9 +28,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the cluster's spark.checkpoint.dir, a temporary one only where that is unset."""
+    """The folder that all executors see: the cluster's spark.checkpoint.dir. A local master may do with a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -41,6 +45,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collects the driver's garbage after a phase of many queries, and with it their broadcasts and shuffle files everywhere."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """For operators with Python workers: ships the package, and bounds how many texts a worker holds at once."""
     ship(spark)
@@ -57,22 +75,49 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
-FILTER_BITS = 1 << 25  # of a filter of ids, 4 MB
+HOT = 4096  # keys that a join takes from a broadcast, at most
+EVEN = 200  # rows of a key that are never too many
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """left.join(right, keys), where right has one row for each of the keys, and in its column `rows` how many left has of them.
+
+    Keys of more than a HOT-th of left's rows, of which there can be HOT at most, come by broadcast, and their rows of left stay
+    where they are; so no task of the shuffled join gathers a hot one. Keys must not be null; `right` should be materialized, as
+    it is read several times.
+    """
+    out = [*left.columns, *[c for c in right.columns if c not in keys]]
+    row = right.agg(F.max(rows).alias("most"), F.sum(rows).alias("all")).first()
+    many = max(EVEN, (row["all"] or 0) // HOT)
+    if (row.most or 0) <= many:
+        return left.join(right, keys).select(*out)
+    hot = F.broadcast(right.where(F.col(rows) > many))
+    cold = left.join(hot, keys, "left_anti").join(right.where(F.col(rows) <= many), keys).select(*out)
+    return left.join(hot, keys).select(*out).unionByName(cold)
+
+
+LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 28  # bits of a filter of ids, 32 MB at most
+
+
+def filter_width(count: int) -> int:
+    """Sixteen bits or more an id as long as the bound allows; beyond it a filter lets more pass, and never less than it must."""
+    return min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * max(1, count) - 1).bit_length()))
 
 
-def filter_at(column: str) -> Column:
+def filter_at(column: str, width: int) -> Column:
     """The bit of an id; null has one too."""
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    return F.pmod(F.xxhash64(column), F.lit(width))
 
 
-def filter_bits(positions: DataFrame) -> bytes:
-    """A fixed number of bits, set at the positions p: built by aggregation, so 4 MB reach the driver whatever the input."""
-    width = 32768  # bits that bitmap_construct_agg holds
-    rows = positions.groupBy((F.col("p") / width).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % width).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+def filter_of(ids: DataFrame) -> tuple[bytes, int]:
+    """A filter of the column id, and its number of bits: built by aggregation, so at most 32 MB reach the driver whatever the input."""
+    width, held = filter_width(ids.agg(F.approx_count_distinct("id")).first()[0]), 32768  # bits that bitmap_construct_agg holds
+    positions = ids.select(filter_at("id", width).alias("p"))
+    rows = positions.groupBy((F.col("p") / held).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % held).alias("bits")).collect()
+    out = np.zeros(width // 8, np.uint8)
     for r in rows:
-        out[r.k * width // 8 : (r.k + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
-    return out.tobytes()
+        out[r.k * held // 8 : (r.k + 1) * held // 8] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes(), width
 
 
 def passes(bits: bytes):
@@ -93,10 +138,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _trim()
 
     return wrapped
 

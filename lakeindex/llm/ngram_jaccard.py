@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join of documents: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams. The join is exact on these sets:
+A document's set holds the 64-bit hashes of its distinct word n-grams; two n-grams share one by chance only, once in 2 ** 64. The
+join is exact on these sets:
 
 1. One pass finds n-grams that are frequent within runs of documents; at most HEAVY of them, the most frequent, go last in the
    order of tokens. Any fixed order gives the same links; this one keeps shared passages from gathering documents.
-2. A second pass gives each document its set's size, a 128-bit fingerprint and its prefix: of n tokens, the first
-   n - ceil(t * n) + 1. Two sets that reach the similarity t share a token of their prefixes. Equal sets become one class.
-3. A token's classes stand in order of size; only those with a neighbour whose size and place of the
-   token allow the similarity go on, with hashed
-   bitmaps. Bits that differ bound the overlap from above, and pairs within the bound make candidate families.
+2. A second pass gives each document its set's size, a cryptographic digest of the whole set and its prefix: of n tokens, the
+   first n - ceil(t * n) + 1. Two sets that reach the similarity t share a token of their prefixes. Equal digests are one class.
+3. A rare token's classes stand in order of size; only those with a neighbour whose size and place of the token allow the
+   similarity go on. A frequent token's classes, of which there may be many, are only counted. They go on with hashed bitmaps, in
+   blocks of about GROUP: bits that differ bound the overlap from above, and pairs within the bound make candidate families.
 4. Each family is cut into size bands and blocks of about BLOCK classes; every tile (a pair of blocks of equal or
    neighbouring bands) tests its pairs by the bitmaps' bound and then by intersecting the sorted arrays. A tile emits, for
    each class, its number of linked documents, and the few links that span its groups, never all pairs.
@@ -18,20 +19,21 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. The join
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import filter_at, filter_bits, materialize, passes, prepare, tidy
+from lakeindex.llm.common import filter_at, filter_of, hot_join, materialize, passes, prepare, sweep, tidy
 from lakeindex.llm.components import components
-from lakeindex.llm.hashing import mix, shingle_sets
+from lakeindex.llm.hashing import shingle_sets
 
 HEAVY = 1 << 16  # n-grams kept as frequent; bounds what is sent to executors
 RUN = 1 << 21  # n-grams counted at once in a task
 OFTEN = 4  # times in such a run that make an n-gram frequent
-BLOCK, TOKENS = 128, 1 << 21  # classes in a block of a tile, and their tokens
+BLOCK, TOKENS = 64, 1 << 21  # classes in a block of a tile, and their tokens
 GROUP = 512  # classes in a block of those that share a token
 LEAST_BITS, MOST_BITS = 64, 8192  # of a signature
 
@@ -58,35 +60,34 @@ def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["token", "times"])
 
 
-def _prefix(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+def _prefix(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The first tokens of s in the order: those not heavy by hash, then the heavy ones by rank."""
     p = len(s) + (-num * len(s)) // den + 1
     if not len(s) or not len(heavy):
-        return s[:p]
+        return s[:p], s[:0]
     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
     hot = heavy[at] == s
-    light = s[~hot]
-    if len(light) >= p:
-        return light[:p]
+    light = s[~hot][:p]
     last = s[hot]
-    return np.concatenate([light, last[np.argsort(rank[at[hot]])[: p - len(light)]]])
+    return light, last[np.argsort(rank[at[hot]])[: p - len(light)]]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
 
 
 def _sets(n: int, num: int, den: int, heavy: np.ndarray, rank: np.ndarray):
     def run(batches):
         for batch in batches:
-            sizes, one, two, prefixes = [], [], [], []
+            sizes, digests, rare, frequent = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 sizes.append(len(s))
-                one.append(np.sum(s, dtype=np.uint64))
-                two.append(np.sum(mix(s + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64))
-                prefixes.append(_prefix(s, heavy, rank, num, den))
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "n", "f1", "f2", "prefix"],
-            )
+                digests.append(blake2b(s.tobytes(), digest_size=16).digest())
+                light, last = _prefix(s, heavy, rank, num, den)
+                rare.append(light)
+                frequent.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(rare), _lists(frequent)], ["doc_id", "n", "digest", "rare", "frequent"])
 
     return run
 
@@ -267,21 +268,21 @@ def _tile(num: int, den: int):
 
 
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of the classes (family, id, n, copies, tokens) dealt to tiles: a column for the tile, and on which side of it."""
+    """Rows of the classes (family, id, n, copies) dealt to tiles: a column for the tile, and on which side of it."""
     # A hair over the exact base, so that rounding never sets linked sizes two bands apart.
     base = math.log(den / num) * 1.0001 if num < den else 1e-9
-    m = members.withColumn("band", F.floor(F.log("n") / F.lit(base)).cast("long"))
-    blocks = m.groupBy("family", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).cast("int").alias("blocks"))
+    m = materialize(members.withColumn("band", F.floor(F.log("n") / F.lit(base)).cast("long")))
+    blocks = materialize(m.groupBy("family", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).cast("int").alias("blocks"), F.count("*").alias("rows")))
     up, down = (blocks.select("family", (F.col("band") + by).alias("band"), F.col("blocks").alias(name)) for by, name in ((-1, "above"), (1, "below")))
-    sizes = blocks.join(up, ["family", "band"], "left").join(down, ["family", "band"], "left")
-    m = m.join(sizes, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = materialize(blocks.join(up, ["family", "band"], "left").join(down, ["family", "band"], "left"))
+    m = hot_join(m, sizes, ["family", "band"], "rows").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     none = F.array().cast("array<struct<band:long,a:int,b:int,side:int>>")
     tile = lambda band, a, b, side: F.struct(band.alias("band"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: tile(F.col("band") * 2, F.least(k, F.col("block")), F.greatest(k, F.col("block")), F.when(k == F.col("block"), F.lit(2)).when(F.col("block") < k, F.lit(0)).otherwise(F.lit(1))))
     # In a tile of two different blocks, rows of the diagonal do not occur; on the diagonal all pairs count.
     over = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda k: tile(F.col("band") * 2 + 1, F.col("block"), k, F.lit(0)))).otherwise(none)
     under = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda k: tile(F.col("band") * 2 - 1, k, F.col("block"), F.lit(1)))).otherwise(none)
-    return m.select("family", "id", "n", "copies", "tokens", F.explode(F.concat(own, over, under)).alias("t")).select("family", "t.*", "id", "n", "copies", "tokens")
+    return m.select("family", "id", "n", "copies", F.explode(F.concat(own, over, under)).alias("t")).select("family", "t.*", "id", "n", "copies")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -299,41 +300,49 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
         raise ValueError("similarity must be above 0 and at most 1")
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    heavy = rows.select("text").mapInArrow(tidy(_heavy_rows(words)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).collect()
-    tokens = np.array([r.token for r in heavy], np.int64).view(np.uint64)
+    heavy = rows.select("text").mapInArrow(tidy(_heavy_rows(words)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).toArrow()
+    tokens = heavy.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order, rank = np.argsort(tokens), np.arange(len(tokens), 0, -1)  # the rarest first
 
-    sets = materialize(rows.mapInArrow(tidy(_sets(words, num, den, tokens[order], rank[order])), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
-    classes = materialize(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
+    sets = materialize(rows.mapInArrow(tidy(_sets(words, num, den, tokens[order], rank[order])), "doc_id long, n long, digest binary, rare array<long>, frequent array<long>"))
+    classes = materialize(sets.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("rare").alias("rare"), F.first("frequent").alias("frequent")))
+    named = classes.where("id is not null")
 
     # Of two linked classes the smaller has a shared token among its first n - ceil(2t / (1 + t) * n) + 1.
     w = Window.partitionBy("token")
     run = w.orderBy("n", "id")
     early = F.expr(f"pos <= n - (2 * {num} * n + {num + den} - 1) div {num + den}")
     smaller, larger = F.max(F.when(F.col("early"), F.col("n"))).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lead("n").over(run)
-    shared = materialize(
-        classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "id", early.alias("early"))
+    rare = (
+        named.select("id", "n", F.posexplode("rare").alias("pos", "token")).select("token", "n", "id", early.alias("early"))
         .select("token", "n", "id", F.ceil(F.count("*").over(w) / GROUP).cast("int").alias("blocks"), ((smaller * den >= F.col("n") * num) | (F.col("early") & (larger * num <= F.col("n") * den))).alias("near"))
         .where("near").drop("near")
     )
+    # Frequent tokens are HEAVY at most, so their counts may be broadcast, and their classes need not meet.
+    frequent = named.select(F.explode("frequent").alias("token"), "n", "id")
+    many = frequent.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = materialize(rare.unionByName(frequent.join(F.broadcast(many), "token").select("token", "n", "id", F.ceil(F.col("rows") / GROUP).cast("int").alias("blocks"))))
+
+    sweep(docs.sparkSession)
 
     def of(ids: DataFrame, signatures: bool) -> DataFrame:
-        at = filter_at("id")
-        read = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", at.alias("p"))
-        return read.mapInArrow(tidy(_members(words, filter_bits(ids.select(at.alias("p"))), signatures)), "id long, n long, data binary").dropDuplicates()
+        """Rows (id, n, data), each once; they lie by id and n, as the joins with them need."""
+        filtered, width = filter_of(ids)
+        read = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", filter_at("id", width).alias("p"))
+        return read.mapInArrow(tidy(_members(words, filtered, signatures)), "id long, n long, data binary").repartition("id", "n").dropDuplicates()
 
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, block) * F.col("blocks") + F.greatest(k, block))
     dealt = shared.select("token", "n", "id", F.explode(pairs).alias("tile"))
     grouped = dealt.join(of(shared, True), ["id", "n"]).select("token", "tile", "n", "id", F.col("data").alias("bits")).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "id")
     families = materialize(components(grouped.mapInArrow(tidy(_families(num, den)), "u long, v long")).select(F.col("u").alias("id"), F.col("component").alias("family")))
-    members = families.join(classes.select("id", "n", "copies"), "id").join(of(families, False), ["id", "n"])
-    dealt = _tiles(members.select("family", "id", "n", "copies", F.col("data").alias("tokens")), num, den)
+    dealt = _tiles(families.join(classes.select("id", "n", "copies"), "id"), num, den).join(of(families, False), ["id", "n"]).withColumnRenamed("data", "tokens")
     found = materialize(dealt.groupBy("family", "band", "a", "b").applyInArrow(_tile(num, den), "u long, v long, links long"))
+    sweep(docs.sparkSession)
     links = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("linked"))
     named = links.join(components(found.where("v is not null").select("u", "v")).withColumnRenamed("u", "id"), "id", "left")
-    classes = materialize(classes.select("n", "f1", "f2", "id", "copies").join(named, "id", "left"))
-    out = sets.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
+    classes = materialize(classes.select("n", "digest", "id", "copies").join(named, "id", "left"))
+    out = sets.select("doc_id", "n", "digest").join(classes, ["n", "digest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"), F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
 
 
@@ -346,12 +355,11 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     # An id is dropped when it is linked and not its component's; a kept id that is linked may stand on repeated rows.
     linked = groups.where("n_links > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("times"))
     marked = materialize(linked.where("not stays or times > 1").select(F.col("doc_id").alias("id"), "stays", "times"))
-    at = filter_at("id")
-    perhaps = passes(filter_bits(marked.select(at.alias("p"))))
+    filtered, width = filter_of(marked)
 
-    # Only rows whose id passes the filter of marked ids, of fixed size, are shuffled to be sure; the others stay as they are.
+    # Only rows whose id passes the filter of marked ids are shuffled to be sure; the others stay as they are.
     rows = docs.select(F.struct("*").alias("d"), F.col(id_column).cast("long").alias("id"))
-    rows = rows.withColumn("perhaps", F.col("id").isNotNull() & perhaps(at))
+    rows = rows.withColumn("perhaps", F.col("id").isNotNull() & passes(filtered)(filter_at("id", width)))
     out = rows.where("not perhaps").select("d.*")
     joined = rows.where("perhaps").join(marked, "id", "left").where("stays is null or stays")
     out = out.unionByName(joined.where("times is null or times = 1").select("d.*"))

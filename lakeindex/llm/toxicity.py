@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeindex.llm.common import bounded_sample, prepare, remainder, tidy
+from lakeindex.llm.common import bounded_sample, prepare, remainder, sweep, tidy
 
 SAMPLE = 12_000  # labelled rows to learn from, at most
 VOTERS = 3000  # words and beginnings that vote, at most
@@ -169,6 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     p = label_model(np.concatenate([votes, more], axis=1), np.array([r.toxic for r in got], np.float32))
     sure = (p @ votes + 0.05) / (votes.sum(0) + 0.1) >= SURE
     one = votes[:, sure].max(1, keepdims=True) if sure.any() else np.zeros((len(got), 1))
+    del got, fired
+    sweep(docs.sparkSession)
     weights, bias = logistic(np.concatenate([votes, one, more], axis=1, dtype=np.float32), p)
     return Scorer({f: int(g) for f, g in zip(number, group)}, weights, bias, set(np.flatnonzero(sure).tolist()))
 

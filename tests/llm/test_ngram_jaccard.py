@@ -104,3 +104,45 @@ def test_candidates_of_every_width_are_compared():
     tokens = rng.integers(0, 1 << 62, 900).astype(np.uint64)
     sig = _Signatures(sizes, [bitmap(tokens[:n], bits_of(n)) for n in sizes.tolist()])
     assert sig.near(4, np.arange(4), 1, 10).tolist() == [0, 1, 2, 3]
+
+def test_words_with_a_regular_structure_do_not_share_a_hash():
+    import pyarrow as pa
+
+    from lakeindex.llm.hashing import word_hashes
+
+    for n in (10, 11, 12):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        b = a.translate({97: 98, 98: 97})
+        (x,), (y,), (z,) = word_hashes(pa.array([a, b, a.upper()]))
+        assert x != y and x == z
+    words = ["x" * 63 + "q", "x" * 63 + "r", "x" * 64 + "q", "x" * 65 + "q", "Q" + "x" * 70, "r" + "x" * 70, "é" * 40, "é" * 41]
+    one = [h for (h,) in word_hashes(pa.array(words))]
+    assert len(set(one)) == len(words) and [h for (h,) in word_hashes(pa.array(words), most=8)] == one
+
+
+def test_hot_keys_join_like_any_join(spark, monkeypatch):
+    import lakeindex.llm.common as m
+
+    monkeypatch.setattr(m, "EVEN", 5)
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k long, i long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "d").where("k <> 5")
+    for hot in (1, 4, 4096):
+        monkeypatch.setattr(m, "HOT", hot)
+        got = m.hot_join(left, right, ["k"], "d")
+        assert got.columns == ["k", "i", "d"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "i", "d").collect()))
+    assert m.hot_join(left, right.limit(0), ["k"], "d").count() == 0
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    from lakeindex.llm.components import components
+
+    path = [(i, i + 1) for i in range(100, 400)]
+    hub = [(5, 1000 + i) for i in range(300)] + [(1000 + i, 1000 + i) for i in range(9)] + [(None, 7)]
+    got = {r.u: r.component for r in components(spark.createDataFrame(path + hub, "u long, v long")).collect()}
+    assert got == {i: 100 for i in range(100, 401)} | {1000 + i: 5 for i in range(300)} | {5: 5}
+
+
+def test_the_filter_of_ids_grows_with_them():
+    from lakeindex.llm.common import LEAST_FILTER, MOST_FILTER, filter_width
+
+    assert [filter_width(n) for n in (0, 1, 4096, 4097, 1 << 23, 1 << 40)] == [LEAST_FILTER, LEAST_FILTER, LEAST_FILTER, 1 << 17, 1 << 27, MOST_FILTER]
