@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
+from itertools import groupby
 from uuid import uuid4
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakeindex.functions import rules as R
 from lakeindex.functions.urls import normal_domain, normal_prefix, parse
@@ -213,7 +216,7 @@ class Lake:
         hosts, dirs, entries, candidates = (self.table(t, buckets=only) for t in ("hosts", "dirs", "entries", "candidates"))
         mine = {t: df.join(touched, "host", "left_semi") for t, df in (("hosts", hosts), ("dirs", dirs), ("entries", entries), ("candidates", candidates))}
         state = _state(mine)
-        folded = self._hold(log.groupBy("host").cogroup(state.groupBy("host")).applyInPandas(_fold, FOLDED))
+        folded = self._hold(by_site(state.unionByName(log, allowMissingColumns=True), ["what", "seq", "kind", "pos"], _fold, FOLDED))
         letters = m.where("why is not null").select("seq", "kind", "host", "why").unionByName(folded.where("kind = 'letter'").select("seq", F.col("status").alias("kind"), "host", F.col("reason").alias("why")))
 
         kept = folded.where("kind = 'dir'").select("host", F.col("url").alias("dir_url"), "src")
@@ -386,8 +389,8 @@ class Lake:
         found = R.taken_down(url, [normal_prefix(p) for p in takedown]) | R.domain_match(host, [normal_domain(d) for d in optout])
         return found if unfiltered else found | R.likely_infringing(name)
 
-    def search(self, query: str, limit: int = 20, extensions: str | None = None, min_bytes: int | None = None, unfiltered: bool = False, takedown: list[str] = (), optout: list[str] = ()) -> DataFrame:
-        """The best hits (url, name, is_dir, size, mtime, rank) among names and folder paths.
+    def search(self, query: str, limit: int | None = 20, extensions: str | None = None, min_bytes: int | None = None, unfiltered: bool = False, takedown: list[str] = (), optout: list[str] = ()) -> DataFrame:
+        """The best hits (url, name, is_dir, size, mtime, rank) among names and folder paths; all of them without a limit.
 
         Uses the stored index if it is of the current entries, else passes over them.
         """
@@ -446,9 +449,38 @@ def _counts() -> list[Column]:
     return Q.count_columns(F.col("name"), F.col("size"), F.col("is_dir"))
 
 
-LOG = "host string, seq long, now long, kind string, leaf boolean, dir_url string, files long, bytes long, big long, useful long, status string, server string, dirs long, reason string, purge boolean, trusted boolean, min_big long, min_useful long, failed boolean, url string, pos int, source string, finished array<string>, frontier array<string>"
-STATE = "host string, kind string, url string, leaf boolean, seen_at long, files long, bytes long, big long, useful long, status string, server string, dirs long, crawled_at long, reason string, trusted boolean, fails int, source string, found_at long, seq long"
+LOG = "host string, what int, seq long, now long, kind string, leaf boolean, dir_url string, files long, bytes long, big long, useful long, status string, server string, dirs long, reason string, purge boolean, trusted boolean, min_big long, min_useful long, failed boolean, url string, pos int, source string, finished array<string>, frontier array<string>"
+STATE = "host string, what int, kind string, url string, leaf boolean, seen_at long, files long, bytes long, big long, useful long, status string, server string, dirs long, crawled_at long, reason string, trusted boolean, fails int, source string, found_at long, seq long, pos int"
 FOLDED = "kind string, host string, url string, leaf boolean, seen_at long, src long, status string, server string, dirs long, files long, bytes long, crawled_at long, reason string, trusted boolean, fails int, source string, found_at long, seq long"
+FLUSH = 20_000  # rows that a worker makes before it hands them on
+
+
+def by_site(rows: DataFrame, order: list[str], run: Callable[[str, list[dict]], list[dict]], schema: str) -> DataFrame:
+    """What `run` makes of each site's rows, in the given order: sites side by side, one at a time in a worker.
+
+    Rows are dealt by host and sorted, so that a worker holds one site's rows and no group costs more than its rows do.
+    """
+    spark = rows.sparkSession
+    made = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host").sortWithinPartitions("host", *order)
+
+    def sites(batches):
+        held, out, host = [], [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["host"] != host:
+                    if held:
+                        out += run(host, held)
+                    held, host = [], row["host"]
+                    if len(out) >= FLUSH:
+                        yield pa.RecordBatch.from_pylist(out, made)
+                        out = []
+                held.append(row)
+        if held:
+            out += run(host, held)
+        yield pa.RecordBatch.from_pylist(out, made)
+
+    return dealt.mapInArrow(sites, schema)
 
 
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
@@ -457,86 +489,65 @@ def _shaped(df: DataFrame, schema: str) -> DataFrame:
 
 def _log(listed: DataFrame, own: DataFrame, spread: DataFrame) -> DataFrame:
     own = own.withColumn("min_big", F.col("judge.min_big")).withColumn("min_useful", F.col("judge.min_useful"))
-    return _union([_shaped(listed, LOG), _shaped(own, LOG), _shaped(spread.withColumn("kind", F.lit("candidates")), LOG)])
+    return _union([_shaped(x.withColumn("what", F.lit(1)), LOG) for x in (listed, own, spread.withColumn("kind", F.lit("candidates")))])
 
 
 def _state(mine: dict[str, DataFrame]) -> DataFrame:
     counts = mine["entries"].groupBy("dir_url").agg(*_counts()).withColumnRenamed("dir_url", "url")
     dirs = mine["dirs"].join(counts, "url", "left").withColumn("kind", F.lit("dir"))
-    return _union([_shaped(mine["hosts"].withColumn("kind", F.lit("host")), STATE), _shaped(dirs, STATE), _shaped(mine["candidates"].withColumn("kind", F.lit("candidate")), STATE)])
-
-
-def _none(v):
-    return None if v is None or (not isinstance(v, (list, dict)) and not hasattr(v, "__len__") and v != v) or v is pd.NaT else v
-
-
-def _list(v) -> list:
-    return [] if v is None or isinstance(v, float) else list(v)
-
-
-def _number(v) -> int:
-    return 0 if _none(v) is None else int(v)
-
-
-def _flag(v) -> bool:
-    return bool(_none(v) or False)
+    return _union([_shaped(x.withColumn("what", F.lit(0)), STATE) for x in (mine["hosts"].withColumn("kind", F.lit("host")), dirs, mine["candidates"].withColumn("kind", F.lit("candidate")))])
 
 
-def _stored(host: str, state: pd.DataFrame) -> HostState:
+def _stored(host: str, rows: list[dict]) -> HostState:
     s = HostState(host)
-    for r in state.to_dict("records"):
+    for r in rows:
         if r["kind"] == "host":
-            s.row = {"host": s.host, "status": r["status"], "server": _none(r["server"]), "dirs": _number(r["dirs"]), "files": _number(r["files"]), "bytes": _number(r["bytes"]), "crawled_at": _number(r["crawled_at"]), "reason": _none(r["reason"]), "trusted": _flag(r["trusted"]), "fails": _number(r["fails"])}
+            s.row = {"host": host, **{k: r[k] for k in ("status", "server", "reason")}, **{k: r[k] or 0 for k in ("dirs", "files", "bytes", "crawled_at", "fails")}, "trusted": bool(r["trusted"])}
         elif r["kind"] == "dir":
-            s.folders[r["url"]] = Folder(_flag(r["leaf"]), *(_number(r[k]) for k in ("files", "bytes", "big", "useful")), _number(r["seen_at"]))
+            s.folders[r["url"]] = Folder(bool(r["leaf"]), *(r[k] or 0 for k in ("files", "bytes", "big", "useful", "seen_at")))
         else:
-            s.candidates[r["url"]] = Candidate(r["source"], _number(r["found_at"]), _number(r["seq"]))
+            s.candidates[r["url"]] = Candidate(r["source"], r["found_at"] or 0, r["seq"] or 0)
     return s
 
 
-def _applied(s: HostState, seq: int, kind: str, part: pd.DataFrame) -> None:
-    r = part.iloc[0]
-    now = _number(r["now"])
+def _applied(s: HostState, kind: str, rows: list[dict]) -> None:
+    r = rows[0]
+    now = r["now"] or 0
     if kind == "entries":
-        s.entries({x["dir_url"]: Folder(_flag(x["leaf"]), *(_number(x[k]) for k in ("files", "bytes", "big", "useful")), now, seq) for x in part.to_dict("records")})
+        s.entries({x["dir_url"]: Folder(bool(x["leaf"]), *(x[k] or 0 for k in ("files", "bytes", "big", "useful")), now, x["seq"]) for x in rows})
     elif kind == "candidates":
-        urls = part.sort_values("pos")["url"].tolist()
-        (s.trust if r["source"] in ("seed", "moved") else s.insert)(urls, r["source"], now)
+        (s.trust if r["source"] in ("seed", "moved") else s.insert)([x["url"] for x in rows], r["source"], now)
     elif kind == "paused":
-        s.paused(_list(r["finished"]), _list(r["frontier"]), now)
+        s.paused(r["finished"] or [], r["frontier"] or [], now)
     else:
-        judge = Q.Thresholds(int(r["min_big"]), int(r["min_useful"])) if _none(r["min_big"]) is not None else None
-        s.done(r["status"], _none(r["server"]), _number(r["dirs"]), _none(r["reason"]), _flag(r["purge"]), _flag(r["trusted"]), judge, _flag(r["failed"]), now)
+        judge = Q.Thresholds(r["min_big"], int(r["min_useful"])) if r["min_big"] is not None else None
+        s.done(r["status"], r["server"], r["dirs"] or 0, r["reason"], bool(r["purge"]), bool(r["trusted"]), judge, bool(r["failed"]), now)
 
 
-def backfilled(dirs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Folders of which it is not noted whether they are leaves are so if they list no sub-folder."""
-    subs = entries.where("is_dir").select(F.col("dir_url").alias("url")).distinct().withColumn("has", F.lit(True))
-    found = dirs.where("leaf is null").join(subs, "url", "left_anti").select("url").distinct().withColumn("found", F.lit(True))
-    return dirs.join(found, "url", "left").withColumn("leaf", F.coalesce("leaf", "found", F.lit(False))).select(*dirs.columns)
-
-
-def _fold(log: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _fold(host: str, rows: list[dict]) -> list[dict]:
     """Applies a site's messages to its state. One that fails is left out: the others apply again without it."""
+    state, log = [r for r in rows if r["what"] == 0], [r for r in rows if r["what"] == 1]
     failed: dict[int, tuple[str, str]] = {}
     while True:
-        s = _stored((log if len(log) else state)["host"].iloc[0], state)
-        for (seq, kind), part in log.groupby(["seq", "kind"], sort=True):
-            if int(seq) in failed:
+        s = _stored(host, state)
+        for (seq, kind), part in groupby(log, key=lambda r: (r["seq"], r["kind"])):
+            if seq in failed:
                 continue
             try:
-                _applied(s, int(seq), kind, part)
+                _applied(s, kind, list(part))
             except Exception as e:  # whatever a message holds, the site's other messages count
-                failed[int(seq)] = kind, f"{type(e).__name__}: {e}"
+                failed[seq] = kind, f"{type(e).__name__}: {e}"
                 break
         else:
             break
-    out = [{"kind": "letter", "host": s.host, "seq": seq, "status": kind, "reason": why} for seq, (kind, why) in failed.items()]
+    out = [{"kind": "letter", "host": host, "seq": seq, "status": kind, "reason": why} for seq, (kind, why) in failed.items()]
     out += [{"kind": "host"} | s.row] if s.row else []
-    out += [{"kind": "dir", "host": s.host, "url": u, "leaf": f.leaf, "seen_at": f.seen_at, "src": f.src} for u, f in s.folders.items()]
-    out += [{"kind": "candidate", "host": s.host, "url": u, "source": c.source, "found_at": c.found_at, "seq": c.seq} for u, c in s.candidates.items()]
-    made = pd.DataFrame(out, columns=_names(FOLDED), dtype=object)
-    for part in FOLDED.split(", "):
-        name, kind = part.split()
-        made[name] = made[name].astype({"long": "Int64", "int": "Int32", "boolean": "boolean"}.get(kind, object))
-    return made
+    out += [{"kind": "dir", "host": host, "url": u, "leaf": f.leaf, "seen_at": f.seen_at, "src": f.src} for u, f in s.folders.items()]
+    return out + [{"kind": "candidate", "host": host, "url": u, "source": c.source, "found_at": c.found_at, "seq": c.seq} for u, c in s.candidates.items()]
+
+
+def backfilled(dirs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Folders of which it is not noted whether they are leaves are so if they list no sub-folder."""
+    subs = entries.where("is_dir").select(F.col("dir_url").alias("url")).distinct()
+    found = dirs.where("leaf is null").join(subs, "url", "left_anti").select("url").distinct().withColumn("found", F.lit(True))
+    return dirs.join(found, "url", "left").withColumn("leaf", F.coalesce("leaf", "found", F.lit(False))).select(*dirs.columns)

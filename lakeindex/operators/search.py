@@ -101,6 +101,7 @@ def scan_ranked(docs: DataFrame, key: str, name: str, path: str | None, query: s
     return rows.where(reduce(and_, [F.col(f"f{i}") > 0 for i in range(len(terms))])).select("doc", (-total).alias("rank"), *keep)
 
 
-def top(ranks: DataFrame, limit: int, keep: Column | None = None, tie: str = "doc") -> DataFrame:
+def top(ranks: DataFrame, limit: int | None, keep: Column | None = None, tie: str = "doc") -> DataFrame:
     """The best of the ranked documents that `keep` holds for; ties go to the smaller key."""
-    return (ranks if keep is None else ranks.where(keep)).orderBy("rank", tie).limit(limit)
+    rows = (ranks if keep is None else ranks.where(keep)).orderBy("rank", tie)
+    return rows if limit is None else rows.limit(limit)

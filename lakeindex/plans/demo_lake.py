@@ -591,7 +591,7 @@ _HITS = "SELECT count(*) AS hits, min(name) AS first_name FROM (SELECT 'part' ||
 
 
 def _hits(lake: Lake) -> DataFrame:
-    return lake.search("part1", 100_000_000, extensions="iso", min_bytes=40 << 20).agg(F.count("*").alias("hits"), F.min("name").alias("first_name"))
+    return lake.search("part1", None, extensions="iso", min_bytes=40 << 20).agg(F.count("*").alias("hits"), F.min("name").alias("first_name"))
 
 
 @query(_HITS)
