@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 from uuid import uuid4
 
@@ -57,6 +58,7 @@ class Conflict(RuntimeError):
 class Lake:
     def __init__(self, spark: SparkSession, path: str, create: bool = True, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
+        self._read: dict[int, dict] = {}
         ship(spark)
         jvm = spark._jvm
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -85,6 +87,11 @@ class Lake:
         return self._numbers()[-1]
 
     def _manifest(self, number: int) -> dict:
+        if number not in self._read:  # a manifest never changes
+            self._read = {n: m for n, m in self._read.items() if n > number - 2 * KEEP_VERSIONS} | {number: self._parsed(number)}
+        return self._read[number]
+
+    def _parsed(self, number: int) -> dict:
         rows = self.spark.read.text(f"{self.path}/manifests/{number:012d}.json", wholetext=True).collect()
         m = json.loads(rows[0].value)
         # The first format named one version of each table.
@@ -128,21 +135,24 @@ class Lake:
         number, made = self.version(), uuid4().hex[:12]
         m = self._manifest(number)
         parts = {t: dict(v) for t, v in m["tables"].items()}
-        for name, df in tables.items():
-            rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[name].split(", ")])
+
+        def write(name: str) -> dict[str, str]:
+            rows = tables[name].select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[name].split(", ")])
             at = f"{self.path}/tables/{name}/{made}"
-            if name in BUCKETED:
-                # Sorted in each bucket: filters on a host, folder or subtree read few row groups.
-                keys = ["b", *BUCKETED[name]]
-                rows.withColumn("b", self.bucket(F.col("host"))).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("b").parquet(at)
-                kept = {} if buckets is None else {k: v for k, v in parts.get(name, {}).items() if k and int(k) not in buckets}
-                there = (s.getPath().getName() for s in self._fs.listStatus(self._hadoop("tables", name, made)))
-                parts[name] = kept | {x.partition("=")[2]: made for x in there if x.startswith("b=")}
-            else:
+            if name not in BUCKETED:
                 if name == "postings":
                     rows = rows.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc")
                 rows.write.parquet(at)
-                parts[name] = {"": made}
+                return {"": made}
+            # Sorted in each bucket: filters on a host, folder or subtree read few row groups.
+            keys = ["b", *BUCKETED[name]]
+            rows.withColumn("b", self.bucket(F.col("host"))).repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("b").parquet(at)
+            kept = {} if buckets is None else {k: v for k, v in parts.get(name, {}).items() if k and int(k) not in buckets}
+            there = (s.getPath().getName() for s in self._fs.listStatus(self._hadoop("tables", name, made)))
+            return kept | {x.partition("=")[2]: made for x in there if x.startswith("b=")}
+
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:  # tables are written side by side
+            parts |= dict(zip(tables, pool.map(write, tables)))
         self._commit_manifest(number + 1, {"format": FORMAT, "buckets": self.buckets, "tables": parts, "notes": m["notes"] | (notes or {})})
         return number + 1
 
@@ -212,12 +222,14 @@ class Lake:
         log = self._hold(_log(listed.select("host", "seq", "now", F.lit("entries").alias("kind"), "leaf", "dir_url", "files", "bytes", "big", "useful"), own, spread))
 
         touched = log.select("host").distinct()
-        only = sorted(r.b for r in touched.select(self.bucket(F.col("host")).alias("b")).distinct().collect())  # at most as many as buckets
+        row = log.agg(F.sort_array(F.collect_set(self.bucket(F.col("host")))).alias("only")).first()
+        some = m.agg(F.count_if(F.col("why").isNotNull()).alias("bad"), F.count_if(F.col("why").isNull() & (F.col("kind") == "cc_file_done")).alias("files")).first()
+        only = row.only  # at most as many as buckets
         hosts, dirs, entries, candidates = (self.table(t, buckets=only) for t in ("hosts", "dirs", "entries", "candidates"))
         mine = {t: df.join(touched, "host", "left_semi") for t, df in (("hosts", hosts), ("dirs", dirs), ("entries", entries), ("candidates", candidates))}
         state = _state(mine)
         folded = self._hold(by_site(state.unionByName(log, allowMissingColumns=True), ["what", "seq", "kind", "pos"], _fold, FOLDED))
-        letters = m.where("why is not null").select("seq", "kind", "host", "why").unionByName(folded.where("kind = 'letter'").select("seq", F.col("status").alias("kind"), "host", F.col("reason").alias("why")))
+        failed = folded.where("kind = 'letter'").select("seq", F.col("status").alias("kind"), "host", F.col("reason").alias("why"))
 
         kept = folded.where("kind = 'dir'").select("host", F.col("url").alias("dir_url"), "src")
         old_entries = entries.join(touched, "host", "left_anti").unionByName(mine["entries"].join(kept.where("src is null").drop("src"), ["host", "dir_url"], "left_semi"))
@@ -229,11 +241,11 @@ class Lake:
             "candidates": candidates.join(touched, "host", "left_anti").unionByName(folded.where("kind = 'candidate'").select(*candidates.columns)),
         }
         done = good.where("kind = 'cc_file_done'").select("path", F.coalesce(F.size("urls"), F.lit(0)).cast("long").alias("candidates"), F.col("now").alias("done_at"), "seq")
-        if not done.isEmpty():
+        if some.files:
             last = done.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))).where("k = 1").drop("k", "seq")
             out["cc_files"] = self.table("cc_files").join(last.select("path"), "path", "left_anti").unionByName(last)
-        if not letters.isEmpty():
-            out["dead_letters"] = self.table("dead_letters").unionByName(letters)
+        if some.bad or not failed.isEmpty():
+            out["dead_letters"] = self.table("dead_letters").unionByName(m.where("why is not null").select("seq", "kind", "host", "why")).unionByName(failed)
         try:
             return self.commit(buckets=only, **out)
         finally:
