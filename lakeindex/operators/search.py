@@ -56,9 +56,10 @@ def _tokenised(docs: DataFrame, key: str, name: str, path: str | None, keep: lis
 def build_index(docs: DataFrame, key: str, name: str, path: str | None = None, keep: list[str] = ()) -> DataFrame:
     """Postings (token, doc, tf_name, tf_path, length, and the columns `keep` of the document)."""
     each = _tokenised(docs, key, name, path, list(keep)).withColumn("length", (F.size("in_name") + F.size("in_path")).cast("long"))
-    count = lambda where, t: F.size(F.filter(where, lambda x: x == t)).cast("long")
-    rows = each.select("doc", "length", *keep, "in_name", "in_path", F.explode(F.array_distinct(F.concat("in_name", "in_path"))).alias("token"))
-    return rows.select("token", "doc", count(F.col("in_name"), F.col("token")).alias("tf_name"), count(F.col("in_path"), F.col("token")).alias("tf_path"), "length", *keep)
+    one = lambda a, b: lambda t: F.struct(t.alias("token"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    rows = each.select("doc", "length", *keep, F.explode(F.concat(F.transform("in_name", one(1, 0)), F.transform("in_path", one(0, 1)))).alias("t"))
+    # A document's tokens lie in one task, so little but their sums is shuffled.
+    return rows.groupBy("t.token", "doc", "length", *keep).agg(F.sum("t.a").alias("tf_name"), F.sum("t.b").alias("tf_path")).select("token", "doc", "tf_name", "tf_path", "length", *keep)
 
 
 def statistics(docs: DataFrame, postings: DataFrame) -> tuple[int, float]:
@@ -80,7 +81,7 @@ def ranked(postings: DataFrame, n: int, mean: float, query: str, keep: list[str]
     near = postings.where(reduce(or_, [F.col("token").startswith(t) for t in terms]))
     weight = NAME_WEIGHT * F.col("tf_name") + PATH_WEIGHT * F.col("tf_path")
     sums = [F.sum(F.when(F.col("token").startswith(t), weight).otherwise(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
-    hits = near.groupBy("doc").agg(F.first("length").alias("length"), *[F.first(c).alias(c) for c in keep], *sums)
+    hits = near.groupBy("doc", "length", *keep).agg(*sums)
     # A row with how many documents have each term, whether they have the others or not.
     found = hits.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     all_terms = reduce(and_, [F.col(f"f{i}") > 0 for i in range(len(terms))])
