@@ -8,6 +8,11 @@ set of made-up examples and become nested CASE expressions, so texts never leave
 A pattern's spans come from two passes of the same pattern: the matches and the gaps between them. Their lengths add up to
 positions. Patterns are possessive, and start at the start of a run of their characters, so long runs cost linear time; the
 rules that they state are those of the plain patterns named beside them.
+
+The base patterns have no bounds. The added shapes have, as what they look for is short, and a bound keeps a pattern that may
+backtrack linear: an opaque string has 16 characters or more and a digit among its first 65; a long number has 8 to 24
+characters, as phone, account and insurance numbers have; a spelled-out address has parts of at most 64 characters (the most that
+a mailbox or a host's label may have), at most 4 of them after its host's first. What is longer is no added span.
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ GENERATORS = (
     Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
     Generator("secret", r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,64}[0-9])[A-Za-z0-9_/+=-]{16,}+", r"[A-Za-z0-9_/+=-]{16}"),
     Generator("number", r"(?<![0-9A-Za-z+])\(?[0-9][0-9() ./-]{6,22}[0-9](?![0-9A-Za-z])", r"[0-9][0-9() ./-]{6}"),
-    Generator("address", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,64}+){1,4}", r"\(at\)|\[at\]| at "),
+    Generator("address", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]{2,64}+){1,4}", r"\(at\)|\[at\]| at "),
 )
 
 
@@ -122,7 +127,7 @@ def _examples(rng: random.Random) -> list[dict]:
         out.append({"kind": "number", "before": before[-BEFORE:], "m": m, "y": int(not bad)})
         bad = rng.random() < 0.5
         if bad:
-            m, before = f"{word()} at {word()}. {word()}", prose()
+            m, before = f"{word()} at {word()}.{word()}", prose()
         else:
             at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", ".")])
             m, before = f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}", prose() + rng.choice(["mail ", "contact: ", "write to ", ""])

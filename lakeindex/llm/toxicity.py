@@ -203,7 +203,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that score below the threshold, with all their columns, in one pass over them."""
+    """The documents that score below the threshold, with all their columns, in one pass over them.
+
+    Null texts count as empty: no voter fires on them, so they stay unless most labelled rows are toxic.
+    """
     prepare(docs.sparkSession)
     scorer, at = learn(docs, labels, sample), docs.columns.index("text")
 

@@ -80,7 +80,7 @@ def test_sections_against_brute_force(spark):
     got = {r.doc_id: r for r in section_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         t = t or ""
-        lines = t.splitlines(keepends=True) if False else [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] else [])
+        lines = [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] else [])
         owner = [k for k, line in enumerate(lines) for _ in line]
         counts, at, data = [0] * len(lines), 0, t.encode()
         char = [k for k, c in enumerate(t) for _ in c.encode()]

@@ -87,3 +87,22 @@ def test_redaction_masks_whole_spans_that_overlap(spark):
         for start, end, k in regions:
             made, at = made + (t or "")[at:start] + f"<{KINDS[k].upper()}>", end
         assert out[i] == (None if t is None else made + t[at:])
+
+
+def test_added_kinds_on_examples_not_learnt_from(spark):
+    from lakeindex.llm.pii import ADDED, _examples
+
+    rng = random.Random(77)  # the trees learn from another seed's
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, truth = [], []
+    for i, e in enumerate(_examples(rng)):
+        before = words(12) + " " + e["before"].lstrip()
+        rows.append((i, before + e["m"] + " " + words(10)))
+        truth.append((e["kind"], len(before), len(before) + len(e["m"]), e["y"]))
+    rows.append((len(rows), "He waited at home. Then they met at work. And at seven. Later it ended."))
+    got = {r.doc_id: r.spans for r in find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in ADDED:
+        hits = [(any(s.kind == kind and s.start < b and a < s.end for s in got[i]), y) for i, (k, a, b, y) in enumerate(truth) if k == kind]
+        found = [y for hit, y in hits if hit]
+        assert sum(found) >= 0.95 * len(found) and sum(found) >= 0.9 * sum(y for _, y in hits), kind
+    assert got[len(rows) - 1] == []
