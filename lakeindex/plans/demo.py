@@ -5,7 +5,9 @@ Pages play listings, orders play folders and their lines files, customers and su
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lakeindex.functions import rules as R
-from lakeindex.functions.urls import decoded_path, is_public
+from lakeindex.functions.urls import decoded_path, is_public, normal_domain, normal_prefix
 from lakeindex.operators import search
+from lakeindex.sources import lists
 from lakeindex.sources import listing as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,6 +227,47 @@ def path_rules(spark, sf):
     return pages.select("id", R.canonical_url(F.col("url")).alias("canonical"), R.sensitive_path(F.col("p")).alias("sensitive"), decoded_path(F.col("p")).alias("decoded"), R.repeating_segments(F.col("p")).alias("trap"))
 
 
+@F.pandas_udf(StringType())
+def _domain(entry: pd.Series) -> pd.Series:
+    return entry.map(normal_domain)
+
+
+@F.pandas_udf(StringType())
+def _prefix(entry: pd.Series) -> pd.Series:
+    return entry.map(normal_prefix)
+
+
+@query(rf"SELECT id, {_CANON} AS domain, regexp_replace(url, '#.*$', '') AS prefix FROM (SELECT page_id + 100 AS id, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host, url FROM pages)")
+def domain_entries(spark, sf):
+    """What users write in lists of domains and prefixes, normalised."""
+    pages = table(spark, sf, "pages").select((F.col("page_id") + 100).alias("id"), "url", F.regexp_extract("url", r"\Ahttps?://([^/?#:]*)", 1).alias("host"))
+    entry = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" *."), "host", F.lit(". "))).when(F.col("id") % 3 == 1, F.upper("host")).otherwise(F.col("url"))
+    return pages.select("id", _domain(entry).alias("domain"), _prefix(F.regexp_replace("url", r"\Ahttp", "HTTP")).alias("prefix"))
+
+
+@query("SELECT n_name AS item FROM nation")
+def list_items(spark, sf):
+    """A list file with notes, blanks and a byte-order mark, read on the driver."""
+    names = [r.n_name for r in table(spark, sf, "nation").select("n_name").collect()]  # 25 rows
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, "list.txt")
+        path.write_bytes(b"\xff\xfe" + "".join(f"  {n} # note {i}\r\n\r\n# {n}\r\n" for i, n in enumerate(names)).encode("utf-16-le"))
+        items = lists.read_list(str(path)) + lists.read_list(str(path) + ".none")
+    return spark.createDataFrame([(x,) for x in items], "item string")
+
+
+@query("SELECT r_regionkey * 2 + 1 AS pos, 'http://r' || r_regionkey || '.org/' AS url FROM region UNION ALL SELECT r_regionkey * 2 + 2, 'https://s' || r_regionkey || '.org/x' FROM region UNION ALL SELECT 0, 'http://typed.org/'")
+def seed_files(spark, sf):
+    """Typed addresses, then those of all text files of a folder in order of name, each once."""
+    keys = sorted(r.r_regionkey for r in table(spark, sf, "region").select("r_regionkey").collect())  # 5 rows
+    with tempfile.TemporaryDirectory() as folder:
+        for k in keys:
+            Path(folder, f"f{k}.{'TXT' if k % 2 else 'txt'}").write_text(f"HTTP://R{k}.org\nhttp://r{k}.org/ # again\nftp://no.org/\n\nhttps://s{k}.org/x#y\nhttp://typed.org\n")
+            Path(folder, f"f{k}.md").write_text("http://no.org/\n")
+        found = lists.read_seeds(folder, ["http://typed.org"])
+    return spark.createDataFrame(list(enumerate(found)), "pos int, url string")
+
+
 # Names of files.
 
 _NAMES = [
