@@ -6,6 +6,8 @@ data folder; what it is made of are messages, as walks and users send them.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import tempfile
 from collections.abc import Callable
 from uuid import uuid4
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lakeindex.lake import Lake
 from lakeindex.operators import quality as Q
+from lakeindex.plans.cli import run
 from lakeindex.plans.crawl import Options, crawl
 from lakeindex.plans.demo import query, table
 from lakeindex.plans.discover import discover
@@ -610,3 +613,54 @@ def _indexed(spark: SparkSession, sf: str, lake: Lake) -> None:
 def search_indexed(spark, sf):
     """The same with the stored index."""
     return _hits(lake_of(_indexed, spark, sf))
+
+
+# Commands.
+
+
+def _printed(spark: SparkSession, lake: Lake, *argv: str) -> DataFrame:
+    """The lines that a command prints."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        run(spark, ["--lake", lake.path, *argv])
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "line string")
+
+
+_HUMAN = "CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN printf('%.1f KiB', bytes / 1024.0) WHEN bytes < 1073741824 THEN printf('%.1f MiB', bytes / 1048576.0) WHEN bytes < 1099511627776 THEN printf('%.1f GiB', bytes / 1073741824.0) ELSE printf('%.1f TiB', bytes / 1099511627776.0) END"
+_SITES = f"""s AS (SELECT l_suppkey AS s, count(*) AS n, CASE WHEN l_suppkey % 2 = 1 THEN 0 ELSE count(*) END AS files, CASE WHEN l_suppkey % 2 = 1 THEN 0 ELSE sum(p_size)::BIGINT * 1048576 END AS bytes, CASE WHEN l_suppkey % 2 = 1 THEN 'low_value' ELSE 'done' END AS status,
+ CASE WHEN l_suppkey % 2 = 1 THEN 'nothing worth keeping: 0 big files (need 3) and 0 useful files (need 20) among ' || count(*) || ' files' END AS reason FROM {_PARTS} JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey)"""
+
+
+@query(f"WITH {_SITES}, t AS (SELECT status, count(*) AS hosts, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM s GROUP BY status) SELECT concat_ws(chr(9), status, hosts, files, {_HUMAN}) AS line FROM t")
+def command_stats(spark, sf):
+    return _printed(spark, lake_of(_suppliers, spark, sf), "stats")
+
+
+@query(f"WITH {_SITES} SELECT concat_ws(chr(9), 's' || s || '.example.org', status, files, {_HUMAN}, '1970-01-01 00:00 UTC', coalesce(CASE WHEN length(reason) > 80 THEN reason[1:79] || '…' ELSE reason END, '-')) AS line FROM s ORDER BY 's' || s || '.example.org' LIMIT 25")
+def command_sites(spark, sf):
+    return _printed(spark, lake_of(_suppliers, spark, sf), "sites", "--sort", "name", "--limit", "25")
+
+
+def _auto(spark: SparkSession, sf: str, lake: Lake) -> None:
+    at, sites = shared_folder(spark, "auto"), table(spark, sf, "supplier").select("s_suppkey")
+    sites.selectExpr("concat('http://ftp.s', s_suppkey, '.example.org/?C=N;O=D') AS url", "'C=N;O=D' AS url_query").coalesce(1).write.parquet(f"{at}/w/subset=warc")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/w/subset=warc")
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.getPath().getName().endswith(".parquet")]
+    spark.createDataFrame([('[{"id": "FIRST-9"}, {"id": "CC-MAIN-2"}, {"id": "CC-MAIN-1"}]',)], "value string").coalesce(1).write.text(f"{at}/crawls")
+    spark.createDataFrame([("\n".join(f"w/subset=warc/{x}" for x in names),)], "value string").coalesce(1).write.text(f"{at}/CC-MAIN-2")
+    row = "concat('<a href=\"f', i, '.iso\">f', i, '.iso</a>  28-Sep-2026 10:15  20M')"
+    body = _page(f"array_join(transform(sequence(1, cast(s_suppkey % 5 + 3 AS int)), i -> {row}), '\\n')")
+    sites.selectExpr("concat('http://ftp.s', s_suppkey, '.example.org/') AS url", "200 AS status", "'text/html' AS content_type", "cast(null AS string) AS location", f"{body} AS body").write.parquet(f"{at}/web")
+    _printed(spark, lake, "auto", "--manifest", f"{at}/{{crawl}}", "--collections", f"{at}/crawls", "--base", at, "--web", f"{at}/web", "--hours", "1", "--concurrency", "1000000")
+
+
+@query("SELECT 'ftp.s' || s_suppkey || '.example.org' AS host, 'done' AS status, s_suppkey % 5 + 3 AS files, (s_suppkey % 5 + 3) * 20971520 AS bytes FROM supplier")
+def command_auto(spark, sf):
+    """Discovery in the latest crawl's index, then walks of what it found."""
+    return lake_of(_auto, spark, sf).table("hosts").select("host", "status", "files", "bytes")
+
+
+@query("SELECT path FROM (SELECT 1) AS t(x), (SELECT 'w/subset=warc' AS path)")
+def command_discover(spark, sf):
+    """The ledger after the command: the file that was read."""
+    return lake_of(_auto, spark, sf).table("cc_files").select(F.regexp_extract("path", "^(.*)/", 1).alias("path"))
