@@ -9,11 +9,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from lakeindex.ship import ship
 
@@ -130,9 +128,10 @@ def passes(bits: bytes):
     """A function of positions: false means that the id is certainly not in the filter."""
     table = np.frombuffer(bits, np.uint8)
 
-    @F.pandas_udf(BooleanType())
-    def test(p: pd.Series) -> pd.Series:
-        return pd.Series((table[p.to_numpy() >> 3] >> (p.to_numpy() & 7).astype(np.uint8)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def test(p: pa.Array) -> pa.Array:
+        at = p.to_numpy(zero_copy_only=False)
+        return pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
     return test
 
