@@ -22,6 +22,7 @@ SHARES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.85, 1.0)  # of the postings, afte
 TRIED = 64  # vectors scored exactly after each share, for the score to beat
 FEW = 8  # one in so many vectors left is few enough to score them all
 ROWS, QUERIES = 8192, 512  # of a block, about
+PAIRS, MANY = 256, 32  # pairs of blocks that are tasks enough, beyond which a pair takes more queries; blocks of them, at most
 
 
 class Index:
@@ -40,6 +41,10 @@ class Index:
         # Scores are doubled, so that the middle of a segment is an integer.
         self.middles, self.largest = 2 * LEVEL * levels + LEVEL - 1, LEVEL * np.maximum(np.abs(levels), np.abs(levels + 1))
         self.seen = 1 << dims.bit_length()  # a vector's sum holds its score times this, plus the components seen
+        self.greatest = int(np.abs(vectors).max(initial=0))
+        # Sums of such products are exact in doubles as well, which are multiplied much faster, if they stay below 2^53.
+        self.doubles = vectors.astype(np.float64)
+        self.first = 0  # of SHARES, where the proof is tried first: one before that which proved the last query
 
     def search(self, q: np.ndarray, k: int, query_id: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Ids, rows and exact scores of the k best vectors, ties to smaller ids, but for one row of the query's own id and vector.
@@ -47,33 +52,47 @@ class Index:
         Vectors that surely score below `bound` may be missing. The last value is the share of postings that were read.
         """
         n, dims = self.vectors.shape
-        own = (self.ids == query_id) & (self.vectors == q).all(axis=1)
-        rows = self.copies - own
+        rows, own = self.copies, np.flatnonzero(self.ids == query_id)
+        if len(own):
+            rows = rows.copy()
+            rows[own] -= (self.vectors[own] == q).all(axis=1)
         members, read = np.flatnonzero(rows > 0), 0.0
         value = np.abs(q)[self.dims]
         impacts = value * self.largest
+        small = float(np.abs(q).sum()) * self.greatest < 1 << 53
+        vectors, asked = (self.doubles, q.astype(np.float64)) if small else (self.vectors, q)
         if len(members) > max(k, TRIED) and 2 * self.seen * float(np.abs(q).sum()) * float(self.largest.max(initial=0) + LEVEL) < 1 << 53:
             order = np.argsort(-impacts, kind="stable")
             upto = np.cumsum(self.lengths[order])
             sums, at, others = np.zeros(n), 0, members
             around = int(np.abs(q).sum()) * (LEVEL - 1)  # between segments' middles and their members, doubled
-            for share in SHARES:
-                to = min(len(order), int(np.searchsorted(upto, share * upto[-1])) + 1)
-                taken, at = order[at:to], to
+            for step in range(min(self.first, len(SHARES) - 1), len(SHARES)):
+                to = min(len(order), int(np.searchsorted(upto, SHARES[step] * upto[-1])) + 1)
+                # The segments of a component that are taken lie side by side, mostly in two runs: the largest and the smallest.
+                if to == at:
+                    continue
+                taken, at = np.sort(order[at:to]), to
                 sizes = self.lengths[taken]
-                postings = np.arange(sizes.sum()) + np.repeat(self.starts[taken] - np.cumsum(sizes) + sizes, sizes)
-                sums += np.bincount(self.postings[postings], np.repeat(q[self.dims[taken]] * self.middles[taken] * float(self.seen) + 1, sizes), minlength=n)
-                whole = sums[others].astype(np.int64)
-                scores, unseen = whole // self.seen, dims - whole % self.seen
+                breaks = np.flatnonzero(np.diff(taken) != 1) + 1
+                begins, ends = self.starts[taken[np.r_[0, breaks]]], (self.starts + self.lengths)[taken[np.r_[breaks - 1, len(taken) - 1]]]
+                postings = np.concatenate([self.postings[i:j] for i, j in zip(begins.tolist(), ends.tolist())])
+                sums += np.bincount(postings, np.repeat(q[self.dims[taken]] * self.middles[taken] * float(self.seen) + 1, sizes), minlength=n)
+                whole = sums if len(others) == n else sums[others]
+                scores = np.floor(whole / self.seen)  # `seen` is a power of two, so all of this is exact
+                unseen = dims - (whole - scores * self.seen)
                 read = float(upto[at - 1] / upto[-1])
                 tried = others[np.argpartition(scores, len(scores) - TRIED)[len(scores) - TRIED :]]
-                least = int(np.partition(self.vectors[tried] @ q, TRIED - k)[TRIED - k])
+                least = int(np.partition(vectors[tried] @ asked, TRIED - k)[TRIED - k])
                 bound = least if bound is None else max(bound, least)
                 left = 2 * int(impacts[order[at]]) if at < len(order) else 0
                 members = others[scores + around + unseen * left >= 2 * bound]
                 if len(members) <= n // FEW:
                     break
-        exact = self.vectors[members] @ q
+            self.first = max(0, step - 1)
+        exact = (vectors[members] @ asked).astype(np.int64)
+        if len(exact) > k:  # ties of the k-th best stay
+            near = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+            members, exact = members[near], exact[near]
         best = np.lexsort((self.ids[members], -exact))[:k]
         return self.ids[members[best]], rows[members[best]], exact[best], read
 
@@ -125,17 +144,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     left, right = materialize(clean(vectors)), materialize(clean(queries))
     blocks = [max(1, -(-df.count() // n)) for df, n in ((left, rows), (right, block))]
     dealt = [F.pmod(F.xxhash64("vec_id", "q", F.lit(s)), F.lit(n)).cast("int") for s, n in enumerate(blocks)]
-    left = left.withColumn("i", dealt[0]).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
-    right = right.withColumn("j", dealt[1])
+    left, right = left.withColumn("i", dealt[0]), right.withColumn("j", dealt[1])
+    # Candidates go to each block of queries: where their own blocks give tasks enough, a few large ones of queries do.
+    wide = max(-(-blocks[1] // MANY), min(blocks[1], -(-PAIRS // blocks[0])))
 
-    def pairs(some: DataFrame, asked: DataFrame) -> DataFrame:
+    def pairs(some: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+        some = some.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         return some.groupBy("d", "i", "j").cogroup(asked.groupBy("d", "i", "j")).applyInArrow(_search(k), FOUND)
 
-    found = materialize(pairs(left.where("i = 0"), right.withColumn("bound", F.lit(None).cast("long")).withColumn("i", F.lit(0))))
+    found = materialize(pairs(left.where("i = 0"), right.withColumn("bound", F.lit(None).cast("long")).withColumn("i", F.lit(0)), blocks[1]))
     if blocks[0] > 1:
         reached = found.groupBy(F.col("query_id").alias("vec_id"), "q").agg(F.max("reached").alias("bound"))
-        asked = right.join(reached, ["vec_id", "q"], "left").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(blocks[0] - 1))))
-        found = found.unionByName(pairs(left.where("i > 0"), asked))
+        asked = right.join(reached, ["vec_id", "q"], "left").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(blocks[0] - 1)))).withColumn("j", F.col("j") % wide)
+        found = found.unionByName(pairs(left.where("i > 0"), asked, wide))
     each = found.select("query_id", "q", "times", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
     best = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     top = each.withColumn("rank", best).where(F.col("rank") <= k)

@@ -64,3 +64,20 @@ def test_half_of_the_postings_prove_the_rest_out():
         low = index.search(v[i], 5, i, int(scores[-1]))
         assert low[0].tolist() == best.tolist() and low[3] <= read
     assert np.mean(shares) < 0.65
+
+
+def test_proofs_start_where_the_last_one_held():
+    """Queries of one kind need as many postings; what is read at once needs no proofs before. All stay exact, easy and hard ones in turn."""
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * rng.normal(size=(4000, 32)) / 6).astype(np.int64)
+    v[:20] = 0
+    index, firsts = Index(np.arange(4000) // 2, v), []
+    for i in [*range(30), *range(100, 130)]:
+        q = v[i] if i % 3 else np.where(np.arange(32) == i % 32, 900, 0)
+        ids, rows, scores, _ = index.search(q, 5, i // 2)
+        exact = v @ q
+        exact[(np.arange(4000) // 2 == i // 2) & (v == q).all(axis=1)] = -(10**9)
+        best = np.lexsort((np.arange(4000) // 2, -exact))[:5]
+        assert ids.tolist() == (best // 2).tolist() and scores.tolist() == exact[best].tolist()
+        firsts.append(index.first)
+    assert max(firsts) > 1
